@@ -1,8 +1,8 @@
 """All queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import queries_near, queries_nearest, queries_overlap, queries_residue, queries_sizes, queries_terms
+from . import queries_near, queries_nearest, queries_overlap, queries_personal, queries_residue, queries_sizes, queries_terms
 
-_MODULES = [queries_overlap, queries_near, queries_terms, queries_residue, queries_nearest, queries_sizes]
+_MODULES = [queries_overlap, queries_near, queries_terms, queries_residue, queries_nearest, queries_sizes, queries_personal]
 
 
 def queries():
