@@ -15,6 +15,7 @@ Statistics are kept in 2^18 cells a table, a fixed size whatever the vocabulary.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from .text import fold
+
 CELLS = 1 << 18
 #: Bits by which a word must raise the chance that a person is named.
 DISCLOSURE = 4.0
@@ -31,7 +34,7 @@ KINDS = ("person_name", "email", "phone", "id_number", "street_address")
 
 # Given names common in the languages of the collection. Others are learned.
 GIVEN = set("""
-aisha alan alice amelia amir amy andrea andrew ana anna anne annika anton antonio ben beatriz begoña bastien birgit bridget
+aisha alan alice amelia amélie amir amy andrea andrew ana anna anne annika anton antonio ben beatriz begoña bastien birgit bridget
 camille carla carlos carmen charlotte chloe claire clara colin daniel david diego duncan edith elena elif elise emil emily
 emma enzo erik esteban eva fatima felix fiona florian frank frauke gabriel george giulia gonzalo grace greta gwenaël hannah
 hans harvey hassan hazel heike helen hugo ibrahim iker ines ingrid inès isabel ivan jack jacques james jan javier jean jonas
@@ -42,6 +45,7 @@ paul paula pedro peter petra pierre pilar priya quentin rafael raúl rebecca rob
 simon sofia solène sophie stefan susanne sven sören tariq tessa theo thomas tobias tomás torben ulrike ursula uwe valentina
 victor vincent wei wolfgang yasmin yuki yusuf zoe zoé álvaro élodie émilie étienne aurélie manon maëlle gaël loïc benoît
 """.split())
+FOLDED = {fold(w) for w in GIVEN}
 TITLES = set("mr mrs ms miss mx dr prof professor sir madam dame herr frau fräulein mme mlle madame monsieur mademoiselle sr sra srta señor señora señorita don doña dra".split())
 PARTICLES = set("von van de del della di da dos du der den la le las los ten ter zu zum vom af av el al bin ibn y d".split())
 #: Words that hold no person although they begin with a capital letter beside a name.
@@ -52,7 +56,7 @@ DASH = r"[-‐-–]"
 EMAIL = re.compile(r"""(?ix)
     (?<![\w.+-])[a-z0-9][\w.+%-]*
     (?: [ ]?(?:@|＠|&\#64;|&commat;)[ ]?  (?:[^\W_](?:[\w-]*[^\W_])?\.)+ [^\W\d_]{2,24}
-      | \s*(?:\(at\)|\[at\]|\{at\}|<at>|\(a\)|\[a\]|\(arroba\)|\[arroba\]|\(@\)|\[@\])\s* [^\W_][\w-]*(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\(punkt\)|\[punkt\]|\(punto\)|\(point\)|\[\.\]|\(\.\)|\.)\s*[^\W_][\w-]*)+
+      | \s*(?:\(at\)|\[at\]|\{at\}|<at>|\(a\)|\[a\]|\(arroba\)|\[arroba\]|\(@\)|\[@\])\s* [^\W_][\w-]*(?:(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\(punkt\)|\[punkt\]|\(punto\)|\(point\)|\[\.\]|\(\.\))\s*|\.)[^\W_][\w-]*)+
       | [ ]+at[ ]+ [^\W_][\w-]*(?:[ ]+dot[ ]+[^\W_][\w-]*)+
       | _at_[^\W_][\w-]*(?:(?:_dot_|\.)[a-z0-9][a-z0-9-]*)+
       | \s*\((?:at)\)\s*[^\W_][\w.-]*\.[a-z]{2,24} )
@@ -61,9 +65,9 @@ AT_WORD = re.compile(r"(?i)(?<![\w.+-])(?=[\w.+-]*[\d._+-])[a-z0-9][\w.+-]*[a-z0
 FILES = re.compile(r"(?i)\.(?:png|jpe?g|gif|svg|webp|bmp|tiff?|mp4|webm|js|css|html?|pdf|txt|json|csv|zip)$")
 
 #: What stands before numbers that are none of a person.
-THINGS = re.compile(r"(?i)(?:ticket|asset|order|run|scores?|box(?:es)?(?: at)?|frame|version|row|code|hash|palette|rank|episode|take|poster|file|folder|package|checkpoint|retry|case|hex|sku|invoice|build|page|issue|item|ref\.?|reference|tag|step|bestellung|pedido|commande|saved on|#|top)[ :#.-]*$")
-ID_CUE = re.compile(r"(?i)(?:\b(?:id|i\.d\.|ssn|itin|ni|nino|nin|dni|nie|nif|nir|tin|passport|reisepass|pasaporte|passeport|ausweis|personalausweis|steuer|tax|insurance|security|identity|sécu|identidad|identité|sozialversicherung\w*|seguridad social)\b|id_no|ausweisnr|steuer-?id)[\w .:=#°º/()-]{0,24}$")
-PHONE_CUE = re.compile(r"(?i)(?:tel|tél|phone|fax|call|text me|whatsapp|mobile|móvil|movil|handy|ruf|llama|numéro|número|nummer|number|línea|line|rappelez|appelez|anruf|contact|ring|reach|left)[\w .:=#/()'-]{0,16}$")
+THINGS = re.compile(r"(?i)(?:ticket|asset|order|run|scores?|box(?:es)?(?: at)?|frame|version|row|code|hash|palette|rank|episode|take|poster|file|folder|package|checkpoint|retry|case|hex|sku|invoice|build|page|issue|item|ref\.?|reference|tag|step|bestellung|pedido|commande|saved on|#|top)(?:[\s:#\-]|\bno\.|\bnr\.)*\Z")
+ID_CUE = re.compile(r"(?i)(?:\b(?:id|i\.d\.|ssn|itin|ni|nino|nin|dni|nie|nif|nir|tin|passport|reisepass|pasaporte|passeport|ausweis|personalausweis|steuer|tax|insurance|security|identity|sécu|identidad|identité|sozialversicherung\w*|seguridad social)\b|id_no|ausweisnr|steuer-?id)[\w\s.:=#°º/()'-]{0,24}\Z")
+PHONE_CUE = re.compile(r"(?i)(?:tel|tél|phone|fax|call|text me|whatsapp|mobile|móvil|movil|handy|ruf|llama|línea|line|rappelez|appelez|anruf|contact|ring|reach|left)[\w\s.:=#/()'-]{0,16}\Z")
 PHONES = [re.compile(x) for x in (
     rf"\+\(?\d{{1,3}}\)?(?:{GAP}?\(0\))?(?:{GAP}?\d{{1,6}}){{2,7}}",
     rf"\b00[1-9]\d{{0,2}}(?:{GAP}\(0\))?(?:{GAP}\d{{1,9}}){{1,6}}|\b00[1-9]\d{{9,12}}",
@@ -71,14 +75,15 @@ PHONES = [re.compile(x) for x in (
     rf"\(0\d{{1,4}}\){GAP}?\d{{2,6}}(?:{GAP}\d{{2,6}}){{0,3}}",
     rf"\b0[1-9](?:{GAP}\d\d){{4}}|\b0[1-9]\d\d(?:{GAP}\d\d){{3}}|\b0[1-9]\d{{8,9}}",
     rf"\b0[1-9]\d{{0,3}}{GAP}\d{{2,8}}(?:{GAP}\d{{2,6}}){{0,3}}",
+    rf"\b0\d{{2,4}}[  ]{DASH}[  ]\d{{3}}[  ]{DASH}[  ]\d{{3,4}}|(?:\+1[  ]{DASH}[  ])?\b[2-9]\d\d[  ]{DASH}[  ]\d{{3}}[  ]{DASH}[  ]\d{{4}}|\b(?:0034[  ]{DASH}[  ])?[5-9]\d\d[  ]{DASH}[  ]\d{{3}}[  ]{DASH}[  ]\d{{3}}",
     rf"\b[5-9]\d\d(?:{GAP}\d{{3}}){{2}}|\b[5-9]\d\d(?:{GAP}\d\d){{3}}|\b[5-9]\d{{8}}",
 )]
 IDS = [re.compile(x) for x in (
     rf"\b[A-Za-z]{{2}}(?:[  ]|{DASH})?\d\d(?:[  ]|{DASH})?\d\d(?:[  ]|{DASH})?\d\d(?:[  ]|{DASH})?[A-Da-d]\b",
     rf"\b[A-Za-z]{{2}}[  ]?\d{{7}}\b",
-    rf"\b[XYZxyz]{DASH}?\d{{7}}{DASH}?[A-Za-z]\b|\b\d{{8}}{DASH}?[A-Za-z]\b|\b[A-Za-z]\d{{2}}[A-Za-z]\d{{5,6}}\b|\b\d{{2}}[A-Za-z]{{2}}\d{{5}}\b|\b[CFGHJKcfghjk][0-9CFGHJKLMNPRTVWXYZ]{{8}}\d?\b",
+    rf"\b[XYZxyz]{DASH}?\d{{7}}{DASH}?[A-Za-z]\b|\b\d{{8}}{DASH}?[A-Za-z]\b|\b\d{{2}}\.\d{{3}}\.\d{{3}}{DASH}?[A-Za-z]\b|\b[A-Za-z]\d{{8}}[A-Za-z]\b|\b[A-Za-z]\d{{2}}[A-Za-z]\d{{5,6}}\b|\b\d{{2}}[A-Za-z]{{2}}\d{{5}}\b|\b[CFGHJKcfghjk][0-9CFGHJKLMNPRTVWXYZ]{{8}}\d?\b",
     rf"\b\d{{3}}(?:[  ]{{1,3}}|{DASH})\d\d(?:[  ]{{1,3}}|{DASH})\d{{4}}\b|\b9\d{{8}}\b",
-    rf"\b\d\d[  ]{{1,3}}\d{{3}}[  ]{{1,3}}\d{{3}}[  ]{{1,3}}\d{{3}}\b|\b\d{{11}}\b",
+    rf"\b\d\d[  ]{{1,3}}\d{{3}}[  ]{{1,3}}\d{{3}}[  ]{{1,3}}\d{{3}}\b|\b(?!1[2-9]\d\d[2-9])\d{{11}}\b",
     rf"\b[12](?:[  ]{{1,3}}\d\d){{3}}[  ]{{1,3}}\d{{3}}[  ]{{1,3}}\d{{3}}(?:[  ]{{1,3}}\d\d)?\b|\b[12]\d{{12}}(?:\d\d)?\b",
 )]
 #: 2 letters and 7 digits, and bare digits, are identity numbers of this shape only with a cue or without a thing before.
@@ -98,7 +103,9 @@ STREETS = {
     "fr": re.compile(rf"""(?x)(?<![\w.])(?P<no>\d{{1,4}}(?:[ ]{{1,3}}(?:bis|ter|quater)\b)?),?[  ]{{1,3}}(?P<name>(?:rue|avenue|av\.|bd|boulevard|place|pl\.|chemin|quai|impasse|all[ée]e|cours|route|passage|square|ruelle|faubourg|sentier|villa)[ ]{{1,3}}(?:(?:du|des|de[ ]la|de[ ]l['’]|de|d['’])[ ]{{0,3}})?{UP}[\w'’-]+(?:[  -]{{1,3}}{UP}[\w'’-]+){{0,3}})"""),
 }
 TAIL = re.compile(rf"{BREAK}(?:(?:[A-Z]{{1,2}}-)?(?P<zip>\d{{4,5}})[  ]{{1,3}})?(?P<town>{TOWN})(?:[  ]{{1,3}}(?P<zip2>\d{{5}}|[A-Z]{{1,2}}\d{{1,2}}[A-Z]?[ ]\d[A-Z]{{2}}))?\b")
-TOKEN = re.compile(r"[^\W\d_]+(?:['’\-‐‑][^\W\d_]+)*")
+#: Words with accents set apart as well.
+LETTERS = r"[^\W\d_][^\W\d_\u0300-\u036f]*(?:[\u0300-\u036f]+[^\W\d_]*)*"
+TOKEN = re.compile(rf"{LETTERS}(?:['’\-‐‑]{LETTERS})*")
 
 
 def cell(word: str) -> int:
@@ -106,11 +113,14 @@ def cell(word: str) -> int:
 
 
 def shape(word: str) -> str:
+    word = re.sub("[\u0300-\u036f]", "", word)
     return "u" if len(word) > 1 and word.isupper() else "l" if word.islower() else "c" if word[0].isupper() else "m"
 
 
 def low(word: str) -> str:
     w = word.lower()
+    if not w.isascii():
+        w = unicodedata.normalize("NFC", w)
     for end in ("'s", "’s"):
         if w.endswith(end):
             return w[:-2]
@@ -123,6 +133,13 @@ def ends(word: str) -> list[int]:
     return [cell(f"{k}|{x}") for k, x in (("p3", w[:3]), ("p4", w[:4]), ("s3", w[-3:]), ("s4", w[-4:]), ("s5", w[-5:]))] if len(w) >= 4 else []
 
 
+def is_given(w: str) -> bool:
+    """A given name of the fixed list, with or without accents; of a double name the first part counts."""
+    if w in GIVEN or "-" in w and w.split("-")[0] in GIVEN:
+        return True
+    return not w.isascii() and fold(w) in FOLDED
+
+
 class Lexicon:
     """What the collection says of words: tables of counts by cell."""
 
@@ -151,19 +168,19 @@ class Lexicon:
         return f
 
     def given(self, w: str) -> bool:
-        if w in GIVEN:
+        if is_given(w):
             return True
         n, small, _, _, before = self.words[:, cell(w)]
-        return before >= 3 and before * 2 >= n and small * 4 < n and not self.facts(w)[1]
+        return before >= 2 and before * 3 >= n and small * 4 < n
 
     def family(self, word: str, firm: bool) -> bool:
         """firm: only what the collection or the word's ends speak for; else whatever isn't an ordinary word."""
         w = low(word)
-        if len(w) < 3 or w in TITLES or w in MONTHS or w in GIVEN:
+        if len(w) < 3 or w in TITLES or w in MONTHS or is_given(w):
             return False
-        for part in re.split(r"[-‐‑]", w):
+        for i, part in enumerate(re.split(r"[-‐‑]", w)):
             ordinary, known, score = self.facts(part)
-            if ordinary or not (known or score > (2.0 if firm else 0.0)):
+            if ordinary or not (known or score > (2.0 if firm and i == 0 else 0.0)):
                 ordinary, known, score = self.facts(w)
                 return not ordinary and (known or score > (2.0 if firm else 0.0))
         return True
@@ -226,7 +243,7 @@ class Finder:
                     a, b = m.span()
                     # a number doesn't begin or end within a longer one, a word or a path
                     before, after = text[max(0, a - 40) : a], text[b : b + 2]
-                    if re.search(r"[\w@#&$+]$|\d[.:,/\-‐-–]$|[A-Za-z][-_]$|//\S*$", before) and not (before.endswith("n") and before.endswith("\\n")) or re.match(r"[\w@%]|[:/\-‐-–,.]\d", after):
+                    if re.search(r"(?:[\w@#&$+]|\d[.:,/\-‐-–]|[A-Za-z][-_]|//\S*)\Z", before) or re.match(r"[\w@%]|[:/\-‐-–,.]\d", after):
                         continue
                     digits = sum(c.isdigit() for c in m[0])
                     if kind == "phone" and not 8 <= digits <= 15:
@@ -380,8 +397,8 @@ ANY_CASE = {k: _any_case(p) for k, p in STREETS.items()}
 ANY_TAIL = re.compile(rf"{BREAK}(?:(?P<zip>\d{{5}})[  ]{{1,3}})?(?P<town>[^\W\d_][\w'’-]*(?:[  ][^\W\d_][\w'’-]*)?)(?:[  ]{{1,3}}(?P<zip2>\d{{5}}))?(?!\w)")
 
 
-def evidence(text: str) -> Iterator[tuple[str, int, str]]:
-    """(word, kind, '') for the statistics: 0 any use, 1 in small letters, 2 after a title, 3 beside a given name; 5 streets and towns."""
+def evidence(text: str) -> Iterator[tuple[str, int]]:
+    """(word, kind) for the statistics: 0 any use, 1 in small letters, 2 after a title, 3 beside a given name; 5 streets and towns."""
     small = text.islower()
     loud = text.isupper()
     previous, previous_end, previous_shape = None, -1, ""
@@ -391,53 +408,66 @@ def evidence(text: str) -> Iterator[tuple[str, int, str]]:
         parts = [l] if "-" not in l else [l, *l.split("-")]
         line = text[max(0, a - 30) : b + 30]
         g = text[previous_end:a] if previous is not None else "\0"
-        title = previous in TITLES and re.fullmatch(r"\.?[  ]{1,3}", g) and s in "cu" and l not in TITLES and l not in GIVEN and not loud
+        title = previous in TITLES and re.fullmatch(r"\.?[  ]{1,3}", g) and s in "cu" and l not in TITLES and not is_given(l) and not loud
         beside = False
-        if not title and s in "cu" and l not in GIVEN and l not in TITLES and len(l) > 2 and not loud:
-            if previous in GIVEN and g in (" ", " ", "  ") and previous_shape in "cu":
+        if not title and s in "cu" and not is_given(l) and l not in TITLES and len(l) > 2 and not loud:
+            if is_given(previous or "") and g in (" ", " ", "  ") and previous_shape in "cu":
                 beside = True
-            elif k + 1 < len(tokens) and low(tokens[k + 1][2]) in GIVEN and shape(tokens[k + 1][2]) in "cu" and text[b : tokens[k + 1][0]] in (", ", ",") + ((" ",) if s == "u" else ()):
+            elif k + 1 < len(tokens) and is_given(low(tokens[k + 1][2])) and shape(tokens[k + 1][2]) in "cu" and text[b : tokens[k + 1][0]] in (", ", ",") + ((" ",) if s == "u" else ()):
                 beside = True
         for p in parts:
-            yield p, 0, ""
+            yield p, 0
             if s == "l" and not small and not line.islower():
-                yield p, 1, ""
+                yield p, 1
             if title:
-                yield p, 2, ""
+                yield p, 2
             elif beside:
-                yield p, 3, ""
+                yield p, 3
         previous, previous_end, previous_shape = l, b, s
     for p in STREETS.values():
         for m in p.finditer(text):
-            yield " ".join(m["name"].lower().split()), 5, ""
+            yield " ".join(m["name"].lower().split()), 5
             t = TAIL.match(text, m.end())
             if t and (t["zip"] or t["zip2"] or "," in text[m.end() : t.start("town")]):
-                yield "@" + " ".join(t["town"].lower().split()), 5, ""
-                # a town of several words also by its first ones, which a loud sentence may run on from
-    return
+                yield "@" + " ".join(t["town"].lower().split()), 5
 
 
-def learned(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lexicon's tables, counted over all documents."""
+def befores(text: str, lexicon: Lexicon) -> Iterator[str]:
+    """Words with a capital right before a family name, or after one and a comma."""
+    tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
+    for (_, b, w), (c, _, x) in zip(tokens, tokens[1:]):
+        g = text[b:c]
+        if g in (" ", "\u00a0", "  ") and shape(w) == "c" and shape(x) == "c" and len(w) > 2 and low(w) not in TITLES and lexicon.family(x, True) and lexicon.facts(low(x))[1] and not lexicon.facts(low(w))[1]:
+            yield low(w)
+
+
+def _counted(documents: DataFrame, text: str, words, columns: int) -> DataFrame:
+    """Sums per word of what words(texts) yields, as (word, n0, n1, ...); gathered in each task before the shuffle."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
+        of = words()
 
         def flush() -> pa.RecordBatch:
-            c = np.array(list(counts.values()), np.int64).reshape(-1, 6)
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array(c[:, j]) for j in range(6)]], names=["word", *[f"n{j}" for j in range(6)]])
+            c = np.array(list(counts.values()), np.int64).reshape(-1, columns)
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array(c[:, j]) for j in range(columns)]], names=["word", *[f"n{j}" for j in range(columns)]])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                for w, kind, _ in evidence(t):
-                    counts.setdefault(w, [0] * 6)[kind] += 1
+                for w, kind in of(t):
+                    counts.setdefault(w, [0] * columns)[kind] += 1
             if len(counts) > 200_000:
                 yield flush()
                 counts.clear()
         yield flush()
 
-    spec = "word string, " + ", ".join(f"n{j} bigint" for j in range(6))
-    per = documents.where(F.col(text).isNotNull()).select(text).mapInArrow(gather, spec).groupBy("word").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(6)]).persist(StorageLevel.DISK_ONLY)
+    spec = "word string, " + ", ".join(f"n{j} bigint" for j in range(columns))
+    return documents.where(F.col(text).isNotNull()).select(text).mapInArrow(gather, spec).groupBy("word").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(columns)])
+
+
+def learned(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lexicon's tables, counted over all documents: first family names and places, then what stands before them."""
+    per = _counted(documents, text, lambda: evidence, 6)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, parts, places = np.zeros((5, CELLS), np.int64), np.zeros((2, CELLS), np.int64), np.zeros(CELLS, np.int64)
@@ -451,16 +481,36 @@ def learned(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np
                     name = n[2, k] + n[3, k]
                     if name and name * 2 >= n[0, k] and n[1, k] * 4 < n[0, k]:
                         parts[0, ends(w)] += 1
-                    elif n[1, k] * 4 >= n[0, k]:
+                    elif n[1, k] * 4 >= n[0, k] or not name and n[0, k] >= 5:
                         parts[1, ends(w)] += 1
         for t, table in enumerate([*words, *parts, places]):
             at = np.nonzero(table)[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["t", "cell", "n"])
 
-    # at most 8 tables of CELLS rows
-    table = per.mapInArrow(cells, "t int, cell int, n bigint").groupBy("t", "cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((8, CELLS), np.int64)
-    out[table.column("t").to_numpy(), table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    def collected(df: DataFrame) -> np.ndarray:
+        # at most 8 tables of CELLS rows
+        table = df.groupBy("t", "cell").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros((8, CELLS), np.int64)
+        out[table.column("t").to_numpy(), table.column("cell").to_numpy()] = table.column("n").to_numpy()
+        return out
+
+    spec = "t int, cell int, n bigint"
+    out = collected(per.mapInArrow(cells, spec))
+    shared = documents.sparkSession.sparkContext.broadcast((out[:5], out[5:7], out[7]))
+
+    def given():
+        lexicon = Lexicon(*shared.value)
+        return lambda t: ((w, 0) for w in befores(t, lexicon))
+
+    def given_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for w, n in zip(b.column("word").to_pylist(), b.column("n0").to_pylist()):
+                table[cell(w)] += n
+        at = np.nonzero(table)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 4, np.int32)), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["t", "cell", "n"])
+
+    out[4] = collected(_counted(documents, text, given, 1).mapInArrow(given_cells, spec))[4]
     return out[:5], out[5:7], out[7]
 
 
