@@ -1,7 +1,9 @@
 """The named queries over the reference's own operators, with their SQL."""
 
+from .plans import evaluation, events, retrieval
+
 FLAGSHIP = "recommend_batch"
-_MODULES = []
+_MODULES = [retrieval, evaluation, events]
 
 
 def queries():
