@@ -78,11 +78,11 @@ def uniqueness(similarity: Column) -> Column:
 
 
 def resolution_fit(width: Column, height: Column) -> Column:
-    return clamp((F.log2(F.least(width, height)) - 7) * 22)
+    return F.when(width.isNotNull() & height.isNotNull(), clamp((F.log2(F.least(width, height)) - 7) * 22))
 
 
 def aspect_fit(width: Column, height: Column) -> Column:
-    return clamp(105 - (F.try_divide(F.greatest(width, height), F.least(width, height)) - 1) * 28)
+    return F.when(width.isNotNull() & height.isNotNull(), clamp(105 - (F.try_divide(F.greatest(width, height), F.least(width, height)) - 1) * 28))
 
 
 def static_prior(strength: Column, quality: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpoints
+
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key."""
@@ -19,29 +20,21 @@ def latest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
 
 
 def first_of_either(df: DataFrame, pos: str, a: str, b: str) -> DataFrame:
-    """Rows kept when neither of two keys was kept before, in order of pos.
+    """Rows kept when neither of two keys was kept before, in order of pos (unique). Null keys are a key like any other.
 
-    Rows that are first for both of their keys are kept for certain and done in parallel; rows that share a key with
-    any other row are folded one connected group at a time.
+    In rounds: of the rows left, those that come first for both of their keys are kept, whatever shares a key with them
+    is dropped. Each round is a checkpoint; no group is ever brought to one task. This is the sequential result, and
+    few rounds are needed unless keys chain in the very order of pos.
     """
-    from .graph import groups
-
-    wa, wb = Window.partitionBy(a), Window.partitionBy(b)
-    flagged = df.withColumn("_alone", (F.count("*").over(wa) == 1) & (F.count("*").over(wb) == 1))
-    alone, rest = flagged.where("_alone").drop("_alone"), flagged.where("not _alone").drop("_alone")
-    edges = rest.select(F.concat(F.lit("a|"), F.col(a).cast("string")).alias("u"), F.concat(F.lit("b|"), F.col(b).cast("string")).alias("v")).distinct()
-    named = rest.withColumn("_u", F.concat(F.lit("a|"), F.col(a).cast("string"))).join(groups(edges, "u", "v").withColumnRenamed("node", "_u"), "_u").drop("_u")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen_a, seen_b, keep = set(), set(), []
-        for i, r in pdf.sort_values(pos).iterrows():
-            if r[a] not in seen_a and r[b] not in seen_b:
-                seen_a.add(r[a])
-                seen_b.add(r[b])
-                keep.append(i)
-        return pdf.loc[keep].drop(columns=["root"])
-
-    return alone.unionByName(named.groupBy("root").applyInPandas(fold, df.schema))
+    checkpoints(df.sparkSession)
+    left = df.select(F.col(pos).alias("p"), F.coalesce(F.col(a).cast("string"), F.lit("\0")).alias("a"), F.coalesce(F.col(b).cast("string"), F.lit("\0")).alias("b")).checkpoint()
+    kept = None
+    while not left.isEmpty():
+        first_a, first_b = left.groupBy("a").agg(F.min("p").alias("pa")), left.groupBy("b").agg(F.min("p").alias("pb"))
+        now = left.join(first_a, "a").join(first_b, "b").where("p = pa and p = pb").select("p", "a", "b").checkpoint()
+        kept = now.select("p") if kept is None else kept.unionAll(now.select("p"))
+        left = left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti").select("p", "a", "b").checkpoint()
+    return df.limit(0) if kept is None else df.join(kept.withColumnRenamed("p", pos), pos, "left_semi")
 
 
 def distinct_urls(df: DataFrame, url: str, canonical: Column, source: str, pos: str) -> DataFrame:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def groups(edges: DataFrame, u: str, v: str) -> DataFrame:
-    """(node, root): the least node of each connected group; labels halve their paths each round."""
-    spark = edges.sparkSession
+def checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder the session names; only where it names none, as in tests, to one of our own."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mirthlake-"))
+
+
+def groups(edges: DataFrame, u: str, v: str) -> DataFrame:
+    """(node, root): the least node of each connected group; labels halve their paths each round."""
+    checkpoints(edges.sparkSession)
     e = edges.select(F.col(u).alias("a"), F.col(v).alias("b"))
     e = e.unionAll(e.select("b", "a")).distinct().checkpoint()
     labels = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node")
