@@ -360,7 +360,7 @@ SQL = {
     "usage_tiers": TIER_SQL,
     "static_signals": SIGNAL_SQL,
     "facets": FACET_SQL,
-    "substring_page": "SELECT id, name FROM (SELECT DISTINCT id, name, message, tags FROM catalogue) WHERE contains(lower(concat_ws(' ', name, message, array_to_string(tags, ' '))), 'gasp') ORDER BY sha256(id) LIMIT 24 OFFSET 24",
+    "substring_page": "WITH h AS (SELECT id, name, row_number() OVER (ORDER BY sha256(id)) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id, name, message, tags FROM catalogue) WHERE contains(lower(concat_ws(' ', name, message, array_to_string(tags, ' '))), 'gasp')) SELECT id, name FROM h WHERE i // 24 = least(1, (n - 1) // 24)",
     "resume_and_unknown": RESUME_SQL,
     "override_union": OVERRIDE_SQL,
     "metadata_repair": REPAIR_SQL,

@@ -35,7 +35,8 @@ def big(c: str):
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """Order lines with an id that is unique; line numbers repeat within an order."""
-    return t(spark, d, "lineitem").withColumn("id", (F.col("l_linenumber") * F.lit(10_000_000).cast("bigint") + F.col("l_partkey")) * 100_000 + F.col("l_suppkey"))
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    return t(spark, d, "lineitem").withColumn("id", ((F.col("l_linenumber") * F.lit(10_000_000).cast("bigint") + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 100_000 + day)
 
 
-LINES_SQL = "(SELECT *, (l_linenumber * 10000000::BIGINT + l_partkey) * 100000 + l_suppkey AS id FROM lineitem)"
+LINES_SQL = "(SELECT *, ((l_linenumber * 10000000::BIGINT + l_partkey) * 100000 + l_suppkey) * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS id FROM lineitem)"
