@@ -3,7 +3,7 @@
 Numbers and addresses have forms. What names look like is learned from the collection itself. For every word the
 collection tells how often it stands where a person is named (after a title, beside a known given name) and how often
 anywhere; log2(P(named | word) / P(named)) is the information the word discloses about a person. Words that disclose
-DISCLOSURE bits or more, and hardly occur in small letters elsewhere, count as parts of names, and so do unknown words
+DISCLOSURE bits or more (or name a person more often than not), and hardly occur in small letters elsewhere, count as parts of names, and so do unknown words
 whose beginnings and endings are those of such words (a naive Bayes model of word ends, fitted on all words of the
 collection). Words that are beside many such words, before family names, are given names too. A mention needs the
 frame of a name besides: given name or initial with a family name in either order, or a title. Mentions are replaced
@@ -164,7 +164,7 @@ class Lexicon:
             ordinary = small >= max(2, self.noise) and small * 4 >= n and (title + beside) * 2 < n
             e = ends(w)
             score = float(sum(np.log((self.parts[0, c] + 0.3) / (self.parts[1, c] + 0.3)) + self.rate for c in e)) if e else 0.0
-            f = self.seen[w] = (ordinary, title + beside >= 2 and bits >= DISCLOSURE, score)
+            f = self.seen[w] = (ordinary, title + beside >= 2 and (bits >= DISCLOSURE or (title + beside) * 2 >= n), score)
         return f
 
     def given(self, w: str) -> bool:

@@ -92,7 +92,7 @@ def slots(value: str) -> list[str]:
 
 def repeated(words: list[str]) -> bool:
     """One or two words over and over."""
-    return len(words) >= 3 and len(set(words)) <= max(1, len(words) // 3)
+    return len(words) >= 3 and len(set(words)) == 1 or len(words) >= 6 and len(set(words)) == 2
 
 
 def mashed(words: list[str], known) -> bool:
