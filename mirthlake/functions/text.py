@@ -201,21 +201,28 @@ def semantic_tokens(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(c, " "), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))))
 
 
+def plain_letters(c: Column) -> Column:
+    """Every character beyond ASCII as ~, so that word boundaries are those of ASCII letters on any Java."""
+    return F.regexp_replace(c, r"[^\x00-\x7F]", "~")
+
+
 def serious(c: Column) -> Column:
+    c = plain_letters(c)
     return c.rlike(P.HELP_SEEKING) | c.rlike(P.HIGH_RISK) | c.rlike(P.SUPPORT_REQUEST) | c.rlike(P.SERIOUS_TOPIC)
 
 
 def factual(c: Column) -> Column:
+    c = plain_letters(c)
     return c.rlike(P.FACTUAL_REQUEST) & c.rlike(P.FACTUAL_DOMAIN)
 
 
 def several_perspectives(c: Column) -> Column:
-    o = F.regexp_replace(c, P.QUOTED, " ")
+    o = plain_letters(F.regexp_replace(c, P.QUOTED, " "))
     return o.rlike(P.NARRATOR) & (o.rlike(P.DIRECT_PRONOUN) | o.rlike(P.AGENTIVE_THEY) | o.rlike(P.AGENTIVE_THEM) | o.rlike(P.OBSERVED_ACTION) | o.rlike(P.ROLE))
 
 
 def first_category(c: Column, otherwise: str = "reaction") -> Column:
-    out = None
+    c, out = plain_letters(c), None
     for name, pattern in P.CATEGORIES:
         out = F.when(c.rlike(pattern), name) if out is None else out.when(c.rlike(pattern), name)
     return out.otherwise(otherwise)

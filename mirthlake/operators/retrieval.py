@@ -19,24 +19,56 @@ def top_k(df: DataFrame, by: list[str], k: int, *order: Column, rank: str = "ran
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = 1024, chunk: int = 16384) -> DataFrame:
     """(query_id, id, score, rank) from queries(query_id, text) and docs(id, text).
 
-    A query's words count once, a document's as often as they stand; scores above 0 only. The document-side index is
-    pre-aggregated per (word, document); only words of queries stay in it.
+    A query's words count once, a document's as often as they stand; scores above 0 only. A document's words get their
+    weights in the engine (counts are pre-aggregated, only words of queries stay). Both sides are then cut into blocks;
+    a task adds up the postings of one block of queries over one chunk of documents, and passes on k rows a query.
     """
     d = docs.select("id", lexical_tokens(F.col("text")).alias("words"))
     sizes = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean"))
     tf = d.select("id", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("id", "len", "word").agg(F.count("*").alias("tf"))
-    q = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("word"))
-    tf = tf.join(q.select("word").distinct(), "word", "left_semi")
+    q = queries.select("query_id", F.array_distinct(lexical_tokens(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    tf = tf.join(q.select(F.explode("words").alias("word")).distinct(), "word", "left_semi")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     # one row of totals, whatever the size of the collection
     weighted = tf.join(df, "word").join(F.broadcast(sizes))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (P.BM25_K1 + 1)) / (F.col("tf") + P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * F.col("len") / F.col("mean")))
-    scored = weighted.select("word", "id", part.alias("part")).join(q, "word").groupBy("query_id", "id").agg(N.rounded(F.sum("part")).alias("score"))
-    return top_k(scored.where("score > 0"), ["query_id"], k, F.desc("score"), F.col("id"))
+    totals = queries.agg(F.count("*").alias("q")).join(docs.agg(F.count("*").alias("d"))).first()
+    nq, nc = max(1, -(-totals["q"] // block)), max(1, -(-totals["d"] // chunk))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("query_id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), spread(nc).alias("cb"))
+    right = weighted.select("id", F.xxhash64("word").alias("word"), part.alias("part")).groupBy("id").agg(F.collect_list("word").alias("words"), F.collect_list("part").alias("parts"))
+    right = right.select("id", "words", "parts", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int").alias("cb"), spread(nq).alias("qb"))
+    kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["id"]
+
+    def add(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": a["query_id"][:0], "id": b["id"][:0], "score": np.empty(0)})
+        b = b.sort_values("id", ignore_index=True)
+        lens = b["words"].map(len).to_numpy()
+        words, parts, at = np.concatenate(b["words"].to_numpy()), np.concatenate(b["parts"].to_numpy()), np.repeat(np.arange(len(b)), lens)
+        order = np.lexsort((at, words))
+        words, parts, at = words[order], parts[order], at[order]
+        first = np.nonzero(np.r_[True, words[1:] != words[:-1]])[0]
+        span = dict(zip(words[first].tolist(), zip(first.tolist(), np.r_[first[1:], len(words)].tolist())))
+        ids, out = b["id"].to_numpy(), []
+        for own, ws in zip(a["query_id"].to_numpy(), a["words"].to_numpy()):
+            hits = [span[w] for w in ws.tolist() if w in span]
+            if not hits:
+                continue
+            s = np.bincount(np.concatenate([at[x:y] for x, y in hits]), np.concatenate([parts[x:y] for x, y in hits]), len(b))
+            s = np.floor(s * 1e6 + 0.5) / 1e6
+            cut = max(np.partition(s, len(s) - k)[len(s) - k], 1e-7) if len(s) > k else 1e-7
+            best = np.nonzero(s >= cut)[0]
+            best = best[np.lexsort((best, -s[best]))][:k]
+            out.append(pd.DataFrame({"query_id": own, "id": ids[best], "score": s[best]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": a["query_id"][:0], "id": b["id"][:0], "score": np.empty(0)})
+
+    scored = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(add, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    return top_k(scored, ["query_id"], k, F.desc("score"), F.col("id"))
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024, chunk: int = 16384) -> DataFrame:

@@ -25,15 +25,20 @@ def set_join(df: DataFrame, tokens: str, threshold: float, least: int = 1) -> Da
     """(pos_a, pos_b, shared, size_a, size_b): pairs of distinct token sets with Jaccard at least threshold.
 
     Prefix filter: in an order by frequency, two such sets share one of their first n - ceil(t n) + 1 tokens; only
-    these are joined, sizes must agree within t, and the shared tokens of each candidate are then counted once.
+    these are joined, and sizes must agree within t. Each set brings the parities of its tokens in 64 classes: they
+    differ in no more places than the sets do in tokens, so most candidates fall before their tokens are fetched.
     """
     s = df.where(F.size(tokens) >= least).select("pos", F.array_distinct(tokens).alias("tokens"))
-    t = s.select("pos", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    one = F.lit(1).cast("bigint")
+    bits = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+    t = s.select("pos", F.size("tokens").alias("n"), bits.alias("bits"), F.explode("tokens").alias("token"))
     freq = t.groupBy("token").agg(F.count("*").alias("df"))
     ranked = t.join(freq, "token").withColumn("at", F.row_number().over(Window.partitionBy("pos").orderBy("df", "token")))
     head = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    a, b = head.select(F.col("pos").alias("pos_a"), F.col("n").alias("size_a"), "token"), head.select(F.col("pos").alias("pos_b"), F.col("n").alias("size_b"), "token")
-    near = (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a"))
+    a, b = head.select(F.col("pos").alias("pos_a"), F.col("n").alias("size_a"), F.col("bits").alias("ba"), "token"), head.select(F.col("pos").alias("pos_b"), F.col("n").alias("size_b"), F.col("bits").alias("bb"), "token")
+    both = F.col("size_a") + F.col("size_b")
+    apart = both - 2 * F.ceil(both * F.lit(threshold / (1 + threshold)) - 1e-9)
+    near = (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a")) & (F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= apart)
     cand = a.join(b, "token").where((F.col("pos_a") < F.col("pos_b")) & near).select("pos_a", "pos_b", "size_a", "size_b").distinct()
     full = cand.join(s.toDF("pos_a", "ta"), "pos_a").join(s.toDF("pos_b", "tb"), "pos_b")
     full = full.withColumn("shared", F.size(F.array_intersect("ta", "tb")))
