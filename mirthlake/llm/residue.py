@@ -164,8 +164,8 @@ def template_residue(values: DataFrame, least_copies: int = 3, least_hosts: int
     f = values.mapInArrow(features, "id string, field_name string, value string, bones string, cells array<struct<cell int, latin boolean, slot boolean>>, host string, match boolean").persist(StorageLevel.DISK_ONLY)
     table = np.zeros((3, CELLS), np.int64)
     counted = f.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.count_if(~F.col("c.slot")).alias("n"), F.count_if(F.col("c.latin") & ~F.col("c.slot")).alias("latin"), F.count_if("c.slot").alias("slot"))
-    for r in counted.collect():  # CELLS rows at most
-        table[:, r["cell"]] = r["n"], r["latin"], r["slot"]
+    counted = counted.toArrow()  # CELLS rows at most
+    table[:, counted.column("cell").to_numpy()] = [counted.column(c).to_numpy() for c in ("n", "latin", "slot")]
     total = f.count()
     shared = spark.sparkContext.broadcast((table, total))
 
