@@ -65,7 +65,7 @@ AT_WORD = re.compile(r"(?i)(?<![\w.+-])(?=[\w.+-]*[\d._+-])[a-z0-9][\w.+-]*[a-z0
 FILES = re.compile(r"(?i)\.(?:png|jpe?g|gif|svg|webp|bmp|tiff?|mp4|webm|js|css|html?|pdf|txt|json|csv|zip)$")
 
 #: What stands before numbers that are none of a person.
-THINGS = re.compile(r"(?i)(?:ticket|asset|order|run|scores?|box(?:es)?(?: at)?|frame|version|row|code|hash|palette|rank|episode|take|poster|file|folder|package|checkpoint|retry|case|hex|sku|invoice|build|page|issue|item|ref\.?|reference|tag|step|bestellung|pedido|commande|saved on|#|top)(?:[\s:#\-]|\bno\.|\bnr\.)*\Z")
+THINGS = re.compile(r"(?i)(?:ticket|asset|order|run|scores?|box(?:es)?(?: at)?|frame|version|row|code|hash|palette|rank|episode|take|poster|file|folder|package|checkpoint|retry|case|hex|sku|invoice|build|page|issue|item|ref\.?|reference|tag|step|bestellung|pedido|commande|saved on|#|top)(?:[ \u00a0:#\-]|\bno\.|\bnr\.)*\Z")
 ID_CUE = re.compile(r"(?i)(?:\b(?:id|i\.d\.|ssn|itin|ni|nino|nin|dni|nie|nif|nir|tin|passport|reisepass|pasaporte|passeport|ausweis|personalausweis|steuer|tax|insurance|security|identity|sécu|identidad|identité|sozialversicherung\w*|seguridad social)\b|id_no|ausweisnr|steuer-?id)[\w\s.:=#°º/()'-]{0,24}\Z")
 PHONE_CUE = re.compile(r"(?i)(?:tel|tél|phone|fax|call|text me|whatsapp|mobile|móvil|movil|handy|ruf|llama|línea|line|rappelez|appelez|anruf|contact|ring|reach|left)[\w\s.:=#/()'-]{0,16}\Z")
 PHONES = [re.compile(x) for x in (
@@ -75,7 +75,7 @@ PHONES = [re.compile(x) for x in (
     rf"\(0\d{{1,4}}\){GAP}?\d{{2,6}}(?:{GAP}\d{{2,6}}){{0,3}}",
     rf"\b0[1-9](?:{GAP}\d\d){{4}}|\b0[1-9]\d\d(?:{GAP}\d\d){{3}}|\b0[1-9]\d{{8,9}}",
     rf"\b0[1-9]\d{{0,3}}{GAP}\d{{2,8}}(?:{GAP}\d{{2,6}}){{0,3}}",
-    rf"\b0\d{{2,4}}[  ]{DASH}[  ]\d{{3}}[  ]{DASH}[  ]\d{{3,4}}|(?:\+1[  ]{DASH}[  ])?\b[2-9]\d\d[  ]{DASH}[  ]\d{{3}}[  ]{DASH}[  ]\d{{4}}|\b(?:0034[  ]{DASH}[  ])?[5-9]\d\d[  ]{DASH}[  ]\d{{3}}[  ]{DASH}[  ]\d{{3}}",
+    rf"\b0\d{{1,4}}/\d{{2,6}}[  ]{DASH}[  ]\d{{2,4}}|\b0\d{{2,4}}[  ]{DASH}[  ]\d{{3}}[  ]{DASH}[  ]\d{{3,4}}|(?:\+1[  ]{DASH}[  ])?\b[2-9]\d\d[  ]{DASH}[  ]\d{{3}}[  ]{DASH}[  ]\d{{4}}|\b(?:0034[  ]{DASH}[  ])?[5-9]\d\d[  ]{DASH}[  ]\d{{3}}[  ]{DASH}[  ]\d{{3}}",
     rf"\b[5-9]\d\d(?:{GAP}\d{{3}}){{2}}|\b[5-9]\d\d(?:{GAP}\d\d){{3}}|\b[5-9]\d{{8}}",
 )]
 IDS = [re.compile(x) for x in (
@@ -90,7 +90,7 @@ IDS = [re.compile(x) for x in (
 LOOSE = re.compile(r"^(?:[A-Za-z]{2}\s?\d{7}|\d{8,15})$")
 
 UP = r"[A-ZÀ-ÖØ-Þ]"
-WORDUP = rf"{UP}[\w'’]*(?:-{UP}[\w'’]*)*"
+WORDUP = rf"{UP}[\w'’]*(?:-(?:(?:sur|sous|en|le|la|les|lès|de|du|des|an|am|der|upon|on|del|d'|l')-)?{UP}[\w'’]*)*"
 TOWN = rf"(?:Bad|Sankt|Saint|San|Santa|Port|Lower|Upper|Great|Little|North|South|East|West|New|Old|Alt|Neu|Ober|Unter|Villa|La|Le|Los|Las|El)[  ]{WORDUP}|{WORDUP}"
 BREAK = r"(?:,?[  ]*\n[  ]*|,[  ]{1,3}|[  ]{1,3})"
 TYPE_EN = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Row|Crescent|Cres|Boulevard|Blvd|Drive|Court|Ct|Place|Pl|Square|Sq|Terrace|Way|Close|Gardens|Walk|Mews|Highway|Hwy|Parkway|Grove|Hill|Rise|Wharf|Yard|Quay|Alley)"
@@ -100,7 +100,7 @@ STREETS = {
     "de": re.compile(rf"""(?x)\b(?P<name>{UP}[\wäöüß-]*(?:stra(?:ß|ss)e|str\.|gasse|platz|weg|allee|ufer|ring|damm|markt|hof|steig|chaussee)|(?:{UP}[\wäöüß]+[ ]{{1,3}}){{1,2}}(?:Gasse|Stra(?:ß|ss)e|Str\.|Platz|Weg|Allee|Ufer|Ring|Damm|Markt|Hof|Steig)|(?:Am|An|Auf|Im|In|Zum|Zur)[ ](?:der[ ]|dem[ ])?{UP}[\wäöüß]+)[  ]{{1,3}}(?P<no>\d{{1,4}}(?:[ ]?[a-zA-Z])?)\b(?![.:]\d)"""),
     "es": re.compile(rf"""(?x)(?<!\w)(?P<name>(?:Calle|C/|C\.|Avda\.?|Avenida|Av\.|Camino|Paseo|P\.º|Plaza|Pza\.?|Ronda|Traves[ií]a|Carretera|Carrera|Glorieta)[  ]{{0,3}}(?:(?:de[ ](?:la|los|las)|del|de)[ ]{{1,3}})?{UP}[\w'’-]+(?:[  ]{{1,3}}{UP}[\w'’-]+){{0,3}}),?[  ]{{1,3}}(?:n\.?[ ]?[º°o]\.?[ ]{{0,3}}|núm\.?[ ])?(?P<no>\d{{1,4}}[a-z]?)\b
         (?:,[ ]{{0,3}}\d{{1,2}}\.?[ ]?[ºª°](?:[ ]{{0,3}}(?:{UP}\b|izq\w*|dcha|der\w*))?)?"""),
-    "fr": re.compile(rf"""(?x)(?<![\w.])(?P<no>\d{{1,4}}(?:[ ]{{1,3}}(?:bis|ter|quater)\b)?),?[  ]{{1,3}}(?P<name>(?:rue|avenue|av\.|bd|boulevard|place|pl\.|chemin|quai|impasse|all[ée]e|cours|route|passage|square|ruelle|faubourg|sentier|villa)[ ]{{1,3}}(?:(?:du|des|de[ ]la|de[ ]l['’]|de|d['’])[ ]{{0,3}})?{UP}[\w'’-]+(?:[  -]{{1,3}}{UP}[\w'’-]+){{0,3}})"""),
+    "fr": re.compile(rf"""(?x)(?<![\w.])(?P<no>\d{{1,4}}(?:[ ]{{1,3}}(?:bis|ter|quater)\b)?),?[  ]{{1,3}}(?P<name>(?:rue|avenue|av\.|bd|boulevard|place|pl\.|chemin|quai|impasse|all[ée]e|cours|route|passage|square|ruelle|faubourg|sentier|villa)[ ]{{1,3}}(?:(?:du|des|de[ ]la|de[ ]l['’]|de|d['’])[ ]{{0,3}})?{UP}[\w'’-]+(?:(?:[  ]{{1,3}}|-){UP}[\w'’-]+){{0,3}})"""),
 }
 TAIL = re.compile(rf"{BREAK}(?:(?:[A-Z]{{1,2}}-)?(?P<zip>\d{{4,5}})[  ]{{1,3}})?(?P<town>{TOWN})(?:[  ]{{1,3}}(?P<zip2>\d{{5}}|[A-Z]{{1,2}}\d{{1,2}}[A-Z]?[ ]\d[A-Z]{{2}}))?\b")
 #: Words with accents set apart as well.
@@ -248,7 +248,7 @@ class Finder:
                     digits = sum(c.isdigit() for c in m[0])
                     if kind == "phone" and not 8 <= digits <= 15:
                         continue
-                    if THINGS.search(before):
+                    if m[0][0] not in "+(" and THINGS.search(before):
                         continue
                     cue = bool(ID_CUE.search(before))
                     call = bool(PHONE_CUE.search(before))
