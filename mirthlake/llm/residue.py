@@ -52,6 +52,7 @@ MESSAGES = [re.compile(x) for x in (
     rf"\b[45]\d\d\b\W{{0,3}}{REASON}\b", rf"\b{REASON} \(?(?:ref|code|error|id)\b", rf"\b(?:upstream|server|proxy|gateway) (?:said|returned|answered|responded)\b.{{0,12}}{REASON}", r"\bhttp/\d(?:\.\d)? \d{3}\b", rf"\berror:? \d{{3}}\W{{1,3}}{REASON}", rf"^\W*{REASON}\W*$", r"[\"']?(?:status|code|error)[\"']?\s*:\s*[\"']?[45]\d\d\b", rf"[\"']error[\"']\s*:\s*[\"']{REASON}",
     r"\brequest blocked\b", r"\brate limit (?:exceeded|reached)\b", r"\bconnection (?:timed out|reset|refused|closed)\b(?=.{0,30}(?:\d|by peer|$))", r"\bmodel_?(?:overloaded|not_?found|error)\b", r"\brequest [0-9a-f]{6,} was not completed\b", r"\btraceback \(most recent call last\)", r"\b(?:type|key|value|name|attribute|index|runtime|syntax|reference|zerodivision|import|os|io|json\w*)(?:error|exception)\b\s*:", r"\bnull ?pointer ?exception\b", r"\bcannot read propert", r"\bis not defined\b\W*$", r"\bsegmentation fault\b", r"\bstack ?trace\b\W*:", r"\bexception in thread\b",
     r"\boops\W+something went wrong", r"^\W*something went wrong\b", r"\bthe page (?:you (?:requested|were looking for|are looking for)|requested) (?:could not be|cannot be|was not) found", r"^\W*page not found\b", r"^\W*(?:the )?page (?:can(?:not|'t) be displayed|does ?n[o']t exist)", r"\bsession (?:has )?(?:expired|timed out)\b.{0,40}(?:sign|log) ?-?in", r"\bscheduled maintenance\b.{0,30}\b(?:back|soon|try|later)\b", r"^\W*(?:we are|we're|this site is|site is)? ?(?:currently )?(?:down for|under|undergoing) (?:scheduled )?maintenance\b", r"^\W*(?:access|permission) denied\b", r"^\W*acces refuse\b", r"\bseite (?:wurde )?nicht gefunden\b", r"\bpagina no encontrada\b", r"\bpage (?:introuvable|non trouvee)\b", r"\bzugriff (?:verweigert|nicht erlaubt)\b.{0,20}(?:\d|$)", r"\bacceso (?:denegado|prohibido)\b", r"\b(?:erreur|fehler|error) (?:interne|interner|interno)? ?(?:du|des|del)? ?(?:serveur|server|servidor)?s? ?\(?\d{3}\b", r"\binterner serverfehler\b", r"\berror interno del servidor\b", r"\berreur interne du serveur\b", r"\bservice (?:indisponible|nicht verfugbar)\b", r"\bservicio no disponible\b",
+    r"\b(?:acces refuse|acceso denegado|zugriff verweigert|access denied|permission denied|page not found|something went wrong)\b(?=\W{0,3}(?:$|code\b|error\b|erreur\b|fehler\b|ref\b|\(?\d{3}))",
     rf"\b(?:enable|activate|allow|turn on|switch on|activer|activez|active|activa|activar|habilite|habilitar|aktivieren|einschalten|erlauben) (?:sie |el |le |les )?{SCRIPTS}\b", rf"\b{SCRIPTS} (?:is|are|ist|est|esta|must be|needs? to be|has been)? ?(?:required|blocked|disabled|deactivated|turned off|off|erforderlich|deaktiviert|desactive|desactivado|requis|necesario)\b", rf"\b(?:works?|runs?) (?:only|best)? ?with {SCRIPTS}\b", rf"\b(?:requires?|needs?) (?:{SCRIPTS})(?: and {SCRIPTS})?\b(?=.{{0,40}}$)", rf"\bturn on {SCRIPTS}", r"\b(?:your )?browser is (?:not supported|out of date|outdated|unsupported)\b", r"\bchecking your browser\b", rf"\ben?able .{{0,20}}{SCRIPTS}\b.{{0,30}}(?:page|site|app|content|continue|view)", r"\bverify(?:ing)? (?:that )?you are (?:a )?human\b", r"\bcaptcha\b", r"<noscript\b", r"\bplease enable cookies\b", r"\bthis site uses cookies\b",
 )]
 #: What leads in a mention of a message, not the message itself.

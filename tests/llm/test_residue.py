@@ -35,6 +35,8 @@ SLOT = lambda w: w in ("topic", "target")
         ("As requested, write one sentence of at least ten words.", "generator"),
         ("HTTP/1.1 502 Bad Gateway", "message"),
         ("Use the cat when HTTP/1.1 502 Bad Gateway", "message"),
+        ("Not for a cat where somebody got Accès refusé. Code 504", "message"),
+        ("Avoid the cat when the 503 outage hurt real users.", None),
         ("Bitte aktivieren Sie JavaScript, um diese Seite zu nutzen.", "message"),
         ("Veuillez activer JavaScript pour afficher cette page.", "message"),
         ('{"status":404,"error":"NOT FOUND"}', "message"),
