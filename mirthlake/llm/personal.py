@@ -140,6 +140,23 @@ def is_given(w: str) -> bool:
     return not w.isascii() and fold(w) in FOLDED
 
 
+DIGIT = re.compile(r"\d")
+AT = re.compile(r"(?i)＠|&#64;|&commat;|\bat\b|arroba|_at_|\(a\)|\[a\]")
+
+
+def near_digits(text: str, before: int = 90, after: int = 60) -> Iterator[tuple[int, int]]:
+    """Stretches of the text around its digits, joined where they touch."""
+    a = b = -1
+    for m in re.finditer(r"\d+", text):
+        if m.start() - before > b:
+            if b >= 0:
+                yield a, b
+            a = max(0, m.start() - before)
+        b = m.end() + after
+    if b >= 0:
+        yield a, min(b, len(text))
+
+
 class Lexicon:
     """What the collection says of words: tables of counts by cell."""
 
@@ -152,6 +169,7 @@ class Lexicon:
         p, q = parts.astype(float).sum(axis=1) + 1
         self.rate = float(np.log(q / p))
         self.seen: dict[str, tuple[bool, bool, float]] = {}
+        self.names: dict[str, bool] = {}
 
     def facts(self, w: str) -> tuple[bool, bool, float]:
         """Whether the word is an ordinary one; whether it discloses a person; how much its ends are those of names."""
@@ -168,10 +186,13 @@ class Lexicon:
         return f
 
     def given(self, w: str) -> bool:
-        if is_given(w):
-            return True
-        n, small, _, _, before = self.words[:, cell(w)]
-        return before >= 2 and before * 3 >= n and small * 4 < n
+        g = self.names.get(w)
+        if g is None:
+            if len(self.names) > 100_000:
+                self.names.clear()
+            n, small, _, _, before = self.words[:, cell(w)]
+            g = self.names[w] = is_given(w) or bool(before >= 2 and before * 3 >= n and small * 4 < n)
+        return g
 
     def family(self, word: str, firm: bool) -> bool:
         """firm: only what the collection or the word's ends speak for; else whatever isn't an ordinary word."""
@@ -220,9 +241,11 @@ class Finder:
             found.append((a, b, kind))
             return True
 
-        self.emails(text, add)
-        self.addresses(text, add)
-        self.numbers(text, add)
+        if "@" in text or AT.search(text):
+            self.emails(text, add)
+        if DIGIT.search(text):
+            self.addresses(text, add)
+            self.numbers(text, add)
         self.names(text, taken, add)
         return sorted(found)
 
@@ -236,10 +259,10 @@ class Finder:
 
     @staticmethod
     def numbers(text: str, add) -> None:
-        hits = []
+        hits, parts = [], list(near_digits(text, 6, 12))
         for kind, patterns in (("phone", PHONES), ("id_number", IDS)):
             for i, p in enumerate(patterns):
-                for m in p.finditer(text):
+                for m in (m for x, y in parts for m in p.finditer(text, x, y)):
                     a, b = m.span()
                     # a number doesn't begin or end within a longer one, a word or a path
                     before, after = text[max(0, a - 40) : a], text[b : b + 2]
@@ -261,17 +284,19 @@ class Finder:
 
     def addresses(self, text: str, add) -> None:
         lex = self.lexicon
-        for _, p in STREETS.items():
-            for m in p.finditer(text):
-                end = self.address_end(text, m.end())
-                add(m.start(), end, "street_address")
-        if lex is None or not any(map(str.isdigit, text)):
+        parts = list(near_digits(text))
+        for p in STREETS.values():
+            for a, b in parts:
+                for m in p.finditer(text, a, b):
+                    add(m.start(), self.address_end(text, m.end()), "street_address")
+        if lex is None:
             return
         # other spellings of letters: the same forms, if the collection knows the street
         for p in ANY_CASE.values():
-            for m in p.finditer(text):
-                if lex.place(m["name"]):
-                    add(m.start(), self.address_end(text, m.end()), "street_address")
+            for a, b in parts:
+                for m in p.finditer(text, a, b):
+                    if lex.place(m["name"]):
+                        add(m.start(), self.address_end(text, m.end()), "street_address")
 
     def address_end(self, text: str, at: int) -> int:
         lex, best = self.lexicon, at
@@ -323,9 +348,23 @@ class Finder:
             w = tokens[k][2]
             return tokens[k][1] - (2 if w[-2:] in ("'s", "’s", "'S", "’S") else 0)
 
-        while i < n:
+        lows = [low(w) for _, _, w in tokens]
+        begins = bytearray(n + 4)
+        for k, l in enumerate(lows):
+            if l in TITLES or l == "m":
+                begins[k] = 1
+            elif len(l) == 1:
+                begins[k] |= tokens[k][2].isupper()
+            elif lex.given(l):
+                begins[k] = 1
+                for j in range(max(0, k - 4), k):  # a family name with particles before a given name
+                    begins[j] = 1
+        while True:
+            i = begins.find(1, i)
+            if not 0 <= i < n:
+                break
             a, b, w = tokens[i]
-            l = low(w)
+            l = lows[i]
             g = gap(i)
             # titles, one or several
             if l in TITLES and re.fullmatch(r"\.?[  ]{1,3}", g) or w == "M" and re.fullmatch(r"\.[  ]{1,3}", g):
@@ -399,37 +438,44 @@ ANY_TAIL = re.compile(rf"{BREAK}(?:(?P<zip>\d{{5}})[  ]{{1,3}})?(?P<town>[^\W\d
 
 def evidence(text: str) -> Iterator[tuple[str, int]]:
     """(word, kind) for the statistics: 0 any use, 1 in small letters, 2 after a title, 3 beside a given name; 5 streets and towns."""
-    small = text.islower()
     loud = text.isupper()
-    previous, previous_end, previous_shape = None, -1, ""
+    # passages without any capital say nothing of a word's usual letters
+    small = bytearray(len(text))
+    for m in re.finditer(r"[^.!?\n]+", text):
+        if m[0].islower():
+            small[m.start() : m.end()] = b"\1" * (m.end() - m.start())
     tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
+    lows = [low(w) for _, _, w in tokens]
     for k, (a, b, w) in enumerate(tokens):
-        l, s = low(w), shape(w)
-        parts = [l] if "-" not in l else [l, *l.split("-")]
-        line = text[max(0, a - 30) : b + 30]
-        g = text[previous_end:a] if previous is not None else "\0"
-        title = previous in TITLES and re.fullmatch(r"\.?[  ]{1,3}", g) and s in "cu" and l not in TITLES and not is_given(l) and not loud
-        beside = False
-        if not title and s in "cu" and not is_given(l) and l not in TITLES and len(l) > 2 and not loud:
-            if is_given(previous or "") and g in (" ", " ", "  ") and previous_shape in "cu":
-                beside = True
-            elif k + 1 < len(tokens) and is_given(low(tokens[k + 1][2])) and shape(tokens[k + 1][2]) in "cu" and text[b : tokens[k + 1][0]] in (", ", ",") + ((" ",) if s == "u" else ()):
-                beside = True
-        for p in parts:
+        l = lows[k]
+        s = shape(w) if w[0].isupper() else "l"
+        title = beside = False
+        if s in "cu" and not loud and len(l) > 1 and l not in TITLES and not is_given(l):
+            previous = lows[k - 1] if k else ""
+            if previous in TITLES and re.fullmatch(r"\.?[ \u00a0]{1,3}", text[tokens[k - 1][1] : a]):
+                title = True
+            elif len(l) > 2:
+                if previous and is_given(previous) and text[tokens[k - 1][1] : a] in (" ", "\u00a0", "  ") and shape(tokens[k - 1][2]) in "cu":
+                    beside = True
+                elif k + 1 < len(tokens) and is_given(lows[k + 1]) and shape(tokens[k + 1][2]) in "cu" and text[b : tokens[k + 1][0]] in (", ", ",") + ((" ",) if s == "u" else ()):
+                    beside = True
+        for p in (l, *l.split("-")) if "-" in l else (l,):
             yield p, 0
-            if s == "l" and not small and not line.islower():
+            if s == "l" and not small[a]:
                 yield p, 1
             if title:
                 yield p, 2
             elif beside:
                 yield p, 3
-        previous, previous_end, previous_shape = l, b, s
-    for p in STREETS.values():
-        for m in p.finditer(text):
-            yield " ".join(m["name"].lower().split()), 5
-            t = TAIL.match(text, m.end())
-            if t and (t["zip"] or t["zip2"] or "," in text[m.end() : t.start("town")]):
-                yield "@" + " ".join(t["town"].lower().split()), 5
+    if DIGIT.search(text):
+        parts = list(near_digits(text))
+        for p in STREETS.values():
+            for x, y in parts:
+                for m in p.finditer(text, x, y):
+                    yield " ".join(m["name"].lower().split()), 5
+                    t = TAIL.match(text, m.end())
+                    if t and (t["zip"] or t["zip2"] or "," in text[m.end() : t.start("town")]):
+                        yield "@" + " ".join(t["town"].lower().split()), 5
 
 
 def befores(text: str, lexicon: Lexicon) -> Iterator[str]:
