@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
-from .text import table
+from .text import WORDS_SQL, table
 
 TEXTS = ["message", "relational_pattern", "example_context"]
 
@@ -18,5 +18,10 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(table(spark, d, "catalogue"), "id", TEXTS)
 
 
+FOUND = f"""
+WITH s AS (SELECT DISTINCT id, {WORDS_SQL.format("concat_ws(' ', coalesce(message, ''), coalesce(relational_pattern, ''), coalesce(example_context, ''))")} AS ws FROM catalogue),
+  a AS (SELECT id, len(ws) AS n, unnest(ws) AS w FROM s)
+SELECT x.id AS id_a, y.id AS id_b FROM a x JOIN a y ON x.w = y.w AND x.id < y.id GROUP BY x.id, y.id HAVING 5 * count(*) >= 3 * (any_value(x.n) + any_value(y.n) - count(*))"""
+
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
-SQL: dict[str, str] = {}
+SQL = {"p2_found": FOUND}

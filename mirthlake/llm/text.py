@@ -96,3 +96,7 @@ def as_word_sets(df: DataFrame, text: str, keep: list[str], words_name: str = "w
             yield pa.RecordBatch.from_arrays(out, names=[*keep, id_name, words_name])
 
     return df.mapInArrow(run, schema)
+
+
+#: DuckDB's words of a text: letters and digits without accents, in small letters.
+WORDS_SQL = r"list_distinct(regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+'))"
