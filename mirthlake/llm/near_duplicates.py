@@ -105,7 +105,7 @@ def similar_classes(classes: DataFrame, threshold: tuple[int, int]) -> DataFrame
     keys = sketches.select("cid", "n", "bits", "registers").mapInArrow(bands, "key bigint, cid bigint, n int, bits bigint")
     l, r = keys.toDF("key", "a", "m", "ab"), keys.toDF("key", "b", "n", "bb")
     most = F.col("m") + F.col("n") - 2 * F.ceil(F.lit(num) * (F.col("m") + F.col("n")) / F.lit(num + den))
-    cand = l.join(r, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ab").bitwiseXOR(F.col("bb"))) <= most)).select("a", "b").distinct()
+    cand = l.join(r.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ab").bitwiseXOR(F.col("bb"))) <= most)).select("a", "b").distinct()
     s = sketches.select("cid", "n", "registers")
     cand = cand.join(s.toDF("a", "m", "ra"), "a").join(s.toDF("b", "n", "rb"), "b")
     least = num / den - 5 * (num / den * (1 - num / den) / REGISTERS) ** 0.5

@@ -74,14 +74,16 @@ def pack_documents(sizes: DataFrame, containers: DataFrame, shard: int = SHARD)
     no room and come in no container; null ids, null or non-positive sizes and capacities likewise. Repeated doc_ids
     are one document. Empty tables give no containers. Any number of documents may be equally long.
     """
-    spark = sizes.sparkSession
     docs = sizes.where("doc_id is not null and n_tokens > 0").groupBy("doc_id").agg(F.min("n_tokens").alias("n_tokens"))
     docs = docs.persist(StorageLevel.DISK_ONLY)
     kinds = [(r["container"], r["capacity_tokens"]) for r in containers.where("container is not null and capacity_tokens > 0").distinct().orderBy("capacity_tokens", "container").collect()]
     total = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    kinds_df = spark.createDataFrame(kinds, "container string, capacity int") if kinds else spark.createDataFrame([], "container string, capacity int")
+    if not kinds:
+        kinds_of = F.array().cast("array<struct<container:string,capacity:int>>")
+    else:
+        kinds_of = F.array(*[F.struct(F.lit(k).alias("container"), F.lit(int(c)).cast("int").alias("capacity")) for k, c in kinds])
     pieces = F.ceil(F.col("n_tokens") / F.col("capacity"))
-    items = docs.join(F.broadcast(kinds_df)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1))).select("container", "capacity", F.array(F.struct("doc_id", (F.col("i") * F.col("capacity")).alias("start"), F.least("n_tokens", (F.col("i") + 1) * F.col("capacity")).alias("end"))).alias("parts")).withColumn("size", F.col("parts")[0]["end"] - F.col("parts")[0]["start"])
+    items = docs.select("*", F.inline(kinds_of)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1))).select("container", "capacity", F.array(F.struct("doc_id", (F.col("i") * F.col("capacity")).alias("start"), F.least("n_tokens", (F.col("i") + 1) * F.col("capacity")).alias("end"))).alias("parts")).withColumn("size", F.col("parts")[0]["end"] - F.col("parts")[0]["start"])
     spec = "container string, capacity int, parts array<struct<doc_id bigint, start bigint, end bigint>>, size bigint"
     part_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
