@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import numeric as N
 from ..functions import text as T
@@ -26,7 +27,8 @@ def conflicts(records: DataFrame, near: float = 0.82, perceptual: float = 0.08)
     flat = flat.withColumn("loose", F.transform("strict", lambda x: T.loose_key(x)))
     sem = r.select("pos", T.full_name(F.col("message")).alias("m"), T.full_name(F.col("relational_pattern")).alias("p"))
     sem = sem.select("pos", F.when((F.col("m") != "") | (F.col("p") != ""), F.concat("m", F.lit("|"), "p")).alias("signature"), T.semantic_tokens(F.concat_ws(" ", "m", "p")).alias("tokens"))
-    r = r.drop("_names", "_row").join(flat, "pos").join(sem, "pos")
+    # names, signatures and tokens are made once and read by every kind
+    r = r.drop("_names", "_row").join(flat, "pos").join(sem, "pos").persist(StorageLevel.DISK_ONLY)
     keyed = [
         ("provider_source_id", F.array(F.when(F.col("source_id") != "", F.concat(F.lower("provider"), F.lit(":"), F.lower("source_id"))))),
         ("exact_image_url", F.array(F.trim("image_url"))),

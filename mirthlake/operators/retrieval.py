@@ -27,17 +27,15 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = 1024, chu
     a task adds up the postings of one block of queries over one chunk of documents, and passes on k rows a query.
     """
     d = docs.select("id", lexical_tokens(F.col("text")).alias("words"))
-    sizes = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean"))
+    n_docs, mean, n_queries = d.agg(F.count("*"), F.avg(F.size("words"))).first() + (queries.count(),)
     tf = d.select("id", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("id", "len", "word").agg(F.count("*").alias("tf"))
     q = queries.select("query_id", F.array_distinct(lexical_tokens(F.col("text"))).alias("words")).where(F.size("words") > 0)
     tf = tf.join(q.select(F.explode("words").alias("word")).distinct(), "word", "left_semi")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    # one row of totals, whatever the size of the collection
-    weighted = tf.join(df, "word").join(F.broadcast(sizes))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (P.BM25_K1 + 1)) / (F.col("tf") + P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * F.col("len") / F.col("mean")))
-    totals = queries.agg(F.count("*").alias("q")).join(docs.agg(F.count("*").alias("d"))).first()
-    nq, nc = max(1, -(-totals["q"] // block)), max(1, -(-totals["d"] // chunk))
+    weighted = tf.join(df, "word")
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * (F.col("tf") * (P.BM25_K1 + 1)) / (F.col("tf") + P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * F.col("len") / F.lit(float(mean or 1))))
+    nq, nc = max(1, -(-n_queries // block)), max(1, -(-n_docs // chunk))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.select("query_id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), spread(nc).alias("cb"))
     right = weighted.select("id", F.xxhash64("word").alias("word"), part.alias("part")).groupBy("id").agg(F.collect_list("word").alias("words"), F.collect_list("part").alias("parts"))
