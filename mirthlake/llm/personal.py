@@ -9,7 +9,7 @@ collection). Words that are beside many such words, before family names, are giv
 frame of a name besides: given name or initial with a family name in either order, or a title. Mentions are replaced
 by a placeholder of their kind (the terms are generalised, not cut out), the rest of the text stays as it is.
 
-Statistics are kept in 2^18 cells a table, a fixed size whatever the vocabulary.
+Statistics are count-min sketches of two times 2^18 cells a table, a fixed size whatever the vocabulary.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ victor vincent wei wolfgang yasmin yuki yusuf zoe zoé álvaro élodie émilie 
 FOLDED = {fold(w) for w in GIVEN}
 TITLES = set("mr mrs ms miss mx dr prof professor sir madam dame herr frau fräulein mme mlle madame monsieur mademoiselle sr sra srta señor señora señorita don doña dra".split())
 PARTICLES = set("von van de del della di da dos du der den la le las los ten ter zu zum vom af av el al bin ibn y d".split())
+#: Particles that are also prepositions.
+PREPOSITIONS = {"von", "de", "del", "du", "da", "di", "d", "y", "vom", "zu", "zum", "af", "av"}
 #: Words that hold no person although they begin with a capital letter beside a name.
 MONTHS = set("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
 
@@ -108,8 +110,15 @@ LETTERS = r"[^\W\d_][^\W\d_\u0300-\u036f]*(?:[\u0300-\u036f]+[^\W\d_]*)*"
 TOKEN = re.compile(rf"{LETTERS}(?:['’\-‐‑]{LETTERS})*")
 
 
-def cell(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word) & (CELLS - 1)
+def cells(word: str) -> list[int]:
+    """A word's two cells, one in each half of a table; its count is the lesser of theirs (a count-min sketch)."""
+    h = xxhash.xxh3_64_intdigest(word)
+    return [h & (CELLS - 1), CELLS + (h >> 32 & (CELLS - 1))]
+
+
+def counted(table: np.ndarray, word: str) -> np.ndarray:
+    a, b = cells(word)
+    return np.minimum(table[..., a], table[..., b])
 
 
 def shape(word: str) -> str:
@@ -127,10 +136,15 @@ def low(word: str) -> str:
     return w
 
 
-def ends(word: str) -> list[int]:
-    """Cells of the beginnings and endings by which a word is judged."""
+def ends(word: str) -> list[str]:
+    """The beginnings and endings by which a word is judged."""
     w = word.rsplit("-", 1)[-1].split("'")[-1].split("’")[-1]
-    return [cell(f"{k}|{x}") for k, x in (("p3", w[:3]), ("p4", w[:4]), ("s3", w[-3:]), ("s4", w[-4:]), ("s5", w[-5:]))] if len(w) >= 4 else []
+    return ["p3|" + w[:3], "p4|" + w[:4], "s3|" + w[-3:], "s4|" + w[-4:], "s5|" + w[-5:]] if len(w) >= 4 else []
+
+
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Empty ones: five counts of words, two of word ends (of names, of other words), one of places."""
+    return np.zeros((5, 2 * CELLS), np.int64), np.zeros((2, 2 * CELLS), np.int64), np.zeros(2 * CELLS, np.int64)
 
 
 def is_given(w: str) -> bool:
@@ -165,7 +179,7 @@ class Lexicon:
         self.words, self.parts, self.places = words, parts, places
         n = max(1, int(words[0].sum()))
         self.base = max(1e-9, (words[2].sum() + words[3].sum()) / n)
-        self.noise = 4 * words[1].sum() / CELLS
+        self.noise = words[1].sum() / CELLS
         p, q = parts.astype(float).sum(axis=1) + 1
         self.rate = float(np.log(q / p))
         self.seen: dict[str, tuple[bool, bool, float]] = {}
@@ -177,11 +191,13 @@ class Lexicon:
         if f is None:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            n, small, title, beside, _ = self.words[:, cell(w)]
+            n, small, title, beside, _ = counted(self.words, w)
             bits = np.log2(max(title + beside, 1e-9) / max(n, 1) / self.base)
             ordinary = small >= max(2, self.noise) and small * 4 >= n and (title + beside) * 2 < n
-            e = ends(w)
-            score = float(sum(np.log((self.parts[0, c] + 0.3) / (self.parts[1, c] + 0.3)) + self.rate for c in e)) if e else 0.0
+            score = 0.0
+            for e in ends(w):
+                yes, no = counted(self.parts, e)
+                score += float(np.log((yes + 0.3) / (no + 0.3)) + self.rate)
             f = self.seen[w] = (ordinary, title + beside >= 2 and (bits >= DISCLOSURE or (title + beside) * 2 >= n), score)
         return f
 
@@ -190,7 +206,7 @@ class Lexicon:
         if g is None:
             if len(self.names) > 100_000:
                 self.names.clear()
-            n, small, _, _, before = self.words[:, cell(w)]
+            n, small, _, _, before = counted(self.words, w)
             g = self.names[w] = is_given(w) or bool(before >= 2 and before * 3 >= n and small * 4 < n)
         return g
 
@@ -207,7 +223,7 @@ class Lexicon:
         return True
 
     def place(self, name: str) -> bool:
-        return self.places[cell(" ".join(name.lower().split()))] >= 2
+        return counted(self.places, " ".join(name.lower().split())) >= 2
 
 
 def french(text: str) -> bool:
@@ -412,14 +428,16 @@ class Finder:
                     k = surname(j + 1, True)
                     if k is not None:
                         return k
-                k = surname(j, shape(tokens[j][2]) == "l")
+                k = surname(j, False)
                 if k is not None:
                     return k
         # Family, Given and FAMILY Given, with particles before the family name
         j = i
         while j < n and low(tokens[j][2]) in PARTICLES and blank(gap(j)) and j - i < 3:
             j += 1
-        if j + 1 < n and (j == i or shape(tokens[i][2]) != "c" or True):
+        if j == i + 1 and l in PREPOSITIONS and i and blank(gap(i - 1)) and shape(tokens[i - 1][2]) == "l" and not lex.given(low(tokens[i - 1][2])):
+            return None  # "the picture comes from FAMILY Given": a preposition, no part of the name
+        if j + 1 < n:
             f, g = tokens[j][2], gap(j)
             if (re.fullmatch(r",[  ]{0,3}", g) or blank(g)) and lex.given(low(tokens[j + 1][2])) and not lex.given(low(f)):
                 firm = not (shape(f) == "u" and shape(tokens[j + 1][2]) == "c" and blank(g))
@@ -515,33 +533,32 @@ def learned(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np
     """The lexicon's tables, counted over all documents: first family names and places, then what stands before them."""
     per = _counted(documents, text, lambda: evidence, 6)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, places = np.zeros((5, CELLS), np.int64), np.zeros((2, CELLS), np.int64), np.zeros(CELLS, np.int64)
+    def into_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts, places = tables()
         for b in batches:
             n = np.array([b.column(f"n{j}").to_numpy() for j in range(6)])
             for k, w in enumerate(b.column("word").to_pylist()):
-                c = cell(w)
-                places[c] += n[5, k]
+                own = cells(w)
+                places[own] += n[5, k]
                 if n[0, k]:
-                    words[:5, c] += n[:5, k]
+                    words[:, own] += n[:5, k, None]
                     name = n[2, k] + n[3, k]
-                    if name and name * 2 >= n[0, k] and n[1, k] * 4 < n[0, k]:
-                        parts[0, ends(w)] += 1
-                    elif n[1, k] * 4 >= n[0, k] or not name and n[0, k] >= 5:
-                        parts[1, ends(w)] += 1
+                    side = 0 if name and name * 2 >= n[0, k] and n[1, k] * 4 < n[0, k] else 1 if n[1, k] * 4 >= n[0, k] or not name and n[0, k] >= 5 else None
+                    if side is not None:
+                        parts[side, [c for e in ends(w) for c in cells(e)]] += 1
         for t, table in enumerate([*words, *parts, places]):
             at = np.nonzero(table)[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["t", "cell", "n"])
 
     def collected(df: DataFrame) -> np.ndarray:
-        # at most 8 tables of CELLS rows
+        # at most 8 tables of 2 CELLS rows
         table = df.groupBy("t", "cell").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros((8, CELLS), np.int64)
+        out = np.zeros((8, 2 * CELLS), np.int64)
         out[table.column("t").to_numpy(), table.column("cell").to_numpy()] = table.column("n").to_numpy()
         return out
 
     spec = "t int, cell int, n bigint"
-    out = collected(per.mapInArrow(cells, spec))
+    out = collected(per.mapInArrow(into_cells, spec))
     shared = documents.sparkSession.sparkContext.broadcast((out[:5], out[5:7], out[7]))
 
     def given():
@@ -549,10 +566,10 @@ def learned(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np
         return lambda t: ((w, 0) for w in befores(t, lexicon))
 
     def given_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(CELLS, np.int64)
+        table = np.zeros(2 * CELLS, np.int64)
         for b in batches:
             for w, n in zip(b.column("word").to_pylist(), b.column("n0").to_pylist()):
-                table[cell(w)] += n
+                table[cells(w)] += n
         at = np.nonzero(table)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 4, np.int32)), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["t", "cell", "n"])
 
