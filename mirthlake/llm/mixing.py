@@ -27,7 +27,7 @@ SHARD = 4096
 #: Output shards of a mix; beyond that they hold more blocks each.
 MOST_SHARDS = 50_000
 #: Ranges of hash order in which documents of a source are summed up, for offsets without one task per source.
-RANGES = 256
+RANGES = 4096
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -89,7 +89,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, shard:
         mixes.setdefault(r["mix_name"], []).append((r["source"], r["target_share"], r["max_repeats"] or 0))
     asked = sorted({s for rows in mixes.values() for s, _, _ in rows})
     docs = sizes.where("doc_id is not null and n_tokens > 0").where(F.col("source").isin(asked)).groupBy("doc_id").agg(F.min("source").alias("source"), F.min("n_tokens").alias("n_tokens"))
-    docs = docs.withColumn("h", F.xxhash64("doc_id")).withColumn("range", F.pmod(F.shiftrightunsigned("h", 56), F.lit(RANGES)).cast("int")).persist(StorageLevel.DISK_ONLY)
+    docs = docs.withColumn("h", F.xxhash64("doc_id")).withColumn("range", F.pmod(F.shiftrightunsigned("h", 52), F.lit(RANGES)).cast("int")).persist(StorageLevel.DISK_ONLY)
     sums = docs.groupBy("source", "range").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
