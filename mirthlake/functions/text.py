@@ -189,10 +189,19 @@ def complete_explanation(reason: Column, name: Column) -> Column:
 
 
 def semantic_text(name: Column, message: Column, pattern: Column, tags: Column) -> Column:
-    """What is embedded for the meaning of a record; tags that only echo the name are left out."""
-    own = simple_name(name)
-    kept = F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: (simple_name(t) != "") & ~F.contains(own, simple_name(t)) & ~simple_name(t).isin("reaction", "meme"))
-    return F.concat_ws("\n", name, message, pattern, F.when(F.size(kept) > 0, F.array_join(kept, ", ")))
+    """What is embedded for the meaning of a record; tags that are generic or a word of the name are left out, and so are null parts."""
+    own = F.split(F.lower(name), "[^a-z0-9]+")
+    generic = F.array(*[F.lit(t) for t in P.GENERIC_TAGS])
+    plain = lambda t: F.trim(F.lower(t))
+    kept = F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: (plain(t) != "") & ~F.array_contains(generic, plain(t)) & ~F.array_contains(own, plain(t)))
+    line = lambda head, c: F.concat(F.lit(head), c)
+    return F.concat_ws("\n", line("Meme: ", name), line("Meaning: ", message), line("Social dynamic: ", pattern), F.when(F.size(kept) > 0, line("Tags: ", F.array_join(kept, ", "))))
+
+
+def example_text(name: Column, example: Column, pattern: Column) -> Column:
+    """What is embedded for the use of a record."""
+    line = lambda head, c: F.concat(F.lit(head), c)
+    return F.concat_ws("\n", line("Meme: ", name), line("Send it when: ", example), line("Underlying pattern: ", pattern))
 
 
 def semantic_tokens(c: Column) -> Column:

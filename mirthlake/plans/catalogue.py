@@ -315,9 +315,22 @@ def entity_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 def semantic_texts(spark: SparkSession, d: str) -> DataFrame:
     """What is embedded of each record, explanations repaired, and whether they are complete."""
-    c = once(spark, d, "catalogue", "id", "name", "message", "relational_pattern", "tags")
+    c = once(spark, d, "catalogue", "id", "name", "message", "relational_pattern", "example_context", "tags")
     why = T.repaired_explanation(F.coalesce("relational_pattern", F.lit("")), F.col("name"))
-    return c.select("id", T.semantic_text(F.col("name"), F.col("message"), F.col("relational_pattern"), F.col("tags")).alias("text"), why.alias("explanation"), T.complete_explanation(why, F.col("name")).alias("complete"), T.html_escape(F.coalesce("message", F.lit(""))).alias("escaped"))
+    return c.select("id", T.semantic_text(F.col("name"), F.col("message"), F.col("relational_pattern"), F.col("tags")).alias("meaning"), T.example_text(F.col("name"), F.col("example_context"), F.col("relational_pattern")).alias("example"), why.alias("explanation"), T.complete_explanation(why, F.col("name")).alias("complete"), T.html_escape(F.coalesce("message", F.lit(""))).alias("escaped"))
+
+
+_COMP = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_COUNT = r"len(list_filter(regexp_split_to_array(trim({}), '\s+'), lambda w: w <> ''))"
+TEXT_SQL = f"""
+WITH c AS (SELECT *, trim(coalesce(relational_pattern, '')) AS r, list_filter(coalesce(tags, []), lambda t: trim(lower(t)) <> '' AND NOT list_contains({sql_list(P.GENERIC_TAGS)}, trim(lower(t))) AND NOT list_contains(regexp_split_to_array(lower(name), '[^a-z0-9]+'), trim(lower(t)))) AS kept FROM (SELECT DISTINCT ON (id) * FROM catalogue)),
+  n AS (SELECT *, CASE WHEN NOT contains({_COMP.format("r")}, {_COMP.format("name")}) THEN name || ' fits because ' || lower(regexp_replace(r, '[.!?]+$', '')[1:1]) || regexp_replace(r, '[.!?]+$', '')[2:] ELSE r END AS named FROM c),
+  e AS (SELECT *, CASE WHEN regexp_matches(named, '[.!?]$') THEN named ELSE named || '.' END AS ended FROM n),
+  x AS (SELECT *, CASE WHEN r = '' OR name IS NULL THEN r WHEN {_COUNT.format("ended")} < 8 THEN regexp_replace(ended, '[.!?]+$', '') || ', matching this specific social situation.' ELSE ended END AS explanation FROM e)
+SELECT id, concat_ws(chr(10), 'Meme: ' || name, 'Meaning: ' || message, 'Social dynamic: ' || relational_pattern, CASE WHEN len(kept) > 0 THEN 'Tags: ' || array_to_string(kept, ', ') END) AS meaning,
+  concat_ws(chr(10), 'Meme: ' || name, 'Send it when: ' || example_context, 'Underlying pattern: ' || relational_pattern) AS example, explanation,
+  coalesce({_COUNT.format("explanation")} BETWEEN 8 AND 40 AND NOT regexp_matches(trim(explanation), {sql_text(P.GENERIC_EXPLANATION)}) AND regexp_matches(trim(explanation), '^[A-Z0-9]') AND regexp_matches(trim(explanation), '[.!?]$') AND contains({_COMP.format("trim(explanation)")}, {_COMP.format("name")}), FALSE) AS complete,
+  replace(replace(replace(replace(replace(coalesce(message, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped FROM x"""
 
 
 def metadata_json(spark: SparkSession, d: str) -> DataFrame:
@@ -368,6 +381,7 @@ SQL = {
     "provenance_changes": CHANGE_SQL,
     "two_tier_lookup": TWO_TIER_SQL,
     "dataset_hash": HASH_SQL,
+    "semantic_texts": TEXT_SQL,
     "metadata_json": JSON_SQL,
     "leakage_exact": LEAK_SQL,
 }
