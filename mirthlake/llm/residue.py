@@ -8,8 +8,8 @@ Three kinds of evidence are combined for a field's value:
 - corpus evidence for what fixed patterns can't know: words that keep the company of filler text are filler, names
   seen in unmistakable placeholders are names of slots in any brackets;
 - responses: values equal but for numbers and codes that come from several records and hosts, share no term with the
-  records' titles and address slugs, and are made of words that hardly occur in the rest of the field, are messages
-  nobody wrote as content, whatever their language.
+  records' titles and address slugs, and are made of words that hardly occur in the rest of the field (copies count
+  once, so a response may fill any share of the rows), are messages nobody wrote as content, whatever their language.
 
 Counts of words are kept in 2^18 cells, a fixed size whatever the vocabulary.
 """
@@ -168,10 +168,24 @@ def template_residue(values: DataFrame, least_copies: int = 3, least_hosts: int
     counted = counted.toArrow()  # CELLS rows at most
     table[:, counted.column("cell").to_numpy()] = [counted.column(c).to_numpy() for c in ("n", "latin", "slot")]
     total = f.count()
-    shared = spark.sparkContext.broadcast((table, total))
+    # copies of a response must not make its own words usual: here each skeleton counts once
+    groups = f.groupBy("bones").agg(F.approx_count_distinct("id").alias("n"), F.approx_count_distinct("host").alias("hosts"), F.max("match").alias("match")).persist(StorageLevel.DISK_ONLY)
+
+    def once_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for bones in b.column("bones").to_pylist():
+                seen[list({cell_of(w) for w in WORD.findall(bones)})] += 1
+        cells = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(seen[cells])], names=["cell", "n"])
+
+    spread = np.zeros(CELLS, np.int64)
+    counted = groups.select("bones").mapInArrow(once_each, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    spread[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast((table, total, spread, groups.count()))
 
     def evidence():
-        table, total = shared.value
+        table, total, _, _ = shared.value
         usual = max(5, 0.001 * total)
 
         def filler(w: str) -> bool:
@@ -197,15 +211,16 @@ def template_residue(values: DataFrame, least_copies: int = 3, least_hosts: int
 
     found = f.select("id", "field_name", "value").mapInArrow(judge, "id string, field_name string, kind string")
     # responses: judged once for all values that are equal but for numbers and codes
-    groups = f.groupBy("bones").agg(F.approx_count_distinct("id").alias("n"), F.approx_count_distinct("host").alias("hosts"), F.max("match").alias("match")).where((F.col("n") >= least_copies) & (F.col("hosts") >= least_hosts) & ~F.col("match"))
+    groups = groups.where((F.col("n") >= least_copies) & (F.col("hosts") >= least_hosts) & ~F.col("match"))
 
     def unusual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        usual = evidence()[2]
+        _, _, spread, skeletons = shared.value
+        usual = max(5, 0.001 * skeletons)
         for b in batches:
             keep = []
             for bones in b.column("bones").to_pylist():
                 words = [w for w in WORD.findall(QUOTED.sub(" ", bones)) if not w.isdigit()]
-                keep.append(len(words) >= 3 and sum(not usual(w) for w in words) * 2 >= len(words))
+                keep.append(len(words) >= 3 and sum(spread[cell_of(w)] < usual for w in words) * 2 >= len(words))
             yield pa.RecordBatch.from_arrays([b.column("bones").filter(pa.array(keep, pa.bool_()))], names=["bones"])
 
     responses = groups.select("bones").mapInArrow(unusual, "bones string")

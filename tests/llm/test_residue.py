@@ -68,3 +68,11 @@ def test_filler_is_learned(spark):
     lorem = [(f"l{i}", "m", "Lorem ipsum " + " ".join(latin[i % 3 :] + latin), "T", None) for i in range(6)]
     bare = [("b", "m", "Parvel sitare ameto quenti.", "T", None)]
     assert {r["id"] for r in R.template_residue(rows(spark, lorem + bare)).collect()} == {f"l{i}" for i in range(6)} | {"b"}
+
+
+def test_responses_repeated_most(spark):
+    verbs = "calls writes sings sleeps waits drives cooks jumps reads walks".split()
+    good = [(f"g{i}", "m", f"Use Cat{'abcdefghij'[i % 10]} when the dog {verbs[i // 10]} and the party of the neighbour {verbs[(i + i // 10) % 10]} again", f"Cat{'abcdefghij'[i % 10]}", f"https://h{i % 3}.test/cat.gif") for i in range(100)]
+    odd = [(f"o{i}", "m", f"Sivu ei vastaa juuri nyt koodi {i}" + (" odota hetki" if i % 2 else ""), f"Dog{i}", f"https://h{i % 3}.test/dog{i}.gif") for i in range(50)]
+    got = {(r["id"], r["kind"]) for r in R.template_residue(rows(spark, good + odd)).collect()}
+    assert got == {(f"o{i}", "response") for i in range(50)}
