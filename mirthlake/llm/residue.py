@@ -7,9 +7,10 @@ Three kinds of evidence are combined for a field's value:
   quoted and doesn't count;
 - corpus evidence for what fixed patterns can't know: words that keep the company of filler text are filler, names
   seen in unmistakable placeholders are names of slots in any brackets;
-- responses: values equal but for numbers and codes that come from several records and hosts, share no term with the
-  records' titles and address slugs, and are made of words that hardly occur in the rest of the field (copies count
-  once, so a response may fill any share of the rows), are messages nobody wrote as content, whatever their language.
+- responses: values equal but for numbers and codes that come from several records and hosts, share no term with most
+  of the records' titles and address slugs, and are made of words that hardly occur in the rest of the field (copies
+  count once, so a response may fill any share of the rows), are messages nobody wrote as content, whatever their
+  language.
 
 Counts of words are kept in 2^18 cells, a fixed size whatever the vocabulary.
 """
@@ -169,7 +170,7 @@ def template_residue(values: DataFrame, least_copies: int = 3, least_hosts: int
     table[:, counted.column("cell").to_numpy()] = [counted.column(c).to_numpy() for c in ("n", "latin", "slot")]
     total = f.count()
     # copies of a response must not make its own words usual: here each skeleton counts once
-    groups = f.groupBy("bones").agg(F.approx_count_distinct("id").alias("n"), F.approx_count_distinct("host").alias("hosts"), F.max("match").alias("match")).persist(StorageLevel.DISK_ONLY)
+    groups = f.groupBy("bones").agg(F.approx_count_distinct("id").alias("n"), F.approx_count_distinct("host").alias("hosts"), F.avg(F.col("match").cast("int")).alias("match")).persist(StorageLevel.DISK_ONLY)
 
     def once_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CELLS, np.int64)
@@ -211,7 +212,7 @@ def template_residue(values: DataFrame, least_copies: int = 3, least_hosts: int
 
     found = f.select("id", "field_name", "value").mapInArrow(judge, "id string, field_name string, kind string")
     # responses: judged once for all values that are equal but for numbers and codes
-    groups = groups.where((F.col("n") >= least_copies) & (F.col("hosts") >= least_hosts) & ~F.col("match"))
+    groups = groups.where((F.col("n") >= least_copies) & (F.col("hosts") >= least_hosts) & (F.col("match") < 0.5))
 
     def unusual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, spread, skeletons = shared.value

@@ -76,3 +76,11 @@ def test_responses_repeated_most(spark):
     odd = [(f"o{i}", "m", f"Sivu ei vastaa juuri nyt koodi {i}" + (" odota hetki" if i % 2 else ""), f"Dog{i}", f"https://h{i % 3}.test/dog{i}.gif") for i in range(50)]
     got = {(r["id"], r["kind"]) for r in R.template_residue(rows(spark, good + odd)).collect()}
     assert got == {(f"o{i}", "response") for i in range(50)}
+
+
+def test_one_matching_title_clears_no_response(spark):
+    good = [(f"g{i}", "m", f"Use Cat{'abcdefgh'[i % 8]} when the dog is late for the party number {i} again", f"Cat{'abcdefgh'[i % 8]}", f"https://h{i % 3}.test/x{i}.gif") for i in range(60)]
+    odd = [(f"o{i}", "m", f"Sivu ei vastaa juuri nyt koodi {i}", "Sivu" if i == 0 else f"Dog{i}", f"https://h{i % 3}.test/dog{i}.gif") for i in range(9)]
+    own = [(f"w{i}", "m", f"Karhu nukkuu pitkään talvella {i}", "Karhu" if i < 6 else "Dog", f"https://h{i % 3}.test/y{i}.gif") for i in range(9)]
+    got = {(r["id"], r["kind"]) for r in R.template_residue(rows(spark, good + odd + own)).collect()}
+    assert got == {(f"o{i}", "response") for i in range(9)}
