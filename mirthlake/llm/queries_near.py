@@ -15,7 +15,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicate_groups(table(spark, d, "catalogue"), "id", TEXTS)
+    return near_duplicate_groups(table(spark, d, "catalogue"), "id", TEXTS, threshold=(3, 5))
 
 
 FOUND = f"""

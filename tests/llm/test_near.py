@@ -65,3 +65,13 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(rows, "a bigint, b bigint"), "a", "b").collect()}
     assert got[30] == 0 and got[102] == 100 and got[529] == 500 and len(got) == 31 + 3 + 30
     assert components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
+
+
+def test_groups_hold_the_pairs(spark, tmp_path):
+    from mirthlake.llm import queries_near as Q
+
+    spec = "id string, message string, relational_pattern string, example_context string, ingested_at timestamp"
+    texts = [("a", "one two three four five six seven"), ("b", "one two three four five six eight nine"), ("c", "ten eleven twelve")]
+    spark.createDataFrame([(i, x, None, None, None) for i, x in texts], spec).write.parquet(f"{tmp_path}/catalogue.parquet")
+    assert [tuple(r) for r in Q.p2_found(spark, str(tmp_path)).collect()] == [("a", "b")]
+    assert {(r["id"], r["group_id"], r["n_links"]) for r in Q.p2_groups(spark, str(tmp_path)).collect()} == {("a", "a", 1), ("b", "a", 1), ("c", "c", 0)}
