@@ -101,7 +101,7 @@ def pack_documents(sizes: DataFrame, containers: DataFrame, shard: int = SHARD)
         return run
 
     full = F.col("size") >= F.col("capacity")
-    rounds, todo, tokens = [items.where(full)], items.where(~full), total
+    rounds, todo, tokens = [items.where(full)], items.where(~full), total * len(kinds)  # each kind holds every document
     shards = max(1, round(total / shard))
     while True:
         # rounds after the first pack what shards left open

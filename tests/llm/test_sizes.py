@@ -102,3 +102,13 @@ def test_tokens(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in with_tokens(df, "i", "t", ["source"]).collect()}
     assert got == {i: len(t.encode(x, add_special_tokens=False)) if x else 0 for i, x in enumerate(texts)}
     assert "".join(pieces(long)) == long and len(list(pieces(long))) > 3
+
+
+def test_kinds_do_not_end_rounds_early(spark):
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, rng.choice((10, 20, 70))) for i in range(600)], "doc_id bigint, n_tokens bigint")
+    unused = {}
+    for n in (1, 3):
+        kinds = spark.createDataFrame([(k, 100) for k in "abc"[:n]], "container string, capacity_tokens int")
+        unused[n] = P.pack_documents(docs, kinds, shard=600).agg(F.sum("unused_tokens")).first()[0]
+    assert unused[3] == 3 * unused[1]
