@@ -4,7 +4,7 @@ Each worker routes its terms through a trie of its own whose leaves are small ta
 too many bursts into one leaf for each next character. A term's entry has two counters, uses and records. When a trie
 is full it is written out leaf by leaf (prefix, ends, counters) and begun anew, so memory is bounded. From the sizes
 of these leaves the prefixes that hold more than 1/2048 of all entries are found; a term is routed by its shortest
-prefix that isn't one of them. Subtrees of one route from all workers are merged in one trie and give the totals.
+prefix that isn't one of them, and where even the longest is, by a hash of the term too. Subtrees of one route from all workers are merged in one trie and give the totals.
 A frequent term is one entry in each worker's trie, however often it occurs, so no route becomes hot.
 """
 
@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -74,7 +75,7 @@ LEAVES = "prefix string, ends array<string>, uses array<bigint>, records array<b
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()][: len(names)]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
@@ -121,8 +122,9 @@ def term_frequencies(records: DataFrame, terms: str, normalise=term_of, rare_bel
     ends = leaves.select(F.explode(F.transform("ends", lambda e: F.substring(F.concat("prefix", e), 1, DEPTH))).alias("head"))
     heads = ends.groupBy("head").count()
     entries = heads.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    heavy = heads.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("head")), lambda i: F.substring("head", 1, i))).alias("prefix"), "count").groupBy("prefix").agg(F.sum("count").alias("n")).where(F.col("n") > max(256, entries / 2048))
-    routes = records.sparkSession.sparkContext.broadcast({r["prefix"] for r in heavy.select("prefix").collect()})  # at most 2048 for each of DEPTH+1 lengths
+    limit = max(256, entries / 2048)
+    heavy = heads.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("head")), lambda i: F.substring("head", 1, i))).alias("prefix"), "count").groupBy("prefix").agg(F.sum("count").alias("n")).where(F.col("n") > limit)
+    routes = records.sparkSession.sparkContext.broadcast({r["prefix"]: r["n"] for r in heavy.collect()})  # at most 2048 for each of DEPTH+1 lengths
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = routes.value
@@ -133,11 +135,14 @@ def term_frequencies(records: DataFrame, terms: str, normalise=term_of, rare_bel
                     term, at = prefix + e, 0
                     while at < min(DEPTH, len(term)) and term[:at] in heavy:
                         at += 1
-                    r = rows.setdefault(term[:at], (term[:at], [], [], []))
+                    # a prefix of full depth that is still heavy: as many parts by hash as bring each to the limit
+                    n_parts = -int(-heavy.get(term[:at], 0) // limit) if at == DEPTH else 0
+                    part = xxhash.xxh3_64_intdigest(term) % n_parts if n_parts else 0
+                    r = rows.setdefault((term[:at], part), (term[:at], [], [], [], part))
                     r[1].append(term[at:])
                     r[2].append(u)
                     r[3].append(n)
-            yield _batch(list(rows.values()), ["prefix", "ends", "uses", "records"])
+            yield _batch(list(rows.values()), ["prefix", "ends", "uses", "records", "part"])
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = BurstTrie()
@@ -149,6 +154,6 @@ def term_frequencies(records: DataFrame, terms: str, normalise=term_of, rare_bel
         for at, ends in trie.leaves():
             yield pa.RecordBatch.from_arrays([pa.array([prefix + at + e for e in ends], pa.string()), pa.array([x[0] for x in ends.values()], pa.int64()), pa.array([x[1] for x in ends.values()], pa.int64())], names=["term", "n_uses", "n_records"])
 
-    totals = leaves.mapInArrow(route, LEAVES).groupBy("prefix").applyInArrow(merge, "term string, n_uses bigint, n_records bigint")
+    totals = leaves.mapInArrow(route, LEAVES + ", part int").groupBy("prefix", "part").applyInArrow(merge, "term string, n_uses bigint, n_records bigint")
     mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > common_above * total, "common").otherwise("useful")
     return totals.withColumn("mark", mark)

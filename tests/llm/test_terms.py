@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from mirthlake.llm import queries_terms as Q
 from mirthlake.llm import term_counts as C
@@ -48,3 +49,15 @@ def test_sql(spark, data):
     for n in ("stage_300_seed", "stage_3000_reaction_gif_replacements"):
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM '{data}/{n}.parquet'")
     assert {tuple(r) for r in Q.p3_found(spark, data).select("term", "n_uses", "n_records", "mark").collect()} == set(con.execute(Q.P3).fetchall())
+
+
+def test_long_common_prefix_is_split(spark):
+    terms = [f"reaction-{i}" for i in range(6000)] + ["reaction", "reactio"]
+    df = spark.createDataFrame([(terms[i::20],) for i in range(20)] + [(["Reaction-7"],)], "terms array<string>").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = C.term_frequencies(df, "terms").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {(r["term"], r["n_uses"]) for r in got} == {(t, 1 + (t == "reaction-7")) for t in terms} and len(got) == len(terms)
+    assert max(Counter(r["task"] for r in got).values()) < 0.6 * len(terms)
