@@ -2,10 +2,10 @@
 
 Every tree gives a vector a long hash string: bit i is the side of a hyperplane chosen for the prefix before it (a
 direction between two vectors of that prefix, the widest of five tried, cut near the median). Vectors that share a
-long prefix are close. A query descends to its longest prefix and ascends, in all trees at once, to the longest
-prefix that still holds about LEAF vectors; all vectors under those prefixes are its candidates, compared exactly by
-cosine in matrix products. As hash strings of all vectors are grouped by that prefix, each group is one block of a
-tree's sorted array, and no vector is compared with the rest of the collection.
+long prefix are close. Each tree is cut off at fixed leaves, prefixes that hold about LEAF vectors; vectors are grouped
+by them, and within a leaf all are compared with all, exactly by cosine in matrix products. The candidates of a vector
+are those of its leaves in all trees, and no vector is compared with the rest of the collection. There is no sorted
+array of long hash strings, no descent to the longest prefix and no ascent where a leaf gives few or poor candidates.
 
 The hyperplanes are fitted on SAMPLE vectors at most (those with the least hash of their id, whatever the size of the
 collection); every vector is indexed. Coinciding vectors are one class, represented once, and their ids are put back
