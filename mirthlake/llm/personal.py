@@ -371,6 +371,9 @@ class Finder:
                 begins[k] = 1
             elif len(l) == 1:
                 begins[k] |= tokens[k][2].isupper()
+                if tokens[k][2].isupper() and text[tokens[k][1] : tokens[k][1] + 1] == ".":
+                    for j in range(max(0, k - 4), k):  # a family name with particles before an initial
+                        begins[j] = 1
             elif lex.given(l):
                 begins[k] = 1
                 for j in range(max(0, k - 4), k):  # a family name with particles before a given name
@@ -443,6 +446,13 @@ class Finder:
                 firm = not (shape(f) == "u" and shape(tokens[j + 1][2]) == "c" and blank(g))
                 if lex.family(f, firm) and not (blank(g) and j + 2 < n and blank(gap(j + 1)) and lex.family(tokens[j + 2][2], True) and shape(f) == "c"):
                     return j + 1
+            # Family, J. and Family J., but not before J. Family
+            if (re.fullmatch(r",[  ]{0,3}", g) or blank(g)) and shape(f) in "cu" and not lex.given(low(f)):
+                k = j
+                while k + 1 < n and len(tokens[k + 1][2]) == 1 and tokens[k + 1][2].isupper() and text[tokens[k + 1][1] : tokens[k + 1][1] + 1] == "." and (k == j or re.fullmatch(r"\.[  ]{0,3}", gap(k))):
+                    k += 1
+                if k > j and lex.family(f, True) and not (k + 1 < n and re.fullmatch(r"\.[  ]{0,3}", gap(k)) and surname(k + 1, True) is not None):
+                    return k
         return None
 
 

@@ -93,3 +93,17 @@ def test_edges(spark):
     long = "nothing to see here. " * 20_000 + "Mail a@b.test"
     df = spark.createDataFrame([(1, long), (1, long), (2, "a@b.test a@b.test")], "doc_id bigint, text string")
     assert sorted(tuple(r) for r in P.personal_mentions(df).collect()) == [(1, "email", "a@b.test"), (2, "email", "a@b.test")]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Please thank Velowick, J. for the fix", ["Velowick, J"]),
+        ("Please thank DRENQUIST J. R. for the fix", ["DRENQUIST J. R"]),
+        ("The frame came from van Halastrom, J.", ["van Halastrom, J"]),
+        ("Velowick, J. Drenquist wrote last week", ["J. Drenquist"]),
+        ("The order, J. and the Ticket B. came last week", []),
+    ],
+)
+def test_initial_after_family_name(text, want):
+    assert found(text, "person_name") == want
