@@ -1,55 +1,74 @@
 """The k most similar vectors of every vector, by a forest of hash-prefix trees.
 
-Every tree gives a vector a long hash string: bit i is the side of a hyperplane chosen for the prefix before it (a
-direction between two vectors of that prefix, the widest of five tried, cut near the median). Vectors that share a
-long prefix are close. Each tree is cut off at fixed leaves, prefixes that hold about LEAF vectors; vectors are grouped
-by them, and within a leaf all are compared with all, exactly by cosine in matrix products. The candidates of a vector
-are those of its leaves in all trees, and no vector is compared with the rest of the collection. There is no sorted
-array of long hash strings, no descent to the longest prefix and no ascent where a leaf gives few or poor candidates.
-
-The hyperplanes are fitted on SAMPLE vectors at most (those with the least hash of their id, whatever the size of the
-collection); every vector is indexed. Coinciding vectors are one class, represented once, and their ids are put back
-in the order of ids, so that a third of all vectors may coincide.
+Every tree gives a vector a long hash string of BITS bits. A bit is the side of a hyperplane chosen for the prefix
+before it: in the fitted part of a tree the direction in which the sampled vectors of that prefix spread most (a power
+iteration from a random start), cut at a quantile drawn near the median; below it, where the sample ends, random
+directions through the mean of the last sampled vectors, so that strings go on however many vectors share a prefix.
+Vectors that share a long prefix are close.
+
+The strings of all trees are one sorted array of (tree, string, vector), range-partitioned into pieces of about PIECE
+rows by Spark's own sampled bounds, which divide equal strings too: no piece grows with the collection, however
+vectors crowd. The search has two passes over it.
+
+- Descent: for every vector and tree, the number of vectors that share its first x bits, for all x (runs in the
+  sorted array). From the longest prefix upwards, in all trees at once, the ascent adds up these numbers and stops at
+  the longest length at which the trees together hold CANDIDATES others. Each vector has its own length.
+- Candidates: in each tree the vector's run of that length, at most CANDIDATES places to either side (a run longer
+  than that is cut to the vectors that share the most further bits, which stand nearest), compared in matrix products of
+  half-precision codes.
+
+The best of all trees are compared again exactly, in doubles, from the vectors as given; a pair found from one side
+is a candidate of the other side too.
+
+The trees are fitted on SAMPLE vectors at most (those with the least hash, whatever the size of the collection); every
+vector is indexed. Vectors with the same components are one class (64-bit hashes of their bytes; of 10^10 different
+vectors about three pairs would be taken for one), represented once, and their ids are put back in the order of ids,
+so that a third of all vectors may coincide.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.accumulators import Accumulator
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from .text import lists_of
 
-TREES, LEAF, SAMPLE = 24, 4096, 20_000
+TREES, CANDIDATES, SAMPLE, PIECE = 20, 6000, 8192, 250_000
+#: Bits of a hash string; with a tree's number before them they fill a signed long.
+BITS = 56
+#: Sampled vectors at which the fitted part of a tree ends.
+FEW = 8
 
 
 class Tree:
-    """Hyperplanes in an array: children of node i are left[i], right[i]; a negative child -j-1 is prefix j."""
+    """Hyperplanes in arrays: children of node i are left[i], right[i]; a negative child -j-1 ends at means[j]."""
 
-    def __init__(self, points: np.ndarray, leaf: int, seed: int) -> None:
-        self.normals, self.cuts, self.left, self.right, self.prefixes = [], [], [], [], 0
+    def __init__(self, points: np.ndarray, seed: int, few: int = FEW) -> None:
+        size = points.shape[1]
+        self.normals, self.cuts, self.left, self.right, self.means = [], [], [], [], []
         rng = np.random.default_rng(seed)
-        self.top = self._grow(points, max(1, leaf), rng)
-        self.normals = np.array(self.normals, np.float32).reshape(-1, points.shape[1] if points.ndim == 2 else 1)
-
-    def _grow(self, points: np.ndarray, leaf: int, rng: np.random.Generator) -> int:
-        best = None
-        if len(points) > leaf:
-            for _ in range(5):
-                i, j = rng.choice(len(points), 2, replace=False)
-                u = points[i] - points[j]
-                if (size := float(u @ u)) > 1e-12:
-                    u = u / np.sqrt(size)
-                    at = points @ u
-                    if best is None or at.var() > best[0]:
-                        best = (at.var(), u, at)
-        if best is not None:
-            _, u, at = best
+        self.top = self._grow(points, few, rng, 0)
+        self.normals = np.array(self.normals, np.float32).reshape(-1, size)
+        self.means = np.array(self.means, np.float32).reshape(-1, size)
+        self.further = rng.normal(size=(BITS, size)).astype(np.float32)
+
+    def _grow(self, points: np.ndarray, few: int, rng: np.random.Generator, depth: int) -> int:
+        if len(points) > few and depth < BITS:
+            some = points if len(points) <= 256 else points[rng.choice(len(points), 256, replace=False)]
+            some = some - some.mean(axis=0)
+            u = rng.normal(size=points.shape[1]).astype(np.float32)
+            for _ in range(2):
+                u = some.T @ (some @ u)
+                u /= np.sqrt(u @ u) + np.float32(1e-30)
+            at = points @ u
             cut = float(np.quantile(at, rng.uniform(0.35, 0.65)))
             above = at > cut
             if above.any() and not above.all():
@@ -58,99 +77,166 @@ class Tree:
                 self.cuts.append(cut)
                 self.left.append(0)
                 self.right.append(0)
-                self.left[me], self.right[me] = self._grow(points[~above], leaf, rng), self._grow(points[above], leaf, rng)
+                self.left[me], self.right[me] = self._grow(points[~above], few, rng, depth + 1), self._grow(points[above], few, rng, depth + 1)
                 return me
-        self.prefixes += 1
-        return -self.prefixes
+        self.means.append(points.mean(axis=0) if len(points) else np.zeros(points.shape[1]))
+        return -len(self.means)
 
     def plain(self) -> tuple:
         """What travels to the workers: arrays only."""
-        return self.top, self.normals, np.array(self.cuts), np.array(self.left, int), np.array(self.right, int)
-
-
-def prefix_of(tree: tuple, vectors: np.ndarray) -> np.ndarray:
-    """The prefix that each vector descends to."""
-    top, normals, cuts, left, right = tree
-    out, todo = np.empty(len(vectors), np.int64), [(top, np.arange(len(vectors)))]
-    while todo:
-        node, idx = todo.pop()
-        if node < 0:
-            out[idx] = -node - 1
-        elif len(idx):
-            above = vectors[idx] @ normals[node] > cuts[node]
-            todo += [(int(left[node]), idx[~above]), (int(right[node]), idx[above])]
-    return out
+        return self.top, self.normals, np.array(self.cuts), np.array(self.left, int), np.array(self.right, int), self.means, self.further
+
+
+def strings(tree: tuple, vectors: np.ndarray) -> np.ndarray:
+    """The hash string of each vector as a number of BITS bits, first bit highest."""
+    top, normals, cuts, left, right, means, further = tree
+    node, depth = np.full(len(vectors), top), np.zeros(len(vectors), np.int64)
+    bits = np.zeros((len(vectors), 64), bool)
+    inner = np.flatnonzero(node >= 0)
+    step = 0
+    while len(inner):
+        at = node[inner]
+        above = np.einsum("ij,ij->i", vectors[inner], normals[at]) > cuts[at]
+        bits[inner, 64 - BITS + step] = above
+        node[inner] = np.where(above, right[at], left[at])
+        depth[inner] += 1
+        step += 1
+        inner = inner[node[inner] >= 0]
+    beyond = vectors @ further.T > (means @ further.T)[-node - 1]
+    bits[:, 64 - BITS :] |= beyond & (np.arange(BITS) >= depth[:, None])
+    return np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64)
 
 
-def _best(sims: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k greatest of each row."""
-    return np.argpartition(-sims, k - 1, axis=1)[:, :k] if sims.shape[1] > k else np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
+def runs(keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of a sorted array of keys, begin and end of the run of places with the same tree and first bits."""
+    first = np.flatnonzero(np.r_[True, np.diff(keys >> np.int64(BITS - length)) != 0])
+    last = np.r_[first[1:], len(keys)]
+    return np.repeat(first, last - first), np.repeat(last, last - first)
 
 
-def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, size: int = 64, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def _matrix(column: pa.Array, kind: type, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, size)
+
+
+def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, size: int = 64, trees: int = TREES, candidates: int = CANDIDATES, sample: int = SAMPLE, piece: int = PIECE, compared: Accumulator | None = None) -> DataFrame:
     """(id, other, rank, cosine): for each id its k most similar others, greatest cosine first, equal cosines by id.
 
     Vectors take part that have size finite values, not all zero, in whatever length; others, null ones included, and
     null ids don't. Repeated rows of an id are one (the first by content). Cosines are rounded to 9 digits; ids with
-    fewer than k others have as many as there are.
+    fewer than k others have as many as there are. compared, if given, adds up the pairs compared in all trees.
+    At most 64 trees.
     """
     spark = df.sparkSession
-    rows = df.where(F.col(key).isNotNull() & (F.size(vector) == size)).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    rows = df.where(F.col(key).isNotNull() & (F.size(vector) == size)).select(F.col(key).alias("id"), F.col(vector).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    # vectors travel as given: floats as floats, anything else as doubles
+    raw = np.float32 if "float" in dict(df.dtypes)[vector] else np.float64
+    kind = rows.schema["id"].dataType.simpleString()
 
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keep, cids = [], [], []
-            for i, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist()):
-                if None in v:
-                    continue
-                x = np.array(v)
-                top = np.abs(x).max()
-                if not np.isfinite(top) or top == 0:
-                    continue
-                x = x / top
-                x = x / np.sqrt(x @ x)
-                ids.append(i)
-                keep.append(x.astype(np.float32).tobytes())
-                cids.append(xxhash.xxh3_64_intdigest((np.round(x, 7) + 0.0).tobytes()) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("id").type), pa.array(cids, pa.int64()), pa.array(keep, pa.binary())], names=["id", "cid", "x"])
+            if not b.num_rows:
+                continue
+            x = b.column("v").flatten().cast(pa.from_numpy_dtype(raw)).to_numpy(zero_copy_only=False).reshape(-1, size) + raw(0)
+            good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x = [v.tobytes() for v in x[good]]
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(good)), pa.array([xxhash.xxh3_64_intdigest(v) - (1 << 63) for v in x], pa.int64()), pa.array(x, pa.binary())], names=["id", "cid", "x"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    units = rows.mapInArrow(unit, f"id {kind}, cid bigint, x binary").persist(StorageLevel.DISK_ONLY)
+    units = rows.mapInArrow(valid, f"id {kind}, cid bigint, x binary").persist(StorageLevel.DISK_ONLY)
     classes = units.groupBy("cid").agg(F.min_by("x", "id").alias("x"), F.count("*").alias("copies")).persist(StorageLevel.DISK_ONLY)
     n = classes.count()
-    points = classes.select("x", F.xxhash64("cid").alias("h")).orderBy("h").limit(sample).select("x").collect()
-    points = np.frombuffer(b"".join(bytes(r["x"]) for r in points), np.float32).reshape(-1, size)
-    forest = spark.sparkContext.broadcast([Tree(points, int(leaf * len(points) / max(n, 1)), seed).plain() for seed in range(trees)])
+    pieces = max(2, -(-n * trees // piece))
+
+    def unit(column: pa.Array) -> np.ndarray:
+        x = _matrix(column, raw, size).astype(np.float64)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+
+    points = classes.select("x", F.xxhash64("cid").alias("h")).orderBy("h").limit(sample).select("x").toArrow().column("x")
+    points = spark.sparkContext.broadcast(unit(points) if len(points) else np.empty((0, size), np.float32))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([pickle.dumps(Tree(points.value, t).plain())], pa.binary())], names=["t", "tree"])
+
+    # trees are bounded by the sample, not by the collection
+    fitted = sorted(spark.range(0, trees, 1, trees).mapInArrow(fit, "t bigint, tree binary").collect())
+    forest = spark.sparkContext.broadcast([pickle.loads(r["tree"]) for r in fitted])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(-1, size)
-            for t, tree in enumerate(forest.value):
-                yield pa.RecordBatch.from_arrays([pa.array(prefix_of(tree, x) * trees + t), b.column("cid"), b.column("x")], names=["prefix", "cid", "x"])
-
-    def search(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.array(b.column("cid")), b.column("x")) for b in batches]
-        cid = np.concatenate([c for c, _ in got])
-        x = np.concatenate([np.frombuffer(b"".join(v.to_pylist()), np.float32).reshape(-1, size) for _, v in got])
-        order = np.argsort(cid)
-        cid, x = cid[order], x[order]
-        few = min(k, len(cid) - 1)
-        if few < 1:
+            if b.num_rows:
+                x = unit(b.column("x"))
+                keys = np.array([np.int64(t) << np.int64(BITS) | strings(tree, x) for t, tree in enumerate(forest.value)]).T
+                codes = [v.tobytes() for v in x.astype(np.float16)]
+                yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(codes, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, trees, dtype=np.int32)), pa.array(keys.ravel()))], names=["cid", "code", "keys"])
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+        if t is None:
             return
-        step = max(1, min(1024, 8_000_000 // len(cid)))
-        for at in range(0, len(cid), step):
-            sims = x[at : at + step] @ x.T
-            rows = np.arange(len(sims))
-            sims[rows, rows + at] = -9
-            cols = _best(sims, few)
-            s = np.take_along_axis(sims, cols, axis=1)
-            offsets = pa.array(np.arange(0, s.size + 1, few, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(cid[at : at + step]), pa.ListArray.from_arrays(offsets, pa.array(cid[cols].ravel())), pa.ListArray.from_arrays(offsets, pa.array(s.ravel()))], names=["cid", "others", "sims"])
-
-    found = classes.select("cid", "x").mapInArrow(index, "prefix bigint, cid bigint, x binary").groupBy("prefix").applyInArrow(search, "cid bigint, others array<bigint>, sims array<float>")
+        keys, cid = t.column("key").to_numpy(), t.column("cid").to_numpy()
+        # a byte a length: sixteen times the binary logarithm of the number of others, to 4 %
+        profile = np.zeros((len(keys), BITS + 1), np.uint8)
+        for length in range(BITS + 1):
+            a, b = runs(keys, length)
+            if (b - a).max() < 2:
+                break
+            profile[:, length] = np.minimum(255, np.rint(16 * np.log2(np.maximum(b - a, 1))))
+        for at in range(0, len(keys), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(cid[at : at + 10_000]), pa.array([p.tobytes() for p in profile[at : at + 10_000]], pa.binary())], names=["cid", "profile"])
+
+    def ascend(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cid, held = [], []
+        for b in batches:
+            cid.append(b.column("cid").to_numpy())
+            held.append(np.rint(2 ** (_matrix(b.column("profile"), np.uint8, BITS + 1) / np.float32(16))) - 1)
+        cid, held = np.concatenate(cid), np.concatenate(held)
+        ids, at = np.unique(cid, return_inverse=True)
+        total = np.zeros((len(ids), BITS + 1), np.float64)
+        np.add.at(total, at, held)
+        enough = total >= candidates
+        length = np.where(enough.any(axis=1), BITS - np.argmax(enough[:, ::-1], axis=1), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(length.astype(np.int32))], names=["cid", "length"])
+
     blocks = max(8, n // 4000)
+    block = F.pmod("cid", F.lit(blocks)).alias("block")
+    indexed = classes.select("cid", "x").mapInArrow(index, "cid bigint, code binary, keys array<bigint>").persist(StorageLevel.DISK_ONLY)
+    array = indexed.select(F.explode("keys").alias("key"), "cid").repartitionByRange(pieces, "key", "cid").sortWithinPartitions("key", "cid")
+    lengths = array.mapInArrow(descend, "cid bigint, profile binary").groupBy(block).applyInArrow(ascend, "cid bigint, length int")
+
+    few = k + 2  # two to spare for what half precision may confuse
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+        if t is None:
+            return
+        keys, cid, length = [t.column(c).to_numpy() for c in ("key", "cid", "length")]
+        x = _matrix(t.column("code"), np.float16, size).astype(np.float32)
+        place = np.arange(len(keys))
+        low, high = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        for l in np.unique(length):
+            own = length == l
+            a, b = runs(keys, int(l))
+            low[own], high[own] = a[own], b[own]
+        low, high = np.maximum(low, place - candidates), np.minimum(high, place + candidates + 1)
+        if compared is not None:
+            compared.add(int((high - low - 1).sum()))
+        for at in range(0, len(keys), 256):
+            end = min(at + 256, len(keys))
+            lo, hi = int(low[at:end].min()), int(high[at:end].max())
+            sims = x[at:end] @ x[lo:hi].T
+            cols = np.arange(lo, hi)
+            sims[(cols < low[at:end, None]) | (cols >= high[at:end, None])] = -9
+            sims[np.arange(end - at), place[at:end] - lo] = -9
+            best = np.argpartition(-sims, few - 1, axis=1)[:, :few] if sims.shape[1] > few else np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
+            s = np.take_along_axis(sims, best, axis=1)
+            real = s > -2
+            offsets = pa.array(np.r_[0, np.cumsum(real.sum(axis=1))].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(cid[at:end]), pa.ListArray.from_arrays(offsets, pa.array(cid[lo + best][real])), pa.ListArray.from_arrays(offsets, pa.array(s[real]))], names=["cid", "others", "sims"])
+
+    array = indexed.join(lengths, "cid").select(F.explode("keys").alias("key"), "cid", "length", "code").repartitionByRange(pieces, "key", "cid").sortWithinPartitions("key", "cid")
+    found = array.mapInArrow(search, "cid bigint, others array<bigint>, sims array<float>")
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cid, other, sim = [], [], []
@@ -166,25 +252,28 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, size: int
         first[1:] = (cid[1:] != cid[:-1]) | (other[1:] != other[:-1])
         cid, other, sim = cid[first], other[first], sim[first]
         order = np.lexsort((-sim, cid))
-        cid, other, sim = cid[order], other[order], sim[order]
-        start = np.maximum.accumulate(np.where(np.r_[True, cid[1:] != cid[:-1]], np.arange(len(cid)), 0))
-        keep = np.arange(len(cid)) - start < k
-        yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), pa.array(other[keep])], names=["cid", "other"])
+        cid, other = cid[order], other[order]
+        start = np.maximum.accumulate(np.where(np.r_[True, cid[1:] != cid[:-1]][: len(cid)], np.arange(len(cid)), 0))
+        keep = np.arange(len(cid)) - start < few
+        a, b = np.minimum(cid[keep], other[keep]), np.maximum(cid[keep], other[keep])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    near = found.groupBy(F.pmod("cid", F.lit(blocks)).alias("block")).applyInArrow(merge, "cid bigint, other bigint")
+    near = found.where(F.size("others") > 0).groupBy(block).applyInArrow(merge, "a bigint, b bigint").distinct()
     # each class brings its k+1 least ids: no more can be among anyone's k nearest
     ranked = units.select("cid", "id").withColumn("at", F.row_number().over(_window("cid", "id"))).where(F.col("at") <= k + 1)
     heads = ranked.groupBy("cid").agg(F.collect_list("id").alias("ids"))
     vectors = classes.select("cid", "x")
-    linked = near.join(vectors, "cid").join(vectors.toDF("other", "y"), "other")
+    linked = near.join(vectors.toDF("a", "x"), "a").join(vectors.toDF("b", "y"), "b")
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.float32).reshape(-1, size).astype(float) for c in ("x", "y")]
+            x, y = [_matrix(b.column(c), raw, size).astype(np.float64) for c in ("x", "y")]
+            x, y = [v / np.abs(v).max(axis=1, keepdims=True) if len(v) else v for v in (x, y)]
             s = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("other"), pa.array(np.round(s, 9))], names=["cid", "other", "cosine"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(np.round(s, 9))], names=["a", "b", "cosine"])
 
-    links = linked.select("cid", "other", "x", "y").mapInArrow(cosines, "cid bigint, other bigint, cosine double")
+    links = linked.select("a", "b", "x", "y").mapInArrow(cosines, "a bigint, b bigint, cosine double")
+    links = links.select("cosine", F.inline(F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("other")), F.struct(F.col("b").alias("cid"), F.col("a").alias("other"))))).select("cid", "other", "cosine")
     own = classes.where("copies > 1").select("cid", F.col("cid").alias("other"), F.lit(1.0).alias("cosine"))
     spread = links.unionAll(own).join(heads.toDF("other", "ids"), "other").select("cid", "cosine", F.explode("ids").alias("other"))
     # the k+1 best of a class serve all of its members: each leaves itself out
@@ -194,8 +283,6 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, size: int
 
 
 def _window(by: str, *order):
-    from pyspark.sql import Window
-
     return Window.partitionBy(by).orderBy(*order)
 
 

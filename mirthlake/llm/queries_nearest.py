@@ -24,4 +24,4 @@ WITH v AS (SELECT id, min(CAST(embedding AS DOUBLE[])) AS v FROM stage_3000_loca
   r AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS INT) AS rank FROM s) WHERE rank <= 10)"""
 
 QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest}
-SQL = {"p5_found": NEAR + " SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM r"}
+SQL = {"p5_found": NEAR + " SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM r", "p5_nearest": NEAR + " SELECT id, other, rank, cosine FROM r"}

@@ -16,10 +16,12 @@ def test_recall(spark):
     centres = rng.standard_normal((12, 16)) * 2
     x = np.concatenate([c + rng.standard_normal((n, 16)) * 0.5 for c, n in zip(centres, rng.integers(5, 250, 12))]).astype(np.float32)
     ids = [f"v{i:05}" for i in range(len(x))]
-    got = N.nearest_vectors(frame(spark, zip(ids, x)), "id", "v", size=16, leaf=200, trees=16).collect()
+    compared = spark.sparkContext.accumulator(0)
+    got = N.nearest_vectors(frame(spark, zip(ids, x)), "id", "v", size=16, candidates=800, piece=3000, compared=compared).collect()
     want = N.brute_force(x.astype(float), ids, 10)
     found = {(r["id"], r["other"]) for r in got}
     assert len(found) == len(want) and len(found & want) >= 0.93 * len(want)
+    assert 0 < compared.value <= 3200 * len(x)
     by = {}
     for r in got:
         by.setdefault(r["id"], []).append((r["rank"], -r["cosine"], r["other"]))
@@ -41,3 +43,28 @@ def test_edges(spark):
     assert got == {("ok1", "ok2"), ("ok2", "ok1")}
     assert N.nearest_vectors(frame(spark, []), "id", "v", size=4).count() == 0
     assert N.nearest_vectors(frame(spark, [("a", [1, 0, 0, 0])]), "id", "v", size=4).count() == 0
+
+
+def test_scaled_copies_fill_a_third(spark):
+    rng = np.random.default_rng(2)
+    one = rng.standard_normal(16)
+    x = np.concatenate([one * s for s in np.linspace(1, 3, 300)] + [rng.standard_normal(16 * 600)]).reshape(-1, 16).astype(np.float32)
+    ids = [f"v{i:05}" for i in range(len(x))]
+    got = N.nearest_vectors(frame(spark, zip(ids, x)), "id", "v", size=16, candidates=400, piece=2000).collect()
+    cosines = {}
+    for r in got:
+        cosines.setdefault(r["id"], []).append(r["cosine"])
+    assert len(cosines) == 900 and all(len(c) == 10 for c in cosines.values())
+    assert all(min(cosines[i]) > 0.999999 for i in ids[:300])
+
+
+def test_strings_and_runs():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((500, 8)).astype(np.float32)
+    h = N.strings(N.Tree(x[:200], 1).plain(), x)
+    assert len(set(h.tolist())) == 500 and (h >= 0).all() and (h < 1 << N.BITS).all()
+    keys = np.sort(h)
+    for length in (0, 3, 9, N.BITS):
+        a, b = N.runs(keys, length)
+        same = keys >> np.int64(N.BITS - length)
+        assert all((same[a[i] : b[i]] == same[i]).all() and (same == same[i]).sum() == b[i] - a[i] for i in range(0, 500, 37))
