@@ -1,15 +1,20 @@
 """Personal information inside free text: email addresses, phone and identity numbers, street addresses and names.
 
-Numbers and addresses have forms. What names look like is learned from the collection itself. For every word the
-collection tells how often it stands where a person is named (after a title, beside a known given name) and how often
-anywhere; log2(P(named | word) / P(named)) is the information the word discloses about a person. Words that disclose
-DISCLOSURE bits or more (or name a person more often than not), and hardly occur in small letters elsewhere, count as parts of names, and so do unknown words
-whose beginnings and endings are those of such words (a naive Bayes model of word ends, fitted on all words of the
-collection). Words that are beside many such words, before family names, are given names too. A mention needs the
-frame of a name besides: given name or initial with a family name in either order, or a title. Mentions are replaced
-by a placeholder of their kind (the terms are generalised, not cut out), the rest of the text stays as it is.
-
-Statistics are count-min sketches of two times 2^18 cells a table, a fixed size whatever the vocabulary.
+Information-theoretic sanitisation: forms only propose candidates, and what a candidate's terms disclose about a person
+decides. Disclosure is measured in bits, log2(P(protected | term) / P(protected)), from co-occurrence in the whole
+collection, and a candidate counts if its frame's and its terms' bits add up to DISCLOSURE.
+
+- Words of names. Protected is what stands after a title, beside an initial or in the local part of an email address.
+  Words seen too seldom are judged by the bits of their beginnings and endings (a naive Bayes model over all words of
+  the collection). Pairs of neighbouring capitalised words then carry the evidence on: words before family names are
+  given names, words beside given names are family names, twice. A few common given names are seeds.
+- Numbers. Protected are numbers of an unmistakable form; the term is the word that leads in a number. Words whose
+  numbers are hardly ever of such a form ("ticket", "order") take bits away from forms that may be anything.
+- Street addresses. Protected are streets with a postal code or town; the terms are the names of streets and towns.
+
+Mentions are replaced by a placeholder of their kind (the terms are generalised, not cut out), the rest of the text
+stays as it is. Statistics are count-min sketches of two times 2^18 cells a table, a fixed size whatever the
+vocabulary; texts are read twice, once to count and once to find.
 """
 
 from __future__ import annotations
@@ -28,11 +33,13 @@ from pyspark.storagelevel import StorageLevel
 from .text import fold
 
 CELLS = 1 << 18
-#: Bits by which a word must raise the chance that a person is named.
+#: Bits by which a candidate must raise the chance that a person is meant.
 DISCLOSURE = 4.0
+#: Bits of a frame: a given name or a title's second word beside; an initial or a comma; a title; an unmistakable form; a form that may be anything.
+BESIDE, FIRM, TITLED, SURE, LOOSE_FORM = 4.0, 1.1, 10.0, 12.0, 6.0
 KINDS = ("person_name", "email", "phone", "id_number", "street_address")
 
-# Given names common in the languages of the collection. Others are learned.
+# Seeds, given names common in the languages of the collection. The rest are learned.
 GIVEN = set("""
 aisha alan alice amelia amélie amir amy andrea andrew ana anna anne annika anton antonio ben beatriz begoña bastien birgit bridget
 camille carla carlos carmen charlotte chloe claire clara colin daniel david diego duncan edith elena elif elise emil emily
@@ -46,7 +53,7 @@ simon sofia solène sophie stefan susanne sven sören tariq tessa theo thomas to
 victor vincent wei wolfgang yasmin yuki yusuf zoe zoé álvaro élodie émilie étienne aurélie manon maëlle gaël loïc benoît
 """.split())
 FOLDED = {fold(w) for w in GIVEN}
-TITLES = set("mr mrs ms miss mx dr prof professor sir madam dame herr frau fräulein mme mlle madame monsieur mademoiselle sr sra srta señor señora señorita don doña dra".split())
+TITLES = set("mr mrs ms miss mx dr prof professor sir madam dame herr frau fraulein mme mlle madame monsieur mademoiselle sr sra srta senor senora senorita don dona dra".split())
 PARTICLES = set("von van de del della di da dos du der den la le las los ten ter zu zum vom af av el al bin ibn y d".split())
 #: Particles that are also prepositions.
 PREPOSITIONS = {"von", "de", "del", "du", "da", "di", "d", "y", "vom", "zu", "zum", "af", "av"}
@@ -66,8 +73,6 @@ EMAIL = re.compile(r"""(?ix)
 AT_WORD = re.compile(r"(?i)(?<![\w.+-])(?=[\w.+-]*[\d._+-])[a-z0-9][\w.+-]*[a-z0-9][ ]+(?:at|arroba)[ ]+(?:[^\W_][\w-]*\.)+(?:com|org|net|test|example|invalid|de|es|fr|uk|io|eu)(?!\w)")
 FILES = re.compile(r"(?i)\.(?:png|jpe?g|gif|svg|webp|bmp|tiff?|mp4|webm|js|css|html?|pdf|txt|json|csv|zip)$")
 
-#: What stands before numbers that are none of a person.
-THINGS = re.compile(r"(?i)(?:ticket|asset|order|run|scores?|box(?:es)?(?: at)?|frame|version|row|code|hash|palette|rank|episode|take|poster|file|folder|package|checkpoint|retry|case|hex|sku|invoice|build|page|issue|item|ref\.?|reference|tag|step|bestellung|pedido|commande|saved on|#|top)(?:[ \u00a0:#\-]|\bno\.|\bnr\.)*\Z")
 ID_CUE = re.compile(r"(?i)(?:\b(?:id|i\.d\.|ssn|itin|ni|nino|nin|dni|nie|nif|nir|tin|passport|reisepass|pasaporte|passeport|ausweis|personalausweis|steuer|tax|insurance|security|identity|sécu|identidad|identité|sozialversicherung\w*|seguridad social)\b|id_no|ausweisnr|steuer-?id)[\w\s.:=#°º/()'-]{0,24}\Z")
 PHONE_CUE = re.compile(r"(?i)(?:tel|tél|phone|fax|call|text me|whatsapp|mobile|móvil|movil|handy|ruf|llama|línea|line|rappelez|appelez|anruf|contact|ring|reach|left)[\w\s.:=#/()'-]{0,16}\Z")
 PHONES = [re.compile(x) for x in (
@@ -127,9 +132,7 @@ def shape(word: str) -> str:
 
 
 def low(word: str) -> str:
-    w = word.lower()
-    if not w.isascii():
-        w = unicodedata.normalize("NFC", w)
+    w = fold(word)
     for end in ("'s", "’s"):
         if w.endswith(end):
             return w[:-2]
@@ -143,23 +146,25 @@ def ends(word: str) -> list[str]:
 
 
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Empty ones: five counts of words, two of word ends (of names, of other words), one of places."""
-    return np.zeros((5, 2 * CELLS), np.int64), np.zeros((2, 2 * CELLS), np.int64), np.zeros(2 * CELLS, np.int64)
+    """Empty ones: six counts of words, two of word ends (of names, of other words), three of places and lead words."""
+    return np.zeros((6, 2 * CELLS), np.int64), np.zeros((2, 2 * CELLS), np.int64), np.zeros((3, 2 * CELLS), np.int64)
 
 
 def is_given(w: str) -> bool:
-    """A given name of the fixed list, with or without accents; of a double name the first part counts."""
-    if w in GIVEN or "-" in w and w.split("-")[0] in GIVEN:
-        return True
-    return not w.isascii() and fold(w) in FOLDED
+    """A given name of the seeds; of a double name the first part counts."""
+    return w in FOLDED or "-" in w and w.split("-")[0] in FOLDED
 
 
 DIGIT = re.compile(r"\d")
 AT = re.compile(r"(?i)＠|&#64;|&commat;|\bat\b|arroba|_at_|\(a\)|\[a\]")
 
 
-def near_digits(text: str, before: int = 90, after: int = 60) -> Iterator[tuple[int, int]]:
-    """Stretches of the text around its digits, joined where they touch."""
+def near_digits(text: str, before: int = 6, after: int = 12) -> Iterator[tuple[int, int]]:
+    """Stretches of the text around its digits, joined where they touch.
+
+    The forms of numbers lie within them whole: none has more than 6 characters before its first digit, 12 after its
+    last, or 18 between two.
+    """
     a = b = -1
     for m in re.finditer(r"\d+", text):
         if m.start() - before > b:
@@ -171,59 +176,101 @@ def near_digits(text: str, before: int = 90, after: int = 60) -> Iterator[tuple[
         yield a, min(b, len(text))
 
 
+def lines_with_digits(text: str) -> Iterator[tuple[int, int]]:
+    """Whole lines that hold a digit; no street with its number goes over a line's end."""
+    at = 0
+    while m := DIGIT.search(text, at):
+        a = text.rfind("\n", 0, m.start()) + 1
+        b = text.find("\n", m.end())
+        b = len(text) if b < 0 else b
+        yield a, b
+        at = b
+
+
+def lead_of(text: str, at: int) -> str:
+    """The word that leads in what begins at a place, in folded letters: blanks, signs and "no." may stand between, no end of a sentence."""
+    word = ""
+    while not word or word in ("no", "nr"):
+        while at and text[at - 1] in " \u00a0:#-=(\"'":
+            at -= 1
+        if not word and text[max(0, at - 3) : at].lower() in ("no.", "nr."):
+            at -= 1
+        end = at
+        while at and text[at - 1].isalpha():
+            at -= 1
+        if at == end:
+            break
+        word = fold(text[at:end])
+    return word
+
+
 class Lexicon:
     """What the collection says of words: tables of counts by cell."""
 
     def __init__(self, words: np.ndarray, parts: np.ndarray, places: np.ndarray) -> None:
-        # words: all uses, uses in small letters, after a title, beside a given name, before a name-like word
+        # words: all uses, in small letters, after a title or initial, in an address's local part, beside a given name, before a family name
+        # places: streets and towns; sure numbers after a lead word, all numbers after it
         self.words, self.parts, self.places = words, parts, places
         n = max(1, int(words[0].sum()))
-        self.base = max(1e-9, (words[2].sum() + words[3].sum()) / n)
+        # in a small collection of little but names their share would hide what they disclose
+        self.base, self.before = [min(2**-7, max(1e-9, x / n)) for x in (words[2:5].sum(), words[5].sum())]
         self.noise = words[1].sum() / CELLS
+        self.sure = (places[1].sum() + 1) / (places[2].sum() + 2)
         p, q = parts.astype(float).sum(axis=1) + 1
         self.rate = float(np.log(q / p))
-        self.seen: dict[str, tuple[bool, bool, float]] = {}
+        self.seen: dict[str, tuple[bool, float]] = {}
         self.names: dict[str, bool] = {}
 
-    def facts(self, w: str) -> tuple[bool, bool, float]:
-        """Whether the word is an ordinary one; whether it discloses a person; how much its ends are those of names."""
+    def facts(self, w: str) -> tuple[bool, float]:
+        """Whether the word is an ordinary one; the bits it discloses about a person, by itself or by its ends."""
         f = self.seen.get(w)
         if f is None:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            n, small, title, beside, _ = counted(self.words, w)
-            bits = np.log2(max(title + beside, 1e-9) / max(n, 1) / self.base)
-            ordinary = small >= max(2, self.noise) and small * 4 >= n and (title + beside) * 2 < n
-            score = 0.0
+            n, small, title, local, beside, _ = counted(self.words, w)
+            named = title + local + beside
+            ordinary = small >= max(2, self.noise) and small * 4 >= n and named * 3 < n
+            bits = 0.0
             for e in ends(w):
                 yes, no = counted(self.parts, e)
-                score += float(np.log((yes + 0.3) / (no + 0.3)) + self.rate)
-            f = self.seen[w] = (ordinary, title + beside >= 2 and (bits >= DISCLOSURE or (title + beside) * 2 >= n), score)
+                bits += float(np.log((yes + 0.3) / (no + 0.3)) + self.rate) / np.log(2)
+            if named >= 2:
+                bits = max(bits, float(np.log2(named / max(n + local, 1) / self.base)))
+            f = self.seen[w] = (ordinary, bits)
         return f
 
     def given(self, w: str) -> bool:
+        """A seed, or a word that stands before family names far more often than words do."""
         g = self.names.get(w)
         if g is None:
             if len(self.names) > 100_000:
                 self.names.clear()
-            n, small, _, _, before = counted(self.words, w)
-            g = self.names[w] = is_given(w) or bool(before >= 2 and before * 3 >= n and small * 4 < n)
+            n, small, _, local, _, before = counted(self.words, w)
+            learned = before + local >= 2 and before >= 1 and small * 2 < n and np.log2(before / max(n, 1) / self.before) >= DISCLOSURE and (before + local) * 4 >= n
+            g = self.names[w] = is_given(w) or bool(learned)
         return g
 
-    def family(self, word: str, firm: bool) -> bool:
-        """firm: only what the collection or the word's ends speak for; else whatever isn't an ordinary word."""
+    def family(self, word: str, frame: float) -> bool:
+        """Whether word and frame together disclose enough for a family name; of a double name each part, or the whole."""
         w = low(word)
         if len(w) < 3 or w in TITLES or w in MONTHS or is_given(w):
             return False
         for i, part in enumerate(re.split(r"[-‐‑]", w)):
-            ordinary, known, score = self.facts(part)
-            if ordinary or not (known or score > (2.0 if firm and i == 0 else 0.0)):
-                ordinary, known, score = self.facts(w)
-                return not ordinary and (known or score > (2.0 if firm else 0.0))
+            ordinary, bits = self.facts(part)
+            if ordinary or bits + (frame if i == 0 else BESIDE) < DISCLOSURE:
+                ordinary, bits = self.facts(w)
+                return not ordinary and bits + frame >= DISCLOSURE
         return True
 
     def place(self, name: str) -> bool:
-        return counted(self.places, " ".join(name.lower().split())) >= 2
+        return counted(self.places, " ".join(name.lower().split()))[0] >= 2
+
+    def lead(self, word: str) -> float:
+        """Bits that a lead word adds to a number after it; 0 for words that lead in other things more often than not."""
+        _, sure, numbers = counted(self.places, "~" + word)
+        if numbers * 2 < counted(self.words, word)[0]:
+            return 0.0
+        return float(np.log2((sure + 4 * self.sure) / (numbers + 4) / self.sure))
 
 
 def french(text: str) -> bool:
@@ -239,6 +286,16 @@ def trimmed(text: str, a: int, b: int, lead: str = "") -> tuple[int, int]:
     return a, b
 
 
+def in_path(text: str, at: int) -> bool:
+    """Whether a place lies in an address of the web: // in the run of characters before it."""
+    at -= 1
+    while at > 0 and not text[at].isspace():
+        if text[at] == "/" and text[at - 1] == "/":
+            return True
+        at -= 1
+    return False
+
+
 class Finder:
     """All mentions of a text as (start, end, kind)."""
 
@@ -267,30 +324,30 @@ class Finder:
 
     @staticmethod
     def emails(text: str, add) -> None:
-        for pattern in (EMAIL, AT_WORD):
+        for pattern in (EMAIL, AT_WORD) if SURE >= DISCLOSURE else ():  # an address names its owner
             for m in pattern.finditer(text):
                 if not FILES.search(m[0]):
                     a = m.start() + (7 if m[0].lower().startswith("mailto:") else 0)
                     add(a, m.end(), "email")
 
-    @staticmethod
-    def numbers(text: str, add) -> None:
-        hits, parts = [], list(near_digits(text, 6, 12))
+    def numbers(self, text: str, add) -> None:
+        hits, parts, lexicon = [], list(near_digits(text)), self.lexicon
         for kind, patterns in (("phone", PHONES), ("id_number", IDS)):
             for i, p in enumerate(patterns):
                 for m in (m for x, y in parts for m in p.finditer(text, x, y)):
                     a, b = m.span()
                     # a number doesn't begin or end within a longer one, a word or a path
                     before, after = text[max(0, a - 40) : a], text[b : b + 2]
-                    if re.search(r"(?:[\w@#&$+]|\d[.:,/\-‐-–]|[A-Za-z][-_]|//\S*)\Z", before) or re.match(r"[\w@%]|[:/\-‐-–,.]\d", after):
+                    if re.search(r"(?:[\w@#&$+]|\d[.:,/\-‐-–]|[A-Za-z][-_])\Z", before) or in_path(text, a) or re.match(r"[\w@%]|[:/\-‐-–,.]\d", after):
                         continue
                     digits = sum(c.isdigit() for c in m[0])
                     if kind == "phone" and not 8 <= digits <= 15:
                         continue
-                    if m[0][0] not in "+(" and THINGS.search(before):
-                        continue
                     cue = bool(ID_CUE.search(before))
                     call = bool(PHONE_CUE.search(before))
+                    sure = m[0][0] in "+("
+                    if (SURE if sure or cue or call else LOOSE_FORM) + (0 if sure or lexicon is None else lexicon.lead(lead_of(text, a))) < DISCLOSURE:
+                        continue
                     if kind == "id_number" and LOOSE.match(m[0]) and call and not cue and m[0][0].isdigit():
                         continue
                     weight = (cue and kind == "id_number") * 4 + (call and not cue and kind == "phone") * 3 + (kind == "phone" and (m[0][0] in "+(" or i in (0, 3))) * 2 + (kind == "id_number" and i in (0, 2, 3, 4, 5)) * 1
@@ -300,12 +357,12 @@ class Finder:
 
     def addresses(self, text: str, add) -> None:
         lex = self.lexicon
-        parts = list(near_digits(text))
-        for p in STREETS.values():
+        parts = list(lines_with_digits(text))
+        for p in STREETS.values() if SURE >= DISCLOSURE else ():
             for a, b in parts:
                 for m in p.finditer(text, a, b):
                     add(m.start(), self.address_end(text, m.end()), "street_address")
-        if lex is None:
+        if lex is None or LOOSE_FORM < DISCLOSURE:
             return
         # other spellings of letters: the same forms, if the collection knows the street
         for p in ANY_CASE.values():
@@ -356,7 +413,7 @@ class Finder:
             if j >= n:
                 return None
             w = tokens[j][2]
-            if lex.family(w, firm or shape(w) not in "cu" or j == k and shape(w) == "l"):
+            if lex.family(w, FIRM if firm or shape(w) not in "cu" else BESIDE):
                 return j
             return None
 
@@ -397,7 +454,7 @@ class Finder:
                         k = self.person(tokens, text, j, gap, blank, surname)
                         if k is None:
                             k = surname(j, False)
-                            if k is None and shape(tokens[j][2]) == "c" and not lex.facts(low(tokens[j][2]))[0] and l != "don":
+                            if k is None and shape(tokens[j][2]) == "c" and not (f := lex.facts(low(tokens[j][2])))[0] and f[1] + TITLED >= DISCLOSURE and l != "don":
                                 k = j if len(tokens[j][2]) > 3 else None
                         if k is not None:
                             add(tokens[j][0], bare_end(k), "person_name")
@@ -444,14 +501,14 @@ class Finder:
             f, g = tokens[j][2], gap(j)
             if (re.fullmatch(r",[  ]{0,3}", g) or blank(g)) and lex.given(low(tokens[j + 1][2])) and not lex.given(low(f)):
                 firm = not (shape(f) == "u" and shape(tokens[j + 1][2]) == "c" and blank(g))
-                if lex.family(f, firm) and not (blank(g) and j + 2 < n and blank(gap(j + 1)) and lex.family(tokens[j + 2][2], True) and shape(f) == "c"):
+                if lex.family(f, FIRM if firm else BESIDE) and not (blank(g) and j + 2 < n and blank(gap(j + 1)) and lex.family(tokens[j + 2][2], FIRM) and shape(f) == "c"):
                     return j + 1
             # Family, J. and Family J., but not before J. Family
             if (re.fullmatch(r",[  ]{0,3}", g) or blank(g)) and shape(f) in "cu" and not lex.given(low(f)):
                 k = j
                 while k + 1 < n and len(tokens[k + 1][2]) == 1 and tokens[k + 1][2].isupper() and text[tokens[k + 1][1] : tokens[k + 1][1] + 1] == "." and (k == j or re.fullmatch(r"\.[  ]{0,3}", gap(k))):
                     k += 1
-                if k > j and lex.family(f, True) and not (k + 1 < n and re.fullmatch(r"\.[  ]{0,3}", gap(k)) and surname(k + 1, True) is not None):
+                if k > j and lex.family(f, FIRM) and not (k + 1 < n and re.fullmatch(r"\.[  ]{0,3}", gap(k)) and surname(k + 1, True) is not None):
                     return k
         return None
 
@@ -464,8 +521,13 @@ ANY_CASE = {k: _any_case(p) for k, p in STREETS.items()}
 ANY_TAIL = re.compile(rf"{BREAK}(?:(?P<zip>\d{{5}})[  ]{{1,3}})?(?P<town>[^\W\d_][\w'’-]*(?:[  ][^\W\d_][\w'’-]*)?)(?:[  ]{{1,3}}(?P<zip2>\d{{5}}))?(?!\w)")
 
 
+USES, SMALL, TITLE, LOCAL, PLACE, SURE_NUMBER, NUMBER, PAIR = range(8)
+#: Anything with seven digits or more that may be a number of a person.
+NUMBERISH = re.compile(r"(?<![\w.,/+-])(?:\+|00|\(|[A-Za-z]{1,2}[  -]?)?\d(?:[  .\-‐-–/()]{0,3}\d){5,}")
+
+
 def evidence(text: str) -> Iterator[tuple[str, int]]:
-    """(word, kind) for the statistics: 0 any use, 1 in small letters, 2 after a title, 3 beside a given name; 5 streets and towns."""
+    """(term, kind) for the statistics: words, streets and towns, ~lead words, and pairs of names as given TAB family."""
     loud = text.isupper()
     # passages without any capital say nothing of a word's usual letters
     small = bytearray(len(text))
@@ -477,42 +539,75 @@ def evidence(text: str) -> Iterator[tuple[str, int]]:
     for k, (a, b, w) in enumerate(tokens):
         l = lows[k]
         s = shape(w) if w[0].isupper() else "l"
-        title = beside = False
-        if s in "cu" and not loud and len(l) > 1 and l not in TITLES and not is_given(l):
-            previous = lows[k - 1] if k else ""
-            if previous in TITLES and re.fullmatch(r"\.?[ \u00a0]{1,3}", text[tokens[k - 1][1] : a]):
-                title = True
-            elif len(l) > 2:
-                if previous and is_given(previous) and text[tokens[k - 1][1] : a] in (" ", "\u00a0", "  ") and shape(tokens[k - 1][2]) in "cu":
-                    beside = True
-                elif k + 1 < len(tokens) and is_given(lows[k + 1]) and shape(tokens[k + 1][2]) in "cu" and text[b : tokens[k + 1][0]] in (", ", ",") + ((" ",) if s == "u" else ()):
-                    beside = True
+        title = False
+        if s in "cu" and not loud and len(l) > 2 and l not in TITLES and k:
+            g = text[tokens[k - 1][1] : a]
+            title = lows[k - 1] in TITLES and re.fullmatch(r"\.?[ \u00a0]{1,3}", g) or len(lows[k - 1]) == 1 and tokens[k - 1][2].isupper() and re.fullmatch(r"\.[ \u00a0]{0,3}", g)
+            p = lows[k - 1]
+            if len(p) > 2 and p not in TITLES and tokens[k - 1][2][0].isupper():
+                if g in (" ", "\u00a0", "  "):
+                    yield f"{p}\t{l}", PAIR
+                    if shape(tokens[k - 1][2]) == "u" and s == "c":
+                        yield f"{l}\t{p}", PAIR
+                elif g in (", ", ","):
+                    yield f"{l}\t{p}", PAIR
         for p in (l, *l.split("-")) if "-" in l else (l,):
-            yield p, 0
+            yield p, USES
             if s == "l" and not small[a]:
-                yield p, 1
+                yield p, SMALL
             if title:
-                yield p, 2
-            elif beside:
-                yield p, 3
+                yield p, TITLE
+    if "@" in text or AT.search(text):
+        mails: list[tuple[int, int]] = []
+        Finder.emails(text, lambda a, b, kind: mails.append((a, b)))
+        for a, b in mails:
+            local = re.match(r"[\w.%-]*", fold(text[a:b]))[0].partition("_at_")[0]
+            for w in re.findall(r"[^\W\d_]{3,}", local):
+                yield w, LOCAL
     if DIGIT.search(text):
-        parts = list(near_digits(text))
+        for m in NUMBERISH.finditer(text):
+            if lead := lead_of(text, m.start()):
+                yield "~" + lead, NUMBER
+                before = text[max(0, m.start() - 40) : m.start()]
+                if m[0][0] in "+(" or ID_CUE.search(before) or PHONE_CUE.search(before):
+                    yield "~" + lead, SURE_NUMBER
         for p in STREETS.values():
-            for x, y in parts:
+            for x, y in lines_with_digits(text):
                 for m in p.finditer(text, x, y):
-                    yield " ".join(m["name"].lower().split()), 5
+                    yield " ".join(m["name"].lower().split()), PLACE
                     t = TAIL.match(text, m.end())
                     if t and (t["zip"] or t["zip2"] or "," in text[m.end() : t.start("town")]):
-                        yield "@" + " ".join(t["town"].lower().split()), 5
+                        yield "@" + " ".join(t["town"].lower().split()), PLACE
 
 
-def befores(text: str, lexicon: Lexicon) -> Iterator[str]:
-    """Words with a capital right before a family name, or after one and a comma."""
-    tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
-    for (_, b, w), (c, _, x) in zip(tokens, tokens[1:]):
-        g = text[b:c]
-        if g in (" ", "\u00a0", "  ") and shape(w) == "c" and shape(x) == "c" and len(w) > 2 and low(w) not in TITLES and lexicon.family(x, True) and lexicon.facts(low(x))[1] and not lexicon.facts(low(w))[1]:
-            yield low(w)
+def word_cells(word: str, n: np.ndarray, words: np.ndarray, places: np.ndarray) -> None:
+    """Adds a term's counts by kind to the tables."""
+    if "\t" in word:
+        return
+    own = cells(word)
+    places[:, own] += n[PLACE : NUMBER + 1][[0, 1, 2], None]
+    words[:4, own] += n[: LOCAL + 1, None]
+
+
+def end_cells(word: str, lexicon: Lexicon, parts: np.ndarray) -> None:
+    """Counts the ends of a word as those of a name, of another word, or not at all."""
+    n, small, title, local, beside, _ = counted(lexicon.words, word)
+    named = title + local + beside
+    if n:
+        side = 0 if named * 2 >= n and small * 4 < n else 1 if small * 4 >= n or not named and n >= 5 else None
+        if side is not None:
+            parts[side, [c for e in ends(word) for c in cells(e)]] += 1
+
+
+def pair_cells(pair: str, n: int, lexicon: Lexicon, words: np.ndarray, column: int) -> None:
+    """Carries evidence over a pair: to the word before a family name (column 5), or to the one beside a given name (4)."""
+    given, family = pair.split("\t")
+    if column == 5:
+        if given not in MONTHS and lexicon.facts(family)[1] + FIRM >= DISCLOSURE and lexicon.family(family, FIRM) and not lexicon.facts(given)[0]:
+            words[5, cells(given)] += n
+    elif lexicon.given(given) and not lexicon.given(family):
+        for p in (family, *family.split("-")) if "-" in family else (family,):
+            words[4, cells(p)] += n
 
 
 def _counted(documents: DataFrame, text: str, words, columns: int) -> DataFrame:
@@ -540,51 +635,60 @@ def _counted(documents: DataFrame, text: str, words, columns: int) -> DataFrame:
 
 
 def learned(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lexicon's tables, counted over all documents: first family names and places, then what stands before them."""
-    per = _counted(documents, text, lambda: evidence, 6)
-
-    def into_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, places = tables()
-        for b in batches:
-            n = np.array([b.column(f"n{j}").to_numpy() for j in range(6)])
-            for k, w in enumerate(b.column("word").to_pylist()):
-                own = cells(w)
-                places[own] += n[5, k]
-                if n[0, k]:
-                    words[:, own] += n[:5, k, None]
-                    name = n[2, k] + n[3, k]
-                    side = 0 if name and name * 2 >= n[0, k] and n[1, k] * 4 < n[0, k] else 1 if n[1, k] * 4 >= n[0, k] or not name and n[0, k] >= 5 else None
-                    if side is not None:
-                        parts[side, [c for e in ends(w) for c in cells(e)]] += 1
-        for t, table in enumerate([*words, *parts, places]):
-            at = np.nonzero(table)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["t", "cell", "n"])
-
-    def collected(df: DataFrame) -> np.ndarray:
-        # at most 8 tables of 2 CELLS rows
-        table = df.groupBy("t", "cell").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros((8, 2 * CELLS), np.int64)
-        out[table.column("t").to_numpy(), table.column("cell").to_numpy()] = table.column("n").to_numpy()
-        return out
-
-    spec = "t int, cell int, n bigint"
-    out = collected(per.mapInArrow(into_cells, spec))
-    shared = documents.sparkSession.sparkContext.broadcast((out[:5], out[5:7], out[7]))
-
-    def given():
-        lexicon = Lexicon(*shared.value)
-        return lambda t: ((w, 0) for w in befores(t, lexicon))
-
-    def given_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2 * CELLS, np.int64)
-        for b in batches:
-            for w, n in zip(b.column("word").to_pylist(), b.column("n0").to_pylist()):
-                table[cells(w)] += n
-        at = np.nonzero(table)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 4, np.int32)), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["t", "cell", "n"])
-
-    out[4] = collected(_counted(documents, text, given, 1).mapInArrow(given_cells, spec))[4]
-    return out[:5], out[5:7], out[7]
+    """The lexicon's tables, counted over all documents; the rounds after the first read terms and pairs only."""
+    per = _counted(documents, text, lambda: evidence, PAIR + 1).persist(StorageLevel.DISK_ONLY)
+    spec, shapes = "t int, cell int, n bigint", [len(t) for t in tables()]
+
+    def collected(fill, frame: DataFrame) -> list[np.ndarray]:
+        """Tables filled by fill(rows, words, parts, places) in every task and added up: 11 of 2 CELLS cells at most."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = tables()
+            for b in batches:
+                fill(b.column("word").to_pylist(), np.array([b.column(f"n{j}").to_numpy() for j in range(PAIR + 1)]), own)
+            for t, table in enumerate(row for group in own for row in group):
+                at = np.nonzero(table)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["t", "cell", "n"])
+
+        got = frame.mapInArrow(run, spec).groupBy("t", "cell").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros((sum(shapes), 2 * CELLS), np.int64)
+        out[got.column("t").to_numpy(), got.column("cell").to_numpy()] = got.column("n").to_numpy()
+        return np.split(out, np.cumsum(shapes)[:-1])
+
+    def count(terms, n, own):
+        for k, w in enumerate(terms):
+            word_cells(w, n[:, k], own[0], own[2])
+
+    def carried(now: tuple, column: int):
+        shared = documents.sparkSession.sparkContext.broadcast(now)
+
+        def fill(terms, n, own):
+            lexicon = Lexicon(*shared.value)
+            for k, pair in enumerate(terms):
+                pair_cells(pair, int(n[PAIR, k]), lexicon, own[0], column)
+
+        return fill
+
+    def word_ends(now: tuple):
+        shared = documents.sparkSession.sparkContext.broadcast(now)
+
+        def fill(terms, n, own):
+            lexicon = Lexicon(*shared.value)
+            for w in terms:
+                end_cells(w, lexicon, own[1])
+
+        return fill
+
+    pairs, single = per.where(F.col(f"n{PAIR}") > 0), per.where(F.col(f"n{USES}") > 0)
+    words, parts, places = collected(count, per)
+    for _ in range(2):
+        parts = collected(word_ends((words, parts, places)), single)[1]
+        words[5] = collected(carried((words, parts, places), 5), pairs)[0][5]
+        words[4] = collected(carried((words, parts, places), 4), pairs)[0][4]
+    parts = collected(word_ends((words, parts, places)), single)[1]
+    words[5] = collected(carried((words, parts, places), 5), pairs)[0][5]
+    per.unpersist()
+    return words, parts, places
 
 
 def _finder(tables: tuple) -> Finder:

@@ -17,7 +17,10 @@ def lexicon(families=(), ordinary=(), places=()):
         for e in P.ends(o):
             parts[1, P.cells(e)] += 1
     for p in places:
-        places_[P.cells(p)] += 3
+        places_[0, P.cells(p)] += 3
+    for lead, sure in (("ticket", 0), ("order", 0), ("call", 900)):
+        places_[1, P.cells("~" + lead)] += sure
+        places_[2, P.cells("~" + lead)] += 900
     return P.Lexicon(w, parts, places_)
 
 
@@ -107,3 +110,20 @@ def test_edges(spark):
 )
 def test_initial_after_family_name(text, want):
     assert found(text, "person_name") == want
+
+
+def test_the_threshold_decides(monkeypatch):
+    text = "Please thank Dr. Velowick and Colin Drenquist and T. Halastrom, a@b.test, SSN 941-11-0968, call 020 7946 0247, 7B Hobb St, Port Hesper"
+    find = P.Finder(lexicon(["velowick", "drenquist", "halastrom"], ["please", "thank"], ["hobb st"]))
+    assert len(find.mentions(text)) == 7
+    monkeypatch.setattr(P, "DISCLOSURE", 1e9)
+    assert P.Finder(lexicon(["velowick", "drenquist", "halastrom"], ["please", "thank"], ["hobb st"])).mentions(text) == []
+
+
+def test_names_are_learned_without_seeds(spark):
+    families = [f"{a}{b}" for a in ("Quil", "Dren", "Thol", "Vel", "Osta") for b in ("rosa", "wick", "quist", "strom", "beck")]
+    given = ["Zorblex", "Mirtane", "Pholdo", "Quenna"]
+    rows = [(i, f"We asked {given[i % 4]} {families[(i * 7) % 25]} about the lobster. The lobster was fine.") for i in range(60)]
+    rows += [(100 + i, f"Thanks to Mrs. {f} for the lobster. Mail to {given[i % 4].lower()}.{f.lower()}@host.test about it.") for i, f in enumerate(families)]
+    got = {(r["doc_id"], r["found_text"]) for r in P.personal_mentions(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r["kind"] == "person_name"}
+    assert {(i, f"{given[i % 4]} {families[(i * 7) % 25]}") for i in range(60)} | {(100 + i, f) for i, f in enumerate(families)} == got
