@@ -534,7 +534,16 @@ def evidence(text: str) -> Iterator[tuple[str, int]]:
     for m in re.finditer(r"[^.!?\n]+", text):
         if m[0].islower():
             small[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-    tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
+    mailed = bytearray(len(text))
+    if "@" in text or AT.search(text):
+        mails: list[tuple[int, int]] = []
+        Finder.emails(text, lambda a, b, kind: mails.append((a, b)))
+        for a, b in mails:
+            mailed[a:b] = b"\1" * (b - a)
+            local = re.match(r"[\w.%-]*", fold(text[a:b]))[0].partition("_at_")[0]
+            for w in re.findall(r"[^\W\d_]{3,}", local):
+                yield w, LOCAL
+    tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text) if not mailed[m.start()]]
     lows = [low(w) for _, _, w in tokens]
     for k, (a, b, w) in enumerate(tokens):
         l = lows[k]
@@ -557,13 +566,6 @@ def evidence(text: str) -> Iterator[tuple[str, int]]:
                 yield p, SMALL
             if title:
                 yield p, TITLE
-    if "@" in text or AT.search(text):
-        mails: list[tuple[int, int]] = []
-        Finder.emails(text, lambda a, b, kind: mails.append((a, b)))
-        for a, b in mails:
-            local = re.match(r"[\w.%-]*", fold(text[a:b]))[0].partition("_at_")[0]
-            for w in re.findall(r"[^\W\d_]{3,}", local):
-                yield w, LOCAL
     if DIGIT.search(text):
         for m in NUMBERISH.finditer(text):
             if lead := lead_of(text, m.start()):
