@@ -23,7 +23,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """How many fields of each kind are to be left out."""
+    """The fields to be left out, with all the evidence that speaks against each."""
     return template_residue(values(spark, d))
 
 

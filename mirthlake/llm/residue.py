@@ -7,12 +7,14 @@ Three kinds of evidence are combined for a field's value:
   quoted and doesn't count;
 - corpus evidence for what fixed patterns can't know: words that keep the company of filler text are filler, names
   seen in unmistakable placeholders are names of slots in any brackets;
-- responses: values equal but for numbers and codes that come from several records and hosts, share no term with most
-  of the records' titles and address slugs, and are made of words that hardly occur in the rest of the field (copies
-  count once, so a response may fill any share of the rows), are messages nobody wrote as content, whatever their
-  language.
-
-Counts of words are kept in 2^18 cells, a fixed size whatever the vocabulary.
+- responses: a value that stands in several records of several hosts (equal but for numbers and codes), shares no term
+  with most of the records' titles and address slugs, and holds little of the field's own words (at least two in five
+  hardly occur in other values; copies count once, so a response may fill any share of the rows) is a message nobody
+  wrote as content, whatever its language. Values that say such a response somewhere within their text, unquoted, are
+  found by its first three words and then by all of them.
+
+Every found value comes with all kinds of evidence that speak against it. Counts of words are kept in 2^18 cells, a
+fixed size whatever the vocabulary.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from pyspark.storagelevel import StorageLevel
 from .text import WORD, fold
 
 CELLS = 1 << 18
-QUOTED = re.compile(r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]")
+CODE = re.compile(r"\b[0-9a-f]*\d[0-9a-f]*\b")
+QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]")
 TAG = re.compile(r"</?(?:p|b|i|u|em|strong|span|div|br|hr|h[1-6]|li|ul|ol|small|code|pre|a|font|td|tr|noscript|center|body|html|title)\b[^<>]*>", re.I)
 
 NAME = r"[^\W\d_][\w.-]*"
@@ -62,14 +65,14 @@ SPOKEN = re.compile(r"\b(?:how to|asks?|asked|asking|why|whether|explains?|expla
 STUB = re.compile(
     r"(?:n ?[./]? ?a|none|null|nil|nan|undefined|unknown|empty|leer|vacio|vide|missing|blank|tba|tbc|tbd|todo|fixme|xxx+|wip|to be (?:determined|decided|announced|confirmed|defined|added|done|written|filled(?: in)?)(?: .{0,30})?|(?:content )?coming soon|placeholder(?: text| copy)?|platzhalter(?:text)?|text folgt|kommt noch|texto de (?:ejemplo|relleno|muestra)|por definir|pendiente|texte (?:d'exemple|factice|de remplacement)|exemple de texte|a (?:completer|definir)|beispieltext|blindtext|sample (?:text|copy)|example text|dummy (?:text|copy)?|default(?: text| value)?|your (?:text|message|copy|content) (?:goes )?here|insert (?:copy|text|content|message)(?: here)?|add (?:\w+ ){1,3}(?:text|here)|enter (?:\w+ ){1,3}here|(?:\w+ ){1,3}(?:goes|go|comes) here|(?:todo|fixme|tbc|tbd|tba)\b.*|object object|same as above|see above|no (?:data|content|text|description|message)(?: available| provided| yet)?|test(?: text| message)?|asdf+|qwerty?|foo|bar|baz|foobar|bla+h?|deleted|removed)"
 )
-#: Lead-ins that say nothing alone.
-LEAD = re.compile(r"(?:so|scenario|repost|update|note|context|example|message|situation|tags?|pattern|expectation|outcome|pov|fyi|ps|edit(?:ed)?)(?:[\s:,.;-]*)")
 #: Instructions to a text generator, and its replies.
 GENERATOR = [re.compile(x) for x in (
     r"\bas requested\b.{0,20}\bwrite\b", r"\bwrite (?:one|a|two|three|an?) (?:short |single |complete )?(?:sentence|paragraph|message|caption|example)s?\b.{0,40}\b(?:words|characters|tokens|about|that|for|of at)\b", r"\bat (?:least|most) (?:\w+) (?:words|characters|sentences|tokens)\b", r"\bhere (?:is|are|'s) (?:the|your|an?) (?:json|requested|sentence|example|output|response|list|rewritten|revised|text|description|caption|message|metadata)", r"\bas an? (?:ai|artificial|language|large language)\b", r"\bi (?:cannot|can't|can not|am unable to|'m unable to|am sorry, but|'m sorry, but) (?:help|assist|fulfil|comply|generate|provide|create|i)", r"^\W*(?:sure|certainly|of course|absolutely|okay)\b\W+(?:here|i|this|below)\b", r"\b(?:return|respond|reply|answer|output) (?:only |strictly |just )?(?:with |in |as )?(?:valid |the |a )?(?:json|yaml|xml|markdown)\b", r"\bdo not (?:include|add|use|mention|repeat|output|write) (?:any |the )?(?:explanation|quotes|markdown|preamble|commentary|other|name|tags|instructions)", r"^\W*(?:system|user|assistant|human|instruction|prompt|response|output)\s*:\s", r"^\W*###\s*(?:instruction|response|input)", r"<\|[a-z_]+\|>", r"\[/?inst\]", r"^\W*```", r"\{\s*[\"']\w+[\"']\s*:\s*(?:[\"'][^\"']*[\"']|\[|null)", r"^\W*1\. ?\w+:\s*2\. ?\w+:", r"\byou are a (?:helpful|careful|creative|skilled) ", r"\b(?:let me know|feel free to) (?:if|to) (?:you|ask|adjust|change)\b", r"\bi hope this helps\b", r"\bfill in (?:the|each|every) (?:fields?|blanks?|template)", r"\b(?:max(?:imum)?|limit) ?:? ?\d+ (?:words|characters|tokens)\b",
 )]
 #: A frame whose slots are empty: a joining word right before the end or a punctuation mark.
 FRAME = re.compile(r"\b(?:when|if|while|because|after|before|until|unless|where|who|that|which|and|or|of|for|with|by|from|to|the|a|an|in|on|at|about|near|beside|over|once|since|as|like|says|answers|wenn|weil|und|der|die|das|cuando|porque|quand|et|le|la)\s*[,.;:!?]*$|\b(?:when|if|where|while|because|until|that|who|the|a|an|of)\s+[,.;:]|\b(?:when|if)\s+(?:and|or|meets)\b")
+#: A longer sentence has content, even where a word is missing.
+FRAME_WORDS = 8
 LATIN = re.compile(r"\blorem\b")
 
 
@@ -80,7 +83,16 @@ def plain(value: str) -> str:
 
 def skeleton(value: str) -> str:
     """Folded text without what changes between two issues of one message: numbers and codes."""
-    return " ".join(re.sub(r"\b[0-9a-f]*\d[0-9a-f]*\b", "0", fold(TAG.sub(" ", html.unescape(value)))).split())
+    return " ".join(CODE.sub("0", fold(TAG.sub(" ", html.unescape(value)))).split())
+
+
+def said(text: str) -> str:
+    """The words of a skeleton, or of folded text, alone; the text itself if it has none."""
+    return " ".join(WORD.findall(CODE.sub("0", text))) or text
+
+
+def gram(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
 
 
 def cell_of(word: str) -> int:
@@ -106,6 +118,11 @@ def mashed(words: list[str], known) -> bool:
     return bad > 0 or vowels < 0.2 * sum(map(len, words))
 
 
+def spoken_of(before: str) -> bool:
+    """Whether the words before a message only lead in a mention of it; no lead-in has more than four."""
+    return bool(SPOKEN.search(" ".join(["", *before.rsplit(None, 4)[-4:]]) + " "))
+
+
 def residue(value: str, filler, slot, known) -> str | None:
     """The kind of residue in a value, or None. filler, slot, known: what the corpus says of a word."""
     text = html.unescape(value)
@@ -117,7 +134,7 @@ def residue(value: str, filler, slot, known) -> str | None:
         return "placeholder"
     bare = plain(value)
     raw = " ".join(fold(text).split())
-    if "<noscript" in raw or '"status":' in raw or any(not SPOKEN.search(bare[max(0, m.start() - 24) : m.start()]) for p in MESSAGES for m in p.finditer(bare)):
+    if "<noscript" in raw or '"status":' in raw or any(not spoken_of(bare[: m.start()]) for p in MESSAGES for m in p.finditer(bare)):
         return "message"
     core = re.sub(r"^[\W_]+|[\W_]+$", "", " ".join(fold(TAG.sub(" ", text)).split()))
     if not core:
@@ -131,46 +148,47 @@ def residue(value: str, filler, slot, known) -> str | None:
         return "filler"
     if repeated(WORD.findall(core)) or mashed(WORD.findall(core), known):
         return "filler"
-    if LEAD.fullmatch(core):
-        return "frame"
-    if len(words) <= 8 and FRAME.search(bare):
+    if len(words) <= FRAME_WORDS and FRAME.search(bare):
         return "frame"
     return None
 
 
-def template_residue(values: DataFrame, least_copies: int = 3, least_hosts: int = 2) -> DataFrame:
-    """(id, field_name, kind) of the values that hold template residue, filler or messages.
+def template_residue(values: DataFrame) -> DataFrame:
+    """(id, field_name, kind, evidence) of the values that hold template residue, filler or messages.
 
-    values: id, field_name, value, title, address STRING; one row a record and field. Null values and ids are no case;
-    null titles and addresses say nothing. Repeated rows give one row. Empty input gives an empty result. Values of
-    any length are read whole.
+    values: id, field_name, value, title, address STRING; one row a record and field. evidence: all kinds that speak
+    against the value, in order; kind: the first. Null values and ids are no case; null titles and addresses say
+    nothing. Repeated rows give one row. Empty input gives an empty result. Values of any length are read whole.
     """
     spark = values.sparkSession
     values = values.where("value is not null and id is not null").select("id", "field_name", "value", "title", "address").distinct()
+    cell_type = pa.list_(pa.struct([("cell", pa.int32()), ("latin", pa.bool_()), ("slot", pa.bool_())]))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bones, words, host, match = [], [], [], []
+            bones, words, host, match, free = [], [], [], [], []
             for v, t, a in zip(b.column("value").to_pylist(), b.column("title").to_pylist(), b.column("address").to_pylist()):
-                bones.append(skeleton(v))
-                w = set(WORD.findall(plain(v)))
+                bones.append(said(skeleton(v)))
+                bare = plain(v)
+                free.append(said(bare))
+                w = set(WORD.findall(bare))
                 latin = bool(LATIN.search(bones[-1]))
                 words.append([(cell_of(x), latin, False) for x in w] + [(cell_of(x), latin, True) for x in slots(v)])
                 head, _, slug = (a or "").partition("://")[2].partition("/")
                 host.append(head)
                 own = {x for x in WORD.findall(fold((t or "") + " " + slug)) if len(x) > 3}
                 match.append(bool(own & w))
-            cells = pa.array([[{"cell": c, "latin": l, "slot": s} for c, l, s in w] for w in words], pa.list_(pa.struct([("cell", pa.int32()), ("latin", pa.bool_()), ("slot", pa.bool_())])))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("id", "field_name", "value")], pa.array(bones), cells, pa.array(host), pa.array(match)], names=["id", "field_name", "value", "bones", "cells", "host", "match"])
+            cells = pa.array([[{"cell": c, "latin": l, "slot": s} for c, l, s in w] for w in words], cell_type)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("id", "field_name", "value")], pa.array(bones, pa.string()), pa.array(free, pa.string()), cells, pa.array(host, pa.string()), pa.array(match, pa.bool_())], names=["id", "field_name", "value", "bones", "free", "cells", "host", "match"])
 
-    f = values.mapInArrow(features, "id string, field_name string, value string, bones string, cells array<struct<cell int, latin boolean, slot boolean>>, host string, match boolean").persist(StorageLevel.DISK_ONLY)
+    f = values.mapInArrow(features, "id string, field_name string, value string, bones string, free string, cells array<struct<cell int, latin boolean, slot boolean>>, host string, match boolean").persist(StorageLevel.DISK_ONLY)
     table = np.zeros((3, CELLS), np.int64)
     counted = f.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.count_if(~F.col("c.slot")).alias("n"), F.count_if(F.col("c.latin") & ~F.col("c.slot")).alias("latin"), F.count_if("c.slot").alias("slot"))
     counted = counted.toArrow()  # CELLS rows at most
     table[:, counted.column("cell").to_numpy()] = [counted.column(c).to_numpy() for c in ("n", "latin", "slot")]
     total = f.count()
     # copies of a response must not make its own words usual: here each skeleton counts once
-    groups = f.groupBy("bones").agg(F.approx_count_distinct("id").alias("n"), F.approx_count_distinct("host").alias("hosts"), F.avg(F.col("match").cast("int")).alias("match")).persist(StorageLevel.DISK_ONLY)
+    groups = f.groupBy("bones").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min("host").alias("h"), F.max("host").alias("i"), F.avg(F.col("match").cast("int")).alias("match")).persist(StorageLevel.DISK_ONLY)
 
     def once_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CELLS, np.int64)
@@ -211,19 +229,45 @@ def template_residue(values: DataFrame, least_copies: int = 3, least_hosts: int
             yield pa.RecordBatch.from_arrays([b.column("id").filter(mask), b.column("field_name").filter(mask), kinds.filter(mask)], names=["id", "field_name", "kind"])
 
     found = f.select("id", "field_name", "value").mapInArrow(judge, "id string, field_name string, kind string")
-    # responses: judged once for all values that are equal but for numbers and codes
-    groups = groups.where((F.col("n") >= least_copies) & (F.col("hosts") >= least_hosts) & (F.col("match") < 0.5))
+    # responses: judged once for all values that say the same; two records and two hosts at least
+    groups = groups.where("a < z and h < i and match < 0.5")
 
     def unusual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, spread, skeletons = shared.value
         usual = max(5, 0.001 * skeletons)
         for b in batches:
-            keep = []
+            keep, first = [], []
             for bones in b.column("bones").to_pylist():
-                words = [w for w in WORD.findall(QUOTED.sub(" ", bones)) if not w.isdigit()]
-                keep.append(len(words) >= 3 and sum(spread[cell_of(w)] < usual for w in words) * 2 >= len(words))
-            yield pa.RecordBatch.from_arrays([b.column("bones").filter(pa.array(keep, pa.bool_()))], names=["bones"])
+                words = [w for w in WORD.findall(bones) if not w.isdigit()]
+                keep.append(len(words) >= 3 and sum(spread[cell_of(w)] < usual for w in words) * 5 >= 2 * len(words))
+                first.append(gram(bones.split(" ")[:3]))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("bones").filter(mask), pa.array(first, pa.int64()).filter(mask)], names=["response", "gram"])
+
+    responses = groups.select("bones").mapInArrow(unusual, "response string, gram bigint").persist(StorageLevel.DISK_ONLY)
+    whole = f.join(responses.select(F.col("response").alias("bones")), "bones", "left_semi").select("id", "field_name")
 
-    responses = groups.select("bones").mapInArrow(unusual, "bones string")
-    more = f.join(responses, "bones", "left_semi").select("id", "field_name", F.lit("response").alias("kind"))
-    return found.unionAll(more).groupBy("id", "field_name").agg(F.min("kind").alias("kind"))
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, out = [], []
+            for i, t in enumerate(b.column("free").to_pylist()):
+                words = t.split(" ")
+                own = {gram(words[j : j + 3]) for j in range(len(words) - 2)}
+                of += [i] * len(own)
+                out += own
+            of = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(of) for c in ("id", "field_name", "free")], pa.array(out, pa.int64())], names=["id", "field_name", "free", "gram"])
+
+    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for text, response in zip(b.column("free").to_pylist(), b.column("response").to_pylist()):
+                at = f" {text} ".find(f" {response} ")
+                keep.append(at >= 0 and not spoken_of(text[:at]))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(mask), b.column("field_name").filter(mask)], names=["id", "field_name"])
+
+    within = f.select("id", "field_name", "free").mapInArrow(grams, "id string, field_name string, free string, gram bigint").join(responses, "gram").select("id", "field_name", "free", "response").mapInArrow(holds, "id string, field_name string")
+    more = whole.unionAll(within).select("id", "field_name", F.lit("response").alias("kind"))
+    found = found.unionAll(more).groupBy("id", "field_name").agg(F.sort_array(F.collect_set("kind")).alias("evidence"))  # a set of eight kinds at most
+    return found.select("id", "field_name", F.col("evidence")[0].alias("kind"), "evidence")

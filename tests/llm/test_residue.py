@@ -84,3 +84,17 @@ def test_one_matching_title_clears_no_response(spark):
     own = [(f"w{i}", "m", f"Karhu nukkuu pitkään talvella {i}", "Karhu" if i < 6 else "Dog", f"https://h{i % 3}.test/y{i}.gif") for i in range(9)]
     got = {(r["id"], r["kind"]) for r in R.template_residue(rows(spark, good + odd + own)).collect()}
     assert got == {(f"o{i}", "response") for i in range(9)}
+
+
+def test_responses_within_texts(spark):
+    good = [(f"g{i}", "m", f"Use Cat{'abcdefgh'[i % 8]} when the dog is late for the party number {i} again", f"Cat{'abcdefgh'[i % 8]}", f"https://h{i % 3}.test/x{i}.gif") for i in range(60)]
+    odd = [(f"o{i}", "m", f"Sivu ei vastaa juuri nyt koodi {i}", f"Dog{i}", f"https://h{i % 3}.test/dog{i}.gif") for i in range(4)]
+    held = [("h", "m", "Use Cata when the dog is late for sivu ei vastaa juuri nyt, koodi 77", "Cata", None), ("q", "m", 'Use Cata when the dog reads "sivu ei vastaa juuri nyt koodi 5" again', "Cata", None), ("s", "m", "Use Cata when the dog asks about sivu ei vastaa juuri nyt koodi 5", "Cata", None)]
+    got = {(r["id"], r["kind"], tuple(r["evidence"])) for r in R.template_residue(rows(spark, good + odd + held)).collect()}
+    assert got == {(i, "response", ("response",)) for i in ("o0", "o1", "o2", "o3", "h")}
+
+
+def test_all_evidence_is_reported(spark):
+    good = [(f"g{i}", "m", f"Use Cat{'abcdefgh'[i % 8]} when the dog is late for the party number {i} again", f"Cat{'abcdefgh'[i % 8]}", f"https://h{i % 3}.test/x{i}.gif") for i in range(60)]
+    odd = [(f"o{i}", "m", f"Seite nicht gefunden ({400 + i})", f"Dog{i}", f"https://h{i % 2}.test/y{i}.gif") for i in range(3)]
+    assert {tuple(r["evidence"]) for r in R.template_residue(rows(spark, good + odd)).collect()} == {("message", "response")}
