@@ -25,7 +25,7 @@ from pyspark.storagelevel import StorageLevel
 from .graph import components
 from .text import as_word_sets, lists_of
 
-BASE, RATE, BANDS, ROWS = 1.2, 20.0, 144, 6
+BASE, RATE, BANDS, ROWS = 1.2, 20.0, 90, 5
 REGISTERS = BANDS * ROWS
 
 
