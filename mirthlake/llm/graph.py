@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go where the session says; only where it says nothing, as in tests, to a folder of our own."""
+    """Checkpoints go to the folder the session names. Only a local session, as in tests, may name none and gets one of its own."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mirthlake-"))
+    if sc.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mirthlake-"))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Each source's documents stand one after another in an order drawn by hash, and their tokens are cut into blocks of
 BLOCK tokens; a block is known by its index alone. A mix is as large as its scarcest source allows: the most blocks
 for which every source can give its share with each block used max_repeats times at most. Its slots are spread over
-output shards: each shard draws how many of its slots each source fills, from the multinomial distribution
-conditional on the sources' totals, so shares are met exactly and not only on average. Slot j of a source stands for
+output shards: a tree over the shards halves them again and again, and each half draws how many of its slots each
+source fills from the multinomial distribution, held to the sources' totals, so shares are met exactly and not only on
+average. A draw depends on the seed and the node alone: every task draws for its own shards. Slot j of a source stands for
 block perm(j mod B) of its pass j div B, perm being a pseudorandom permutation of the B block indexes (a Feistel
 network, computed from the index, never stored) of its own for each pass. Slots and documents meet in a join on the
 block index; there is no list of blocks on the driver, and no source's documents come together in one task.
@@ -24,8 +25,6 @@ from pyspark.storagelevel import StorageLevel
 BLOCK = 64
 #: Blocks of an output shard.
 SHARD = 4096
-#: Output shards of a mix; beyond that they hold more blocks each.
-MOST_SHARDS = 50_000
 #: Ranges of hash order in which documents of a source are summed up, for offsets without one task per source.
 RANGES = 4096
 
@@ -60,19 +59,36 @@ def plan(blocks: dict[str, int], targets: list[tuple[str, float, int]]) -> dict[
     return {s: min(blocks[s] * c, floor(most * w / whole + 1e-9)) for s, w, c in shares}
 
 
+def drawn(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial counts of size slots over sources that have left slots each, none more than it has."""
+    out = np.zeros_like(left)
+    while size:
+        free = left - out
+        out += (n := np.minimum(rng.multinomial(size, free / free.sum()), free))
+        size -= int(n.sum())
+    return out
+
+
+def shard_runs(slots: np.ndarray, shard: int, seed: int, begin: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slot, slots) of each source for the output shards begin..end-1 of shard slots, the last one of fewer."""
+    total = int(slots.sum())
+    todo = [(0, -(-total // shard), slots, np.zeros_like(slots))]
+    while todo:
+        a, b, own, first = todo.pop()
+        if b <= begin or a >= end:
+            continue
+        if b - a == 1:
+            yield a, first, own
+            continue
+        mid = (a + b) // 2
+        half = drawn(own, (mid - a) * shard, np.random.default_rng([seed, a, b]))
+        todo += [(mid, b, own - half, first + half), (a, mid, half, first)]
+
+
 def shard_counts(slots: dict[str, int], shard: int, seed: int) -> np.ndarray:
-    """Slots of each source in each output shard: draws without replacement, i.e. multinomial given the totals."""
-    rng, left = np.random.default_rng(seed), np.array(list(slots.values()), np.int64)
-    out = []
-    while left.sum():
-        size = int(min(shard, left.sum()))
-        if left.sum() < 1_000_000_000:
-            n = rng.multivariate_hypergeometric(left, size)
-        else:  # beyond what the sampler takes; the same to within its own resolution
-            n = np.minimum(rng.multinomial(size, left / left.sum()), left)
-        out.append(n)
-        left = left - n
-    return np.array(out, np.int64).reshape(-1, len(slots))
+    """Slots of each source in each output shard."""
+    total = np.array(list(slots.values()), np.int64)
+    return np.array([n for _, _, n in shard_runs(total, shard, seed, 0, -(-int(total.sum()) // shard))], np.int64).reshape(-1, len(slots))
 
 
 def mix_sources(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 7) -> DataFrame:
@@ -94,34 +110,37 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, shard:
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("source", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.join(F.broadcast(starts), ["source", "range"]).withColumn("at", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    placed = docs.join(starts, ["source", "range"]).withColumn("at", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     placed = placed.select("source", "doc_id", "n_tokens", "at").persist(StorageLevel.DISK_ONLY)
     totals = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     # a last, shorter block would use its tokens as often as the others, so whole blocks only; a source of less than one block is one block
     blocks = {s: max(1, n // block) for s, n in totals.items()}
-    runs = []  # (mix, source, shard, first slot, slots): a row a shard and source
-    for m, (name, rows) in enumerate(mixes.items()):
-        slots = plan(blocks, rows)
-        if slots:
-            counts = shard_counts(slots, max(shard, sum(slots.values()) // MOST_SHARDS), seed + m)
-            first = np.cumsum(counts, axis=0) - counts
-            runs += [(name, s, int(i), int(first[i, j]), int(counts[i, j]), blocks[s]) for i in range(len(counts)) for j, s in enumerate(slots) if counts[i, j]]
-    spec = "mix_name string, source string, shard int, first bigint, n bigint, blocks bigint"
-    parts = spark.createDataFrame(runs, spec).repartition(max(1, min(2000, len(runs) // 16 + 1)))
+    plans = [(name, plan(blocks, rows)) for name, rows in mixes.items()]
+    plans = [(name, list(slots), np.array(list(slots.values()), np.int64)) for name, slots in plans if slots and sum(slots.values())]
+    # one row a mix and output shard
+    parts = spark.range(0).select(F.lit(0).alias("mix"), F.col("id").alias("shard"))
+    for m, (_, _, slots_of) in enumerate(plans):
+        n = -(-int(slots_of.sum()) // shard)
+        parts = parts.unionAll(spark.range(0, n, 1, max(1, min(2000, n // 16))).select(F.lit(m), "id"))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         for b in batches:
-            for r in b.to_pylist():
-                for begin in range(r["first"], r["first"] + r["n"], 500_000):
-                    j = np.arange(begin, min(begin + 500_000, r["first"] + r["n"]))
-                    rounds, at = j // r["blocks"], j % r["blocks"]
-                    place = np.empty(len(j), np.int64)
-                    for e in np.unique(rounds):
-                        place[rounds == e] = permuted(at[rounds == e], r["blocks"], zlib.crc32(f"{seed}|{r['mix_name']}|{r['source']}|{e}".encode()))
-                    n = len(j)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["mix_name"]] * n), pa.array([r["source"]] * n), pa.array(place), pa.array(rounds.astype(np.int32)), pa.array([r["shard"]] * n, pa.int32())], names=["mix_name", "source", "block", "pass", "shard"])
+            m, shards = b.column("mix").to_numpy(), b.column("shard").to_numpy()
+            for mix in np.unique(m):
+                name, sources, total = plans[mix]
+                own = shards[m == mix]
+                for i, first, n in shard_runs(total, shard, seed + int(mix), int(own.min()), int(own.max()) + 1):
+                    for source, begin, count in zip(sources, first.tolist(), n.tolist()):
+                        if not count:
+                            continue
+                        j = np.arange(begin, begin + count)
+                        rounds, at = j // blocks[source], j % blocks[source]
+                        place = np.empty(count, np.int64)
+                        for e in np.unique(rounds):
+                            place[rounds == e] = permuted(at[rounds == e], blocks[source], zlib.crc32(f"{seed}|{name}|{source}|{e}".encode()))
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * count), pa.array([source] * count), pa.array(place), pa.array(rounds.astype(np.int32)), pa.array(np.full(count, i, np.int32))], names=["mix_name", "source", "block", "pass", "shard"])
 
     wanted = parts.mapInArrow(slots, "mix_name string, source string, block bigint, pass int, shard int")
     last = (F.col("at") + F.col("n_tokens") - 1) / F.lit(block)

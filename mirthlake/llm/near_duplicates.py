@@ -3,8 +3,8 @@
 Register i of a set of words is the greatest of floor(1 - log_b(h)) over its words, h being the word's i-th
 exponential hash value: a minimum on an exponential scale, truncated to one byte. Registers of a union are the
 greater of each pair, and two sets agree in a register with a chance close to their likeness. ROWS registers make a
-band; sets that agree in a whole band are candidates. With 144 bands of 6, a pair of likeness 0.6 is missed with a
-chance of 0.1 %, one of 0.7 with 1 in 10^8. A candidate's likeness is then estimated by maximum likelihood from how
+band; sets that agree in a whole band are candidates. With 90 bands of 5, a pair of likeness 0.6 is missed with a
+chance of 0.01 %, one of 0.7 with 1 in 10^8. A candidate's likeness is then estimated by maximum likelihood from how
 many registers are equal, greater and smaller (with the known set sizes), and what may reach the threshold is
 verified on the words.
 

@@ -7,8 +7,9 @@ levels at most, in one vector operation.
 
 Documents larger than the capacity are cut into whole containers and a rest, which is packed like a document; no other
 document is ever split. Shards are formed by a hash of the id and hold about SHARD tokens each, so a shard never grows
-with the collection. Containers that shards leave open come together in a second round: their documents are packed
-again, largest first, in shards of the same size, until one shard is left or a round closes too few.
+with the collection. Containers that shards leave open come together in another round: their documents are packed
+again in the same way, in shards of the same size, until one shard is left or a round closes less than a tenth of what
+it was given: then sizes don't go together (all above half the capacity, say), and no order would fill more.
 """
 
 from __future__ import annotations
@@ -87,36 +88,33 @@ def pack_documents(sizes: DataFrame, containers: DataFrame, shard: int = SHARD)
     spec = "container string, capacity int, parts array<struct<doc_id bigint, start bigint, end bigint>>, size bigint"
     part_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def fill(descending: bool):
-        def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(list(batches))
-            name, capacity = t.column("container")[0].as_py(), t.column("capacity")[0].as_py()
-            rows = list(zip(t.column("size").to_pylist(), t.column("parts").to_pylist()))
-            rows.sort(key=(lambda r: (-r[0], r[1][0]["doc_id"], r[1][0]["start"])) if descending else (lambda r: ((r[1][0]["doc_id"] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF, r[1][0]["start"])))
-            made = pack(np.array([s for s, _ in rows], np.int64), capacity)
-            for at in range(0, len(made), 4096):
-                some = made[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array([capacity] * len(some), pa.int32()), pa.array([[p for i in c for p in rows[i][1]] for c in some], part_type), pa.array([sum(rows[i][0] for i in c) for c in some], pa.int64())], names=["container", "capacity", "parts", "size"])
-
-        return run
+    def fill(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        name, capacity = t.column("container")[0].as_py(), t.column("capacity")[0].as_py()
+        rows = list(zip(t.column("size").to_pylist(), t.column("parts").to_pylist()))
+        rows.sort(key=lambda r: ((r[1][0]["doc_id"] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF, r[1][0]["start"]))
+        made = pack(np.array([s for s, _ in rows], np.int64), capacity)
+        for at in range(0, len(made), 4096):
+            some = made[at : at + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array([capacity] * len(some), pa.int32()), pa.array([[p for i in c for p in rows[i][1]] for c in some], part_type), pa.array([sum(rows[i][0] for i in c) for c in some], pa.int64())], names=["container", "capacity", "parts", "size"])
 
     full = F.col("size") >= F.col("capacity")
     rounds, todo, tokens = [items.where(full)], items.where(~full), total * len(kinds)  # each kind holds every document
     shards = max(1, round(total / shard))
     while True:
         # rounds after the first pack what shards left open
-        done = todo.groupBy("container", F.pmod(F.xxhash64(F.col("parts")[0]["doc_id"], F.lit(len(rounds))), F.lit(shards)).alias("shard")).applyInArrow(fill(len(rounds) > 1), spec).persist(StorageLevel.DISK_ONLY)
+        done = todo.groupBy("container", F.pmod(F.xxhash64(F.col("parts")[0]["doc_id"], F.lit(len(rounds))), F.lit(shards)).alias("shard")).applyInArrow(fill, spec).persist(StorageLevel.DISK_ONLY)
         if shards == 1:
             rounds.append(done)
             break
         rounds.append(done.where(full))
         left = done.where(~full)
         rest = left.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        if rest > 0.7 * tokens:
+        if rest > 0.9 * tokens:
             rounds.append(left)
             break
         todo = left.select("container", "capacity", F.explode("parts").alias("p")).select("container", "capacity", F.array("p").alias("parts"), (F.col("p.end") - F.col("p.start")).alias("size"))
-        tokens, shards = rest, max(1, min(shards // 2, round(rest / max(1, len(kinds)) / shard)))
+        tokens, shards = rest, max(1, round(rest / max(1, len(kinds)) / shard))
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
