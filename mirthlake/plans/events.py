@@ -64,6 +64,8 @@ SELECT user_id, bool_and(status = 'ok' AND verdict IS NOT NULL) AS complete, arr
 def _folder(spark: SparkSession) -> str:
     """A folder of our own for a stream's state: in the cluster's shared folder if it names one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="mirthlake-stream-")
 
 
@@ -74,15 +76,16 @@ def _stream(spark, d):
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:
     """The latest event of each key by a stream that upserts in batches."""
     at = _folder(spark)
-    S.run(_stream(spark, d), f"{at}/state", mode="update", each=S.latest_into(f"{at}/table", ["user_id", "event_type"], "ts", "event_id"))
-    return spark.read.parquet(f"{at}/table/v0").select("user_id", "event_type", "event_id", "value")
+    table = S.latest_into(f"{at}/table", ["user_id", "event_type"], "ts", "event_id")
+    S.run(_stream(spark, d), f"{at}/state", mode="update", each=table)
+    return table.read(spark).select("user_id", "event_type", "event_id", "value")
 
 
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts by a stream in update mode, the last state of each window."""
-    at, name = _folder(spark), f"w{uuid.uuid4().hex}"
-    S.run(S.counted(_stream(spark, d), "event_type", "1 hour", "1 day"), f"{at}/state", mode="complete", name=name)
-    w = spark.table(name)
+    at = _folder(spark)
+    S.run(S.counted(_stream(spark, d), "event_type", "1 hour", "1 day"), f"{at}/state", mode="update", each=S.updates_into(f"{at}/windows"))
+    w = S.last_updates(spark, f"{at}/windows", ["window", "event_type"])
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", (F.floor(F.col("total") * 100 + 0.5) / 100).alias("total"))
 
 
