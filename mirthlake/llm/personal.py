@@ -582,6 +582,20 @@ def evidence(text: str) -> Iterator[tuple[str, int]]:
                         yield "@" + " ".join(t["town"].lower().split()), PLACE
 
 
+def packed(group: tuple) -> list[tuple]:
+    """Tables as they travel: the cells that count anything."""
+    return [(t.shape, at.astype(np.int32), t.ravel()[at]) for t in group for at in [np.flatnonzero(t)]]
+
+
+def unpacked(parts: list[tuple]) -> tuple:
+    out = []
+    for shape, at, n in parts:
+        t = np.zeros(shape, np.int64)
+        t.ravel()[at] = n
+        out.append(t)
+    return tuple(out)
+
+
 def word_cells(word: str, n: np.ndarray, words: np.ndarray, places: np.ndarray) -> None:
     """Adds a term's counts by kind to the tables."""
     if "\t" in word:
@@ -661,40 +675,44 @@ def learned(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np
         for k, w in enumerate(terms):
             word_cells(w, n[:, k], own[0], own[2])
 
-    def carried(now: tuple, column: int):
-        shared = documents.sparkSession.sparkContext.broadcast(now)
+    def with_lexicon(now: tuple, frame: DataFrame, each) -> list[np.ndarray]:
+        """collected, where each(terms, n, own, lexicon) is told what is known by now."""
+        shared = documents.sparkSession.sparkContext.broadcast(packed(now))
+        seen: list[Lexicon] = []
 
         def fill(terms, n, own):
-            lexicon = Lexicon(*shared.value)
-            for k, pair in enumerate(terms):
-                pair_cells(pair, int(n[PAIR, k]), lexicon, own[0], column)
+            if not seen:
+                seen.append(Lexicon(*unpacked(shared.value)))
+            each(terms, n, own, seen[0])
 
-        return fill
+        out = collected(fill, frame)
+        shared.destroy()
+        return out
 
-    def word_ends(now: tuple):
-        shared = documents.sparkSession.sparkContext.broadcast(now)
+    def carry(column: int):
+        def each(terms, n, own, lexicon):
+            for k, pair in enumerate(terms):
+                pair_cells(pair, int(n[PAIR, k]), lexicon, own[0], column)
 
-        def fill(terms, n, own):
-            lexicon = Lexicon(*shared.value)
-            for w in terms:
-                end_cells(w, lexicon, own[1])
+        return each
 
-        return fill
+    def word_ends(terms, n, own, lexicon):
+        for w in terms:
+            end_cells(w, lexicon, own[1])
 
     pairs, single = per.where(F.col(f"n{PAIR}") > 0), per.where(F.col(f"n{USES}") > 0)
     words, parts, places = collected(count, per)
-    for _ in range(2):
-        parts = collected(word_ends((words, parts, places)), single)[1]
-        words[5] = collected(carried((words, parts, places), 5), pairs)[0][5]
-        words[4] = collected(carried((words, parts, places), 4), pairs)[0][4]
-    parts = collected(word_ends((words, parts, places)), single)[1]
-    words[5] = collected(carried((words, parts, places), 5), pairs)[0][5]
+    for last in (False, True):
+        parts = with_lexicon((words, parts, places), single, word_ends)[1]
+        words[5] = with_lexicon((words, parts, places), pairs, carry(5))[0][5]
+        if not last:
+            words[4] = with_lexicon((words, parts, places), pairs, carry(4))[0][4]
     per.unpersist()
     return words, parts, places
 
 
-def _finder(tables: tuple) -> Finder:
-    return Finder(Lexicon(*tables))
+def _finder(tables: list[tuple]) -> Finder:
+    return Finder(Lexicon(*unpacked(tables)))
 
 
 def personal_mentions(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -702,7 +720,7 @@ def personal_mentions(documents: DataFrame, key: str = "doc_id", text: str = "te
 
     Null texts and keys have none; empty tables give no rows; texts are read whole, whatever their length.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(learned(documents, text))
+    shared = documents.sparkSession.sparkContext.broadcast(packed(learned(documents, text)))
     kind = dict(documents.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -719,7 +737,7 @@ def personal_mentions(documents: DataFrame, key: str = "doc_id", text: str = "te
 
 def sanitised(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_replaced): every text with [KIND] in the place of each mention, otherwise unchanged; null texts stay null."""
-    shared = documents.sparkSession.sparkContext.broadcast(learned(documents, text))
+    shared = documents.sparkSession.sparkContext.broadcast(packed(learned(documents, text)))
     kind = dict(documents.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
