@@ -1,9 +1,9 @@
 """The named queries over the reference's own operators, with their SQL."""
 
-from .plans import catalogue, evaluation, events, retrieval, reviews
+from .plans import catalogue, evaluation, events, retrieval, reviews, rules
 
 FLAGSHIP = "recommend_batch"
-_MODULES = [retrieval, evaluation, events, catalogue, reviews]
+_MODULES = [retrieval, evaluation, events, catalogue, reviews, rules]
 
 
 def queries():

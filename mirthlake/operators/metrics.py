@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +71,55 @@ def diagnosis() -> Column:
     return F.when(~F.col("in_data"), "data_gap").when(F.col("failed"), "provider_gap").when(~F.col("humour"), "safety_gap").when(~F.col("retrieved"), "retrieval_gap").when(F.col("top_rank").isNull(), "ranking_gap").when(F.col("top_rank") > 1, "ordering_gap").otherwise("pass")
 
 
-def id_hash(c: str) -> Column:
-    """Hash of a set of ids, whatever their order: hashes of ids summed, so that no task holds them all."""
-    return F.sha2(F.sum(F.conv(F.substring(F.sha2(c, 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string"), 256)
+def id_hash(df: DataFrame, c: str) -> DataFrame:
+    """(hash, n): SHA-256 of the sorted ids joined by line breaks, and their number; null ids are left out.
+
+    The hash is a chain over all ids, so one task reads them one after another; they are sorted in parallel before
+    (each range by itself) and held by no one.
+    """
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n = hashlib.sha256(), 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                h.update((b"\n" if n else b"") + x.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()]), pa.array([n])], names=["hash", "n"])
+
+    ids = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("id"))
+    return ids.orderBy("id").coalesce(1).mapInArrow(chain, "hash string, n bigint")
+
+
+def abstentions(df: DataFrame) -> DataFrame:
+    """One row of safety rates over cases with flags wants_humour, factual, serious, humour_ok (the classifier's answer).
+
+    Factual cases are declined unasked; of the rest serious ones are put to the classifier; what remains gets a meme.
+    """
+    cue = F.col("factual") | F.col("serious")
+    called = cue & ~F.col("factual")
+    humour = F.when(called, F.col("humour_ok")).otherwise(~cue)
+    x = df.select("wants_humour", cue.alias("cue"), called.alias("called"), (cue & ~humour).alias("declined"))
+    no, yes = ~F.col("wants_humour"), F.col("wants_humour")
+    wrong = rate(F.col("declined"), yes, guarded=True)
+    return x.agg(
+        F.count("*").alias("n_cases"),
+        N.rounded(rate(F.col("declined"), no, guarded=True)).alias("correct_abstention"),
+        N.rounded(rate(~F.col("declined"), no, guarded=True)).alias("inappropriate_joking"),
+        N.rounded(1 - wrong).alias("humour_recall"),
+        N.rounded(wrong).alias("false_abstention"),
+        N.rounded(rate(F.col("cue"))).alias("cue_rate"),
+        N.rounded(rate(F.col("called"))).alias("call_rate"),
+    )
+
+
+def top_ratings(df: DataFrame, by: str, id_: str, score: str, rating: str, sendable: int = 3) -> DataFrame:
+    """(by, top_is_best, top_rating, any_exact, any_sendable): what the first place by score (ties by id) is worth."""
+    # the greatest score, of equal ones the least id
+    g = df.groupBy(by).agg(F.min_by(rating, F.struct(-F.col(score), F.col(id_))).alias("top_rating"), F.max(rating).alias("most"), F.bool_or(F.col(rating) >= 4).alias("any_exact"), F.bool_or(F.col(rating) >= sendable).alias("any_sendable"))
+    return g.select(by, (F.col("top_rating") == F.col("most")).alias("top_is_best"), "top_rating", "any_exact", "any_sendable")
+
+
+def first_ranks(df: DataFrame, acceptable: DataFrame) -> DataFrame:
+    """(query_id, first_rank, missed): the best rank of an acceptable id among ranked rows, null where all were missed, and the ids missed."""
+    both = acceptable.join(df.select("query_id", "id", "rank"), ["query_id", "id"], "left")
+    return both.groupBy("query_id").agg(F.min("rank").alias("first_rank"), F.array_sort(F.collect_list(F.when(F.col("rank").isNull(), F.col("id")))).alias("missed"))

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Characters by which aliases are looked up.
+LONGEST_GRAM = 8
+
+
 def shared_key(df: DataFrame, keys: str, kind: str) -> DataFrame:
     """Conflicts of records that share a key: rows (pos, id, scope) with an array of keys.
 
-    Unordered pairs with at least one target, the later row on the left, the first shared key. Hot keys are handled by
-    the join's own skew handling.
+    Unordered pairs with at least one target, the later row on the left, the first shared key. Keys of one row are
+    found by counts that are added up before the shuffle; hot keys are then split by the join's own skew handling.
     """
     k = df.select("pos", "id", "scope", F.explode(F.array_distinct(keys)).alias("key")).where("key is not null and key <> ''")
     # keys of one row join nothing
-    k = k.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    k = k.join(k.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi")
     a, b = [k.select(*[F.col(c).alias(f"{c}_{s}") for c in ("pos", "id", "scope")], "key") for s in "ab"]
     pairs = b.join(a, "key").where("pos_a < pos_b and (scope_a = 'target' or scope_b = 'target')")
     one = pairs.groupBy("id_b", "scope_b", "id_a", "scope_a").agg(F.min("key").alias("key"))
@@ -61,19 +65,18 @@ def bit_join(df: DataFrame, bits: str, most: int = 5, width: int = 64) -> DataFr
 
 
 def covered_by_alias(items: DataFrame, records: DataFrame) -> DataFrame:
-    """(item_id, record_id): for each item(item_id, aliases) the first record(id, pos, text) whose text has an alias as whole words.
+    """(item_id, record_id): for each item(item_id, aliases) the first record(id, pos, text) whose text contains an alias.
 
-    Aliases are looked up among the runs of words of the text, so it is an equi-join, not a scan of all pairs. Items
-    without a hit have a null record.
+    An alias may stand anywhere, within words too. Runs of characters as long as the shortest alias (LONGEST_GRAM at
+    most) make it an equi-join: each alias is looked up by its first run among those of the texts, then sought whole,
+    so records that share no run with any alias are never paired. Items without a hit have a null record.
     """
-    a = items.select("item_id", F.explode(F.array_distinct("aliases")).alias("alias")).where("alias <> ''").withColumn("n", F.size(F.split("alias", " ")))
-    lengths = [r[0] for r in a.select("n").distinct().collect()]  # the word counts of aliases: a handful
-    w = F.split("text", " ")
-    grams = None
-    for n in sorted(lengths):
-        g = records.withColumn("w", w).where(F.size("w") >= n).select("id", "pos", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("alias"))
-        grams = g if grams is None else grams.unionByName(g)
-    if grams is None:
+    a = items.select("item_id", F.explode(F.array_distinct("aliases")).alias("alias")).where("alias <> ''")
+    n = a.agg(F.least(F.min(F.length("alias")), F.lit(LONGEST_GRAM))).first()[0]
+    if n is None:
         return items.select("item_id", F.lit(None).cast("string").alias("record_id"))
-    hits = grams.join(a, "alias").groupBy("item_id").agg(F.min_by("id", F.struct("pos", "id")).alias("record_id"))
-    return items.select("item_id").join(hits, "item_id", "left")
+    run = F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, n))
+    grams = records.where(F.length("text") >= n).select("id", "pos", "text", F.explode(F.array_distinct(run)).alias("gram"))
+    hits = grams.join(a.withColumn("gram", F.substring("alias", 1, n)), "gram").where(F.contains("text", "alias"))
+    first = hits.groupBy("item_id").agg(F.min_by("id", F.struct("pos", "id")).alias("record_id"))
+    return items.select("item_id").join(first, "item_id", "left")

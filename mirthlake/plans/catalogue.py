@@ -90,12 +90,18 @@ def exact_content_dups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def uniqueness_audit(spark: SparkSession, d: str) -> DataFrame:
-    """All nine kinds of conflict between and within catalogue (references) and replacements (targets), counted by kind."""
+    """All nine kinds of conflict between and within catalogue (references) and replacements (targets) by kind, and the records blocked or to be reviewed."""
     c = once(spark, d, "catalogue", "id", "name", "image_url", "message", "relational_pattern").select("id", F.lit("reference").alias("scope"), "name", F.lit(None).cast("array<string>").alias("aliases"), F.lit("catalogue").alias("provider"), F.col("id").alias("source_id"), "image_url", "message", "relational_pattern")
     r = once(spark, d, "stage_3000_reaction_gif_replacements", "proposed_id", "name", "provider", "source_id", "image_url", "assistive_text").select(F.col("proposed_id").alias("id"), F.lit("target").alias("scope"), "name", F.lit(None).cast("array<string>").alias("aliases"), "provider", "source_id", "image_url", F.col("assistive_text").alias("message"), F.lit(None).cast("string").alias("relational_pattern"))
-    all_ = c.unionByName(r).withColumn("pos", F.xxhash64("id")).withColumn("sha256", F.sha2(F.coalesce("image_url", "id"), 256)).withColumn("phash", F.substring("sha256", 1, 16)).withColumn("dhash", F.lit(None).cast("string"))
-    found, _ = A.audit(all_)
-    return found.groupBy("kind", "severity").agg(F.count("*").alias("n_pairs"), F.count_distinct("left_id").alias("n_left"), F.count_distinct("right_id").alias("n_right"))
+    # what is known of an image's content: the signs of its vector as a perceptual hash, the vector itself as exact content
+    e = once(spark, d, "stage_3000_local_signals", "id", "embedding").where(F.size("embedding") == 64)
+    bits = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1) + F.when(x > 0, 1).otherwise(0))
+    e = e.select("id", F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256).alias("sha256"), F.lower(F.lpad(F.hex(bits), 16, "0")).alias("phash"))
+    all_ = c.unionByName(r).join(e, "id", "left").withColumn("pos", F.xxhash64("id")).withColumn("dhash", F.lit(None).cast("string"))
+    found, status = A.audit(all_)
+    pairs = found.groupBy("kind", "severity").agg(F.count("*").alias("n"), F.count_distinct("left_id").alias("n_left"), F.count_distinct("right_id").alias("n_right"))
+    none = F.lit(None).cast("bigint")
+    return pairs.unionByName(status.groupBy(F.lit("records").alias("kind"), F.col("status").alias("severity")).agg(F.count("*").alias("n"), none.alias("n_left"), none.alias("n_right")))
 
 
 def name_decollision(spark: SparkSession, d: str) -> DataFrame:
@@ -121,15 +127,15 @@ def first_of_either_key(spark: SparkSession, d: str) -> DataFrame:
 def canonical_coverage(spark: SparkSession, d: str) -> DataFrame:
     """For each known image the first catalogue record that names it or one of its aliases."""
     items = t(spark, d, "canonical_memes").select(F.col("id").alias("item_id"), F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), T.simple_name).alias("aliases"))
-    c = once(spark, d, "catalogue", "id", "name", "message", "example_context")
-    r = c.select("id", F.col("id").alias("pos"), T.simple_name(F.concat_ws(" ", "name", "message", "example_context")).alias("text"))
+    c = once(spark, d, "catalogue", "id", "name", "message", "relational_pattern", "tags")
+    r = c.select("id", F.col("id").alias("pos"), T.simple_name(F.concat_ws(" ", "id", "name", "message", "relational_pattern", F.array_join("tags", " "))).alias("text"))
     return S.covered_by_alias(items, r)
 
 
 COVERAGE_SQL = f"""
 WITH i AS (SELECT id AS item_id, {NAME_SQL.format("a")} AS a FROM (SELECT id, unnest(list_concat([name], coalesce(aliases, []))) AS a FROM canonical_memes)),
-  c AS (SELECT id, ' ' || {NAME_SQL.format("concat_ws(' ', name, message, example_context)")} || ' ' AS x FROM (SELECT DISTINCT id, name, message, example_context FROM catalogue))
-SELECT m.id AS item_id, min(c.id) AS record_id FROM canonical_memes m LEFT JOIN (i JOIN c ON contains(c.x, ' ' || i.a || ' ')) ON i.item_id = m.id GROUP BY m.id"""
+  c AS (SELECT id, {NAME_SQL.format("concat_ws(' ', id, name, message, relational_pattern, array_to_string(tags, ' '))")} AS x FROM (SELECT DISTINCT id, name, message, relational_pattern, tags FROM catalogue))
+SELECT m.id AS item_id, min(c.id) AS record_id FROM canonical_memes m LEFT JOIN (i JOIN c ON i.a <> '' AND contains(c.x, i.a)) ON i.item_id = m.id GROUP BY m.id"""
 
 
 def filter_with_reason(spark: SparkSession, d: str) -> DataFrame:
@@ -173,8 +179,8 @@ SELECT id, strength, quality, CAST(floor(strength * 0.7::DOUBLE + quality * 0.3:
 
 def facets(spark: SparkSession, d: str) -> DataFrame:
     """Counts by region, by segment, and by both, in one pass."""
-    t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).createOrReplaceTempView("_facets")
-    return spark.sql("SELECT coalesce(r_name, '*') AS region, coalesce(c_mktsegment, '*') AS segment, count(*) AS n, floor(sum(c_acctbal) * 100 + 0.5) / 100 AS balance FROM _facets GROUP BY GROUPING SETS ((r_name), (c_mktsegment), (r_name, c_mktsegment))")
+    x = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return spark.sql("SELECT coalesce(r_name, '*') AS region, coalesce(c_mktsegment, '*') AS segment, count(*) AS n, floor(sum(c_acctbal) * 100 + 0.5) / 100 AS balance FROM {x} GROUP BY GROUPING SETS ((r_name), (c_mktsegment), (r_name, c_mktsegment))", x=x)
 
 
 FACET_SQL = "SELECT coalesce(r_name, '*') AS region, coalesce(c_mktsegment, '*') AS segment, count(*) AS n, floor(sum(c_acctbal) * 100 + 0.5) / 100 AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name), (c_mktsegment), (r_name, c_mktsegment))"
@@ -288,23 +294,27 @@ SELECT x AS "column", count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN n
 
 def two_tier_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Each seed image's record by exact address, else by canonical address."""
-    s = once(spark, d, "stage_300_seed", "id", "media").select("id", F.col("media.image_url").alias("exact")).where("exact is not null").withColumn("exact", F.concat("exact", F.when(F.abs(F.xxhash64("id")) % 2 == 0, "?utm_source=x").otherwise(""))).withColumn("canonical", T.canonical_url(F.col("exact")))
-    table = once(spark, d, "stage_300_seed", "id", "media").select(F.col("media.image_url").alias("exact"), T.canonical_url(F.col("media.image_url")).alias("canonical"), F.col("id").alias("record_id"), F.col("id").alias("pos")).where("exact is not null")
-    return C.two_tier(s, table, "exact", "canonical", "record_id", "pos").agg(F.count("*").alias("n"), F.count("record_id").alias("n_found"))
+    s = once(spark, d, "stage_300_seed", "id", "media").select("id", F.col("media.image_url").alias("exact")).where("exact is not null").withColumn("exact", F.concat("exact", F.when(F.length("id") % 2 == 0, "?utm_source=x").otherwise(""))).withColumn("canonical", T.canonical_url(F.col("exact")))
+    table = once(spark, d, "stage_300_seed", "id", "media").unionByName(once(spark, d, "catalogue", "id", "image_url").select("id", F.struct(F.col("image_url"), F.lit(None).cast("string").alias("rights_status")).alias("media"))).select(F.col("media.image_url").alias("exact"), T.canonical_url(F.col("media.image_url")).alias("canonical"), F.col("id").alias("record_id"), F.col("id").alias("pos")).where("exact is not null")
+    return C.two_tier(s, table, "exact", "canonical", "record_id", "pos").select("id", "record_id")
 
 
-TWO_TIER_SQL = "SELECT count(*) AS n, count(*) AS n_found FROM (SELECT DISTINCT id FROM stage_300_seed WHERE media.image_url IS NOT NULL)"
+TWO_TIER_SQL = """
+WITH s AS (SELECT DISTINCT id, media.image_url AS raw FROM stage_300_seed WHERE media.image_url IS NOT NULL), c AS (SELECT DISTINCT id, image_url AS raw FROM catalogue WHERE image_url IS NOT NULL),
+  u AS (SELECT 's' AS side, id, raw || CASE WHEN length(id) % 2 = 0 THEN '?utm_source=x' ELSE '' END AS image_url FROM s UNION ALL SELECT 't', id, raw FROM s UNION ALL SELECT 't', id, raw FROM c),
+""" + URL_SQL[URL_SQL.index("  p AS (SELECT *, regexp_replace(image_url") : URL_SQL.index("SELECT canonical_url, arg_min")].replace("c AS (SELECT *, CASE", "k AS (SELECT *, CASE") + """,
+  e AS (SELECT image_url, max(id) AS record_id FROM k WHERE side = 't' GROUP BY image_url), f AS (SELECT canonical_url, min(id) AS record_id FROM k WHERE side = 't' GROUP BY canonical_url)
+SELECT k.id, coalesce(e.record_id, f.record_id) AS record_id FROM k LEFT JOIN e USING (image_url) LEFT JOIN f USING (canonical_url) WHERE side = 's'"""
 
 
 def dataset_hash(spark: SparkSession, d: str) -> DataFrame:
-    """A hash of the set of catalogue ids, whatever their order, and table-level facts."""
+    """The hash of the sorted catalogue ids joined by line breaks, and their number."""
     from ..operators.metrics import id_hash
 
-    c = once(spark, d, "catalogue", "id", "image_url")
-    return c.agg(id_hash("id").alias("hash"), F.count("*").alias("n"), F.count_distinct("image_url").alias("n_images"))
+    return id_hash(once(spark, d, "catalogue", "id"), "id")
 
 
-HASH_SQL = "SELECT sha256(CAST(sum(CAST(('0x' || substr(sha256(id), 1, 15)) AS BIGINT)) AS VARCHAR)) AS hash, count(*) AS n, count(DISTINCT image_url) AS n_images FROM (SELECT DISTINCT id, image_url FROM catalogue)"
+HASH_SQL = "SELECT sha256(string_agg(id, chr(10) ORDER BY id)) AS hash, count(*) AS n FROM (SELECT DISTINCT id FROM catalogue)"
 
 
 def entity_normalise(spark: SparkSession, d: str) -> DataFrame:
@@ -351,8 +361,9 @@ def leakage_exact(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation cases whose plain text is that of a catalogue example."""
     e = once(spark, d, "smoke_cases", "id", "context").select("id", T.simple_name(F.col("context")).alias("k")).where("k <> ''")
     k = once(spark, d, "catalogue", "id", "example_context").select(T.simple_name(F.col("example_context")).alias("k")).where("k <> ''").distinct()
-    dup = e.withColumn("n", F.count("*").over(Window.partitionBy("k")))
-    return dup.join(k.withColumn("known", F.lit(True)), "k", "left").agg(F.count("*").alias("n_cases"), F.count_if(F.col("n") > 1).alias("n_repeated"), F.count("known").alias("n_leaked"))
+    per = e.groupBy("k").agg(F.count("*").alias("n")).join(k.withColumn("known", F.lit(True)), "k", "left")
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return per.agg(some(F.lit(True)).alias("n_cases"), some(F.col("n") > 1).alias("n_repeated"), some(F.col("known").isNotNull()).alias("n_leaked"))
 
 
 LEAK_SQL = f"""

@@ -134,8 +134,7 @@ SELECT count(*) FILTER (WHERE a > b) AS wins, count(*) FILTER (WHERE a < b) AS l
 def slice_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The same metrics for each source and for all, in one pass by grouping sets."""
     x = t(spark, d, "documents").select("source", "n_chars", F.col("text").isNull().alias("missing"))
-    x.createOrReplaceTempView("_slices")
-    return spark.sql("SELECT coalesce(source, 'all') AS slice, grouping(source) = 1 AS overall, count(*) AS n, sum(n_chars) AS chars, count_if(missing) AS n_missing, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY n_chars) AS BIGINT) AS median_chars FROM _slices GROUP BY GROUPING SETS ((source), ())")
+    return spark.sql("SELECT coalesce(source, 'all') AS slice, grouping(source) = 1 AS overall, count(*) AS n, sum(n_chars) AS chars, count_if(missing) AS n_missing, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY n_chars) AS BIGINT) AS median_chars FROM {x} GROUP BY GROUPING SETS ((source), ())", x=x)
 
 
 SLICE_SQL = "SELECT coalesce(source, 'all') AS slice, grouping(source) = 1 AS overall, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (WHERE text IS NULL) AS n_missing, quantile_disc(n_chars, 0.5) AS median_chars FROM documents GROUP BY GROUPING SETS ((source), ())"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import metrics as M
 from ..operators import quality as Q
+from ..operators.retrieval import top_k
 from .common import LINES_SQL, lines, once, r6, t
 
 
@@ -78,16 +79,22 @@ REPLAY_SQL = f"SELECT l_orderkey % 10 AS arm, count(*) AS n, {r6('avg(abs(l_disc
 
 
 def lens_triples(spark: SparkSession, d: str) -> DataFrame:
-    """For each case the best total over different candidates for three lenses: a three-way join within the case's shortlist of six."""
+    """For each case the best total over different candidates for three lenses, and how many such triples there are.
+
+    The best triple is among the three best candidates of each lens (two others can take two of them at most), so
+    nine rows a case are joined, whatever its number of candidates.
+    """
     x = lines(spark, d).select("l_orderkey", "id", (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), (F.col("l_tax") * 12.5).alias("c"))
-    x = x.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("id"))).where("n <= 6")
-    p, q, r = x.select("l_orderkey", F.col("id").alias("x"), "a"), x.select("l_orderkey", F.col("id").alias("y"), "b"), x.select("l_orderkey", F.col("id").alias("z"), "c")
+    n = x.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n >= 3")
+    best = {c: top_k(x, ["l_orderkey"], 3, F.desc(c), F.col("id")) for c in "abc"}
+    p, q, r = [best[c].select("l_orderkey", F.col("id").alias(i), c) for c, i in zip("abc", "xyz")]
     all_ = p.join(q, "l_orderkey").where("x <> y").join(r, "l_orderkey").where("x <> z and y <> z")
-    return all_.groupBy("l_orderkey").agg(N.rounded(F.max(F.col("a") + F.col("b") + F.col("c"))).alias("best"), F.count("*").alias("n_triples"))
+    top = all_.groupBy("l_orderkey").agg(N.rounded(F.max(F.col("a") + F.col("b") + F.col("c"))).alias("best"))
+    return top.join(n, "l_orderkey").select("l_orderkey", "best", (F.col("n") * (F.col("n") - 1) * (F.col("n") - 2)).alias("n_triples"))
 
 
 TRIPLE_SQL = f"""
-WITH x AS (SELECT * FROM (SELECT l_orderkey, id, l_quantity / 50 AS a, l_discount * 10 AS b, l_tax * 12.5::DOUBLE AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY id) AS n FROM {LINES_SQL}) WHERE n <= 6)
+WITH x AS (SELECT l_orderkey, id, l_quantity / 50 AS a, l_discount * 10 AS b, l_tax * 12.5::DOUBLE AS c FROM {LINES_SQL})
 SELECT p.l_orderkey, {r6("max(p.a + q.b + r.c)")} AS best, count(*) AS n_triples FROM x p JOIN x q ON p.l_orderkey = q.l_orderkey AND p.id <> q.id JOIN x r ON r.l_orderkey = p.l_orderkey AND r.id <> p.id AND r.id <> q.id GROUP BY p.l_orderkey"""
 
 
