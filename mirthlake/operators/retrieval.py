@@ -72,35 +72,52 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = 1024, chu
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024, chunk: int = 16384) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top k of queries(query_id, v) in corpus(id, v), without the query's own id.
 
-    Both sides are cut into blocks; a task holds one block of queries and one of the corpus and multiplies matrices.
     Vectors must have the same length; null vectors take no part. Scores are rounded to 6 digits, equal scores by id.
     """
+    return nearest_views(queries, corpus, {"all": None}, k, block=block, chunk=chunk).select("query_id", "id", "score", "rank")
+
+
+def nearest_views(queries: DataFrame, corpus: DataFrame, views: dict[str, tuple[int, int] | None], k: int, core: Column | None = None, block: int = 1024, chunk: int = 16384) -> DataFrame:
+    """(query_id, list, core, id, score, rank): exact cosine top k in each view, and again among core rows if core is given.
+
+    A view is a range of dimensions (first, count), None the whole vector. Both sides are cut into blocks; a task holds
+    one block of queries and one of the corpus, multiplies matrices for all views and passes on k rows a query and
+    list, so the vectors are read and shuffled once, however many views and subsets are asked for.
+    """
     qs, cs = queries.where("v is not null"), corpus.where("v is not null")
     nq, nc = max(1, -(-qs.count() // block)), max(1, -(-cs.count() // chunk))
     q = qs.select(F.col("query_id").alias("k"), F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
-    c = cs.select(F.col("id").alias("k"), F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+    c = cs.select(F.col("id").alias("k"), F.col("v").cast("array<double>").alias("v"), F.coalesce(core if core is not None else F.lit(False), F.lit(False)).alias("core"), F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
     kind = dict(queries.dtypes)["query_id"]
     other = dict(corpus.dtypes)["id"]
+    sides = [False] if core is None else [False, True]
 
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": a["k"][:0], "list": np.empty(0, str), "core": np.empty(0, bool), "id": b["k"][:0], "score": np.empty(0)})
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": a["k"][:0], "id": b["k"][:0], "score": np.empty(0)})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        with np.errstate(invalid="ignore", divide="ignore"):
-            x, y = x / np.sqrt((x * x).sum(axis=1))[:, None], y / np.sqrt((y * y).sum(axis=1))[:, None]
-        s = np.floor(np.nan_to_num(x @ y.T, nan=-2.0) * 1e6 + 0.5) / 1e6
-        ids = b["k"].to_numpy()
-        out = []
-        for i, own in enumerate(a["k"].to_numpy()):
-            row = np.where(ids == own, -3.0, s[i])
-            cut = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -3.0
-            at = np.nonzero((row >= cut) & (row > -2.0))[0]
-            at = at[np.lexsort((ids[at], -row[at]))][:k]
-            out.append(pd.DataFrame({"query_id": own, "id": ids[at], "score": row[at]}))
+            return none
+        whole_x, whole_y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        ids, owns, is_core = b["k"].to_numpy(), a["k"].to_numpy(), b["core"].to_numpy()
+        out = [none]
+        for name, part in views.items():
+            x, y = (whole_x, whole_y) if part is None else (m[:, part[0] - 1 : part[0] - 1 + part[1]] for m in (whole_x, whole_y))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                x, y = x / np.sqrt((x * x).sum(axis=1))[:, None], y / np.sqrt((y * y).sum(axis=1))[:, None]
+            s = np.floor(np.nan_to_num(x @ y.T, nan=-2.0) * 1e6 + 0.5) / 1e6
+            for side in sides:
+                among = np.flatnonzero(is_core) if side else np.arange(len(ids))
+                if not len(among):
+                    continue
+                for i, own in enumerate(owns):
+                    row = np.where(ids[among] == own, -3.0, s[i, among])
+                    cut = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -3.0
+                    at = np.nonzero((row >= cut) & (row > -2.0))[0]
+                    at = at[np.lexsort((ids[among][at], -row[at]))][:k]
+                    out.append(pd.DataFrame({"query_id": own, "list": name, "core": side, "id": ids[among][at], "score": row[at]}))
         return pd.concat(out, ignore_index=True)
 
-    pairs = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(multiply, f"query_id {kind}, id {other}, score double")
-    return top_k(pairs, ["query_id"], k, F.desc("score"), F.col("id"))
+    pairs = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(multiply, f"query_id {kind}, list string, core boolean, id {other}, score double")
+    return top_k(pairs, ["query_id", "list", "core"], k, F.desc("score"), F.col("id"))
 
 
 def fuse(lists: DataFrame, k: int = 30, constant: int = P.RRF_CONSTANT) -> DataFrame:
@@ -121,17 +138,31 @@ def with_reserve(broad: DataFrame, core: DataFrame, first: int = 20, reserve: in
 
 def dual_view(queries: DataFrame, corpus: DataFrame, views: dict[str, tuple[int, int]], k: int) -> DataFrame:
     """(query_id, list, id, rank, score): top k per view, a view being a range of dimensions (first, count)."""
-    out = None
-    for name, (first, count) in views.items():
-        cut = lambda df, key: df.select(key, F.slice("v", first, count).alias("v"))
-        one = nearest(cut(queries, "query_id"), cut(corpus, "id"), k).withColumn("list", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return nearest_views(queries, corpus, views, k).select("query_id", "list", "id", "rank", "score")
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, views: dict[str, tuple[int, int]], core: Column, k: int = 30) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: DataFrame, views: dict[str, tuple[int, int]], core: Column, k: int = 30, first: int = 20, reserve: int = 10) -> DataFrame:
     """Both views over all and over core rows, fused, with reserved core places; (query_id, id, rank)."""
-    fetch = min(50, max(k, 30))
-    broad = fuse(dual_view(queries, corpus, views, fetch), k)
-    reserved = fuse(dual_view(queries, corpus.where(core), views, fetch), k)
-    return with_reserve(broad, reserved, limit=k)
+    if not 1 <= k <= 50:
+        raise ValueError("between 1 and 50 places")
+    found = nearest_views(queries, corpus, views, min(50, max(k, 30)), core)
+    broad, reserved = fuse(found.where("not core"), k), fuse(found.where("core"), k)
+    return with_reserve(broad, reserved, first, reserve, k)
+
+
+def retrieve_arm(arm: str, queries: DataFrame, corpus: DataFrame, views: dict[str, tuple[int, int]], core: Column) -> DataFrame:
+    """(query_id, id, rank) of one of the arms that are compared: current, controlled (50 places, 30 of them core), expansion (no core rows)."""
+    if arm == "current":
+        return retrieve(queries, corpus, views, core)
+    if arm == "controlled":
+        return retrieve(queries, corpus, views, core, 50, 20, 30)
+    if arm == "expansion":
+        return fuse(dual_view(queries, corpus.where(~core), views, 30), 30).select("query_id", "id", "rank")
+    raise ValueError(f"no arm {arm}")
+
+
+def competitive(df: DataFrame, by: str, score: str) -> DataFrame:
+    """(by, fault): groups of scores that can't be used: incomplete (null, or outside 0..1) or flat (several, all equal); fault null for good ones."""
+    s = F.col(score)
+    g = df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(s.isNull() | F.isnan(s) | ~s.between(0, 1)).alias("bad"), F.min(score).alias("low"), F.max(score).alias("high"))
+    return g.select(by, F.when(F.col("bad") > 0, "incomplete").when((F.col("n") > 1) & (F.col("low") == F.col("high")), "flat").alias("fault"))

@@ -12,11 +12,14 @@ from ..functions import numeric as N
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import answers as V
+from ..operators import catalogue as C
 from ..operators import metrics as M
 from ..operators import quality as Q
+from ..operators import retrieval as R
 from ..operators.retrieval import top_k
 from .catalogue import NAME_SQL
 from .common import LINES_SQL, lines, once, r6, sql_text, t
+from .retrieval import RECOMMEND_SQL, VIEWS, _fuse_sql, _vectors, _view_sql, recommend_batch
 
 SLUG = "^[a-z0-9]+(?:-[a-z0-9]+)*$"
 
@@ -115,14 +118,14 @@ SELECT id, CASE WHEN len(c) > 0 THEN 'meme' ELSE 'none' END AS decision, CASE WH
 def safety_rates(spark: SparkSession, d: str) -> DataFrame:
     """Abstention and joking rates over all evaluation and training cases, the classifier's answers replayed from the cases' lengths."""
     e = once(spark, d, "relevance_stage3000_fresh_humour", "id", "context", "intent_label").select("context", (F.col("intent_label") == "humour").alias("wants_humour"))
-    s = once(spark, d, "smoke_cases", "id", "context", "category").select("context", F.coalesce(~F.col("category").isin("serious", "no_meme"), F.lit(True)).alias("wants_humour"))
+    s = once(spark, d, "smoke_cases", "id", "context", "category").select("context", F.coalesce(F.col("category") != "sincere-request", F.lit(True)).alias("wants_humour"))
     x = e.unionByName(s).where("context is not null and wants_humour is not null")
     c = F.col("context")
     return M.abstentions(x.select("wants_humour", T.factual(c).alias("factual"), T.serious(c).alias("serious"), (F.length(c) % 3 == 0).alias("humour_ok")))
 
 
 SAFETY_SQL = f"""
-WITH x AS (SELECT context, intent_label = 'humour' AS w FROM (SELECT DISTINCT id, context, intent_label FROM relevance_stage3000_fresh_humour) UNION ALL SELECT context, coalesce(category NOT IN ('serious', 'no_meme'), TRUE) FROM (SELECT DISTINCT id, context, category FROM smoke_cases)),
+WITH x AS (SELECT context, intent_label = 'humour' AS w FROM (SELECT DISTINCT id, context, intent_label FROM relevance_stage3000_fresh_humour) UNION ALL SELECT context, coalesce(category <> 'sincere-request', TRUE) FROM (SELECT DISTINCT id, context, category FROM smoke_cases)),
   f AS (SELECT w, length(context) % 3 = 0 AS ok, regexp_matches(context, {sql_text(P.FACTUAL_REQUEST)}) AND regexp_matches(context, {sql_text(P.FACTUAL_DOMAIN)}) AS factual,
     regexp_matches(context, {sql_text(P.HELP_SEEKING)}) OR regexp_matches(context, {sql_text(P.HIGH_RISK)}) OR regexp_matches(context, {sql_text(P.SUPPORT_REQUEST)}) OR regexp_matches(context, {sql_text(P.SERIOUS_TOPIC)}) AS serious FROM x WHERE context IS NOT NULL AND w IS NOT NULL),
   g AS (SELECT w, factual OR serious AS cue, serious AND NOT factual AS called, factual OR (serious AND NOT ok) AS declined FROM f),
@@ -184,6 +187,106 @@ WITH x AS (SELECT l_orderkey AS query_id, id, l_returnflag, CAST(row_number() OV
 SELECT query_id, min(CASE WHEN rank <= 3 THEN rank END) AS first_rank, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (WHERE rank > 3), '') AS missed FROM x WHERE l_returnflag = 'R' GROUP BY query_id"""
 
 
+def seed_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Broken rules of seed records: all texts, tags, provenance, rights, media and review."""
+    r = once(spark, d, "stage_300_seed", "id", *TEXTS, "tags", "provenance", "media", "review")
+    rules = [Q.Rule("id_is_slug", F.col("id").rlike(SLUG)), *[Q.Rule(f"has_{c}", F.length(F.trim(c)) > 0) for c in TEXTS]]
+    rules += [
+        Q.Rule("two_tags", (F.size("tags") >= 2) & ~F.exists("tags", lambda x: x.isNull() | (F.trim(x) == ""))),
+        Q.Rule("has_provenance", F.col("provenance.provider").isNotNull() & _https("provenance.source_url") & F.col("provenance.observed_on").isNotNull()),
+        Q.Rule("has_rights", F.col("media.rights_status").isNotNull()),
+        Q.Rule("media_is_https", _https("media.image_url")),
+        Q.Rule("is_not_validated", F.col("review.status").isNotNull() & ~F.col("review.human_validated")),
+    ]
+    clash = once(spark, d, "catalogue", "id", "name").select("id").join(r.select("id"), "id", "left_semi").select(F.col("id").alias("row_id"), F.lit("id_is_new").alias("rule"))
+    return Q.violations(r, "id", rules).unionByName(clash).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+TEXTS = ["name", "message", "relational_pattern", "example_context", "near_miss_context"]
+_SEED = {"id_is_slug": f"regexp_matches(id, '{SLUG}')"} | {f"has_{c}": f"length(trim({c})) > 0" for c in TEXTS} | {
+    "two_tags": "len(tags) >= 2 AND len(list_filter(tags, lambda x: x IS NULL OR trim(x) = '')) = 0",
+    "has_provenance": "provenance.provider IS NOT NULL AND starts_with(lower(provenance.source_url), 'https://') AND provenance.observed_on IS NOT NULL",
+    "has_rights": "media.rights_status IS NOT NULL",
+    "media_is_https": "starts_with(lower(media.image_url), 'https://')",
+    "is_not_validated": "review.status IS NOT NULL AND NOT review.human_validated",
+    "id_is_new": "id NOT IN (SELECT id FROM catalogue)",
+}
+SEED_SQL = "WITH r AS (SELECT DISTINCT ON (id) * FROM stage_300_seed), v AS (" + " UNION ALL ".join(f"SELECT '{k}' AS rule FROM r WHERE NOT coalesce({c}, FALSE)" for k, c in _SEED.items()) + ") SELECT rule, count(*) AS n FROM v GROUP BY rule"
+
+
+def case_set_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A set of cases as a whole: expected counts, targets used once, contexts once, and rows that differ from frozen ones."""
+    e = once(spark, d, "relevance_stage3000_fresh_humour", "id", "title", "context", "intent_label", "primary_target_id")
+    frozen = e.select("id", F.trim("title").alias("title"), "context", "intent_label")
+    wrong = Q.counts(e, {"humour_cases_300": (F.col("intent_label") == "humour", 300), "no_cases_without_meme": (F.col("intent_label") == "no_meme", 0), "all_have_targets": (F.col("primary_target_id").isNull(), 0), "short_contexts": (F.length("context") < 30, 0)})
+    rows = Q.violations(e, "id", [Q.Rule("target_is_unique", Q.unique("primary_target_id")), Q.Rule("context_is_unique", Q.unique("context"))])
+    differ = C.changed(frozen, e, "id", ["title", "context", "intent_label"]).select(F.col("id").alias("row_id"), F.concat(F.lit("frozen_"), "column").alias("rule"))
+    return wrong.unionByName(rows).unionByName(differ).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+SET_SQL = """
+WITH e AS (SELECT DISTINCT ON (id) * FROM relevance_stage3000_fresh_humour),
+  v AS (SELECT 'humour_cases_300' AS rule FROM e HAVING count(*) FILTER (WHERE intent_label = 'humour') <> 300 UNION ALL SELECT 'no_cases_without_meme' FROM e HAVING count(*) FILTER (WHERE intent_label = 'no_meme') <> 0
+    UNION ALL SELECT 'all_have_targets' FROM e HAVING count(*) FILTER (WHERE primary_target_id IS NULL) <> 0 UNION ALL SELECT 'short_contexts' FROM e HAVING count(*) FILTER (WHERE length(context) < 30) <> 0
+    UNION ALL SELECT 'target_is_unique' FROM e WHERE primary_target_id IN (SELECT primary_target_id FROM e GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'context_is_unique' FROM e WHERE context IN (SELECT context FROM e GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'frozen_title' FROM e WHERE title IS DISTINCT FROM trim(title, ' '))
+SELECT rule, count(*) AS n FROM v GROUP BY rule"""
+
+
+def competitive_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose lines' scores can't be used, and why."""
+    x = lines(spark, d).select("l_orderkey", F.when(F.col("l_discount") < 0.1, F.col("l_discount") * 10).alias("score"))
+    return R.competitive(x, "l_orderkey", "score").select("l_orderkey", F.coalesce("fault", F.lit("good")).alias("fault"))
+
+
+COMPETITIVE_SQL = f"""
+WITH x AS (SELECT l_orderkey, CASE WHEN l_discount < 0.1::DOUBLE THEN l_discount * 10 END AS s FROM {LINES_SQL})
+SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE s IS NULL OR s < 0 OR s > 1) > 0 THEN 'incomplete' WHEN count(*) > 1 AND min(s) = max(s) THEN 'flat' ELSE 'good' END AS fault FROM x GROUP BY l_orderkey"""
+
+
+def next_unreviewed(spark: SparkSession, d: str) -> DataFrame:
+    """For each customer the next open order after their latest closed one, else the first open one."""
+    o = t(spark, d, "orders")
+    g = o.groupBy("o_custkey").agg(F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("at")).join(o.where("o_orderstatus = 'O'"), "o_custkey")
+    return g.groupBy("o_custkey").agg(F.coalesce(F.min(F.when(F.col("o_orderkey") > F.col("at"), F.col("o_orderkey"))), F.min("o_orderkey")).alias("next"))
+
+
+NEXT_SQL = """
+WITH a AS (SELECT o_custkey, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS closed FROM orders GROUP BY 1)
+SELECT o_custkey, coalesce(min(o_orderkey) FILTER (WHERE o_orderkey > closed), min(o_orderkey)) AS next FROM orders JOIN a USING (o_custkey) WHERE o_orderstatus = 'O' GROUP BY o_custkey"""
+
+
+def presented(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown of each recommendation: place, public fields of its record and a perspective."""
+    public = once(spark, d, "catalogue", "id", "name", "message", "image_url", "media_status")
+    got = recommend_batch(spark, d).where("id is not null")
+    shown = got.join(public, "id").select("query_id", "rank", "id", "name", "image_url", F.coalesce("media_status", F.lit("unknown")).alias("media_status"), F.when(F.col("mode") == "perspective", "situation").otherwise("general").alias("perspective"))
+    return shown
+
+
+PRESENTED_SQL = f"""
+SELECT x.query_id, x.rank, x.id, c.name, c.image_url, coalesce(c.media_status, 'unknown') AS media_status, CASE WHEN x.mode = 'perspective' THEN 'situation' ELSE 'general' END AS perspective
+FROM ({RECOMMEND_SQL}) x JOIN (SELECT DISTINCT id, name, image_url, media_status FROM catalogue) c ON c.id = x.id WHERE x.id IS NOT NULL"""
+
+
+def arm_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval without core rows."""
+    return R.retrieve_arm("expansion", *_vectors(spark, d), VIEWS, F.col("label") < 3)
+
+
+def arm_controlled(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval of fifty places, thirty of them for core rows."""
+    return R.retrieve_arm("controlled", *_vectors(spark, d), VIEWS, F.col("label") < 3)
+
+
+ARM_SQL = f"SELECT query_id, id, rank FROM ({_fuse_sql(_view_sql('c.label >= 3'))})"
+CONTROLLED_SQL = f"""
+WITH b AS ({_fuse_sql(_view_sql(k=50), 50)}), c AS ({_fuse_sql(_view_sql("c.label < 3", 50), 50)}),
+  m AS (SELECT query_id, id, CASE WHEN rank <= 20 THEN rank ELSE rank + 1030 END AS place FROM b UNION ALL SELECT query_id, id, rank + 20 FROM c WHERE rank <= 30),
+  g AS (SELECT query_id, id, min(place) AS place FROM m GROUP BY query_id, id)
+SELECT query_id, id, rank FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INT) AS rank FROM g) WHERE rank <= 50"""
+
+
 def _folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
@@ -207,7 +310,7 @@ FILES_SQL = """
 SELECT 'orders' AS what, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders UNION ALL SELECT 'nation', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation
 UNION ALL SELECT 'signals', count(*), CAST(sum(width) AS BIGINT) FROM (SELECT DISTINCT id, width FROM stage_3000_local_signals)"""
 
-QUERIES = {f.__name__: f for f in (candidate_rules, answer_rules, answer_normalised, safety_rates, top_places, arms_ranked, descending_selection, first_acceptable, files_round_trip)}
+QUERIES = {f.__name__: f for f in (candidate_rules, answer_rules, answer_normalised, safety_rates, top_places, arms_ranked, descending_selection, first_acceptable, seed_rules, case_set_rules, competitive_scores, next_unreviewed, presented, arm_expansion, arm_controlled, files_round_trip)}
 SQL = {
     "candidate_rules": CANDIDATE_SQL,
     "answer_rules": FAULT_SQL,
@@ -217,5 +320,12 @@ SQL = {
     "arms_ranked": ARMS_SQL,
     "descending_selection": DESC_SQL,
     "first_acceptable": FIRST_SQL,
+    "seed_rules": SEED_SQL,
+    "case_set_rules": SET_SQL,
+    "competitive_scores": COMPETITIVE_SQL,
+    "next_unreviewed": NEXT_SQL,
+    "presented": PRESENTED_SQL,
+    "arm_expansion": ARM_SQL,
+    "arm_controlled": CONTROLLED_SQL,
     "files_round_trip": FILES_SQL,
 }
