@@ -39,6 +39,9 @@ DISCLOSURE = 4.0
 BESIDE, FIRM, TITLED, SURE, LOOSE_FORM = 4.0, 1.1, 10.0, 12.0, 6.0
 KINDS = ("person_name", "email", "phone", "id_number", "street_address")
 
+#: Uses from which a word is judged by itself, not by its ends.
+OFTEN = 8
+
 # Seeds, given names common in the languages of the collection. The rest are learned.
 GIVEN = set("""
 aisha alan alice amelia amélie amir amy andrea andrew ana anna anne annika anton antonio ben beatriz begoña bastien birgit bridget
@@ -73,7 +76,7 @@ EMAIL = re.compile(r"""(?ix)
 AT_WORD = re.compile(r"(?i)(?<![\w.+-])(?=[\w.+-]*[\d._+-])[a-z0-9][\w.+-]*[a-z0-9][ ]+(?:at|arroba)[ ]+(?:[^\W_][\w-]*\.)+(?:com|org|net|test|example|invalid|de|es|fr|uk|io|eu)(?!\w)")
 FILES = re.compile(r"(?i)\.(?:png|jpe?g|gif|svg|webp|bmp|tiff?|mp4|webm|js|css|html?|pdf|txt|json|csv|zip)$")
 
-ID_CUE = re.compile(r"(?i)(?:\b(?:id|i\.d\.|ssn|itin|ni|nino|nin|dni|nie|nif|nir|tin|passport|reisepass|pasaporte|passeport|ausweis|personalausweis|steuer|tax|insurance|security|identity|sécu|identidad|identité|sozialversicherung\w*|seguridad social)\b|id_no|ausweisnr|steuer-?id)[\w\s.:=#°º/()'-]{0,24}\Z")
+ID_CUE = re.compile(r"(?i)(?:\b(?:id|i\.d\.|ssn|itin|ni|nino|nin|dni|nie|nif|nir|tin|passport|reisepass|pasaporte|passeport|ausweis|personalausweis|steuer|tax|insurance|security|identity|sécu|identidad|identité|sozialversicherung\w*|seguridad social)\b|id_no|ausweisnr|steuer-?id)[\w\s.:=#°º/()'-]{0,24}\Z|\bdoc(?:umento)?[\s.:=#°º]{0,6}\Z")
 PHONE_CUE = re.compile(r"(?i)(?:tel|tél|phone|fax|call|text me|whatsapp|mobile|móvil|movil|handy|ruf|llama|línea|line|rappelez|appelez|anruf|contact|ring|reach|left)[\w\s.:=#/()'-]{0,16}\Z")
 PHONES = [re.compile(x) for x in (
     rf"\+\(?\d{{1,3}}\)?(?:{GAP}?\(0\))?(?:{GAP}?\d{{1,6}}){{2,7}}",
@@ -234,8 +237,11 @@ class Lexicon:
             for e in ends(w):
                 yes, no = counted(self.parts, e)
                 bits += float(np.log((yes + 0.3) / (no + 0.3)) + self.rate) / np.log(2)
-            if named >= 2:
-                bits = max(bits, float(np.log2(named / max(n + local, 1) / self.base)))
+            own = float(np.log2(max(named, 0.5) / max(n + local, 1) / self.base))
+            if n >= OFTEN:
+                bits = own if named >= 2 else min(own, 0.0)
+            elif named >= 2:
+                bits = max(bits, own)
             f = self.seen[w] = (ordinary, bits)
         return f
 
@@ -246,7 +252,7 @@ class Lexicon:
             if len(self.names) > 100_000:
                 self.names.clear()
             n, small, _, local, _, before = counted(self.words, w)
-            learned = before + local >= 2 and before >= 1 and small * 2 < n and np.log2(before / max(n, 1) / self.before) >= DISCLOSURE and (before + local) * 4 >= n
+            learned = before >= 2 and small * 2 < n and np.log2(before / max(n, 1) / self.before) >= DISCLOSURE and (before + local) * 4 >= n
             g = self.names[w] = is_given(w) or bool(learned)
         return g
 
@@ -266,9 +272,9 @@ class Lexicon:
         return counted(self.places, " ".join(name.lower().split()))[0] >= 2
 
     def lead(self, word: str) -> float:
-        """Bits that a lead word adds to a number after it; 0 for words that lead in other things more often than not."""
+        """Bits that a lead word adds to a number after it; 0 for words that mostly lead in other things."""
         _, sure, numbers = counted(self.places, "~" + word)
-        if numbers * 2 < counted(self.words, word)[0]:
+        if numbers * 16 < counted(self.words, word)[0]:
             return 0.0
         return float(np.log2((sure + 4 * self.sure) / (numbers + 4) / self.sure))
 
@@ -346,7 +352,9 @@ class Finder:
                     cue = bool(ID_CUE.search(before))
                     call = bool(PHONE_CUE.search(before))
                     sure = m[0][0] in "+("
-                    if (SURE if sure or cue or call else LOOSE_FORM) + (0 if sure or lexicon is None else lexicon.lead(lead_of(text, a))) < DISCLOSURE:
+                    told = 0.0 if sure or lexicon is None else lexicon.lead(lead_of(text, a))
+                    # a word that labels other numbers takes precedence over what stands before it
+                    if (SURE if sure or (cue or call) and told > -2 else LOOSE_FORM) + told < DISCLOSURE:
                         continue
                     if kind == "id_number" and LOOSE.match(m[0]) and call and not cue and m[0][0].isdigit():
                         continue
