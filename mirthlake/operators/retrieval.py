@@ -19,7 +19,18 @@ def top_k(df: DataFrame, by: list[str], k: int, *order: Column, rank: str = "ran
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = 1024, chunk: int = 16384) -> DataFrame:
+#: Queries and documents of a task: the sides are copied once for each block of the other, so blocks are as large as a task holds.
+BLOCK, CHUNK = 16_384, 65_536
+
+
+def grid(df: DataFrame, n_queries: int, n_rows: int, block: int, chunk: int) -> tuple[int, int]:
+    """Numbers of blocks of queries and of chunks of rows; small inputs are cut finer, so that every core has a task."""
+    nq = max(1, -(-n_queries // block))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return nq, max(1, -(-n_rows // chunk), min(-(-cores // nq), n_rows // 256))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, id, score, rank) from queries(query_id, text) and docs(id, text).
 
     A query's words count once, a document's as often as they stand; scores above 0 only. A document's words get their
@@ -35,7 +46,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = 1024, chu
     weighted = tf.join(df, "word")
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (P.BM25_K1 + 1)) / (F.col("tf") + P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * F.col("len") / F.lit(float(mean or 1))))
-    nq, nc = max(1, -(-n_queries // block)), max(1, -(-n_docs // chunk))
+    nq, nc = grid(docs, n_queries, n_docs, block, chunk)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.select("query_id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), spread(nc).alias("cb"))
     right = weighted.select("id", F.xxhash64("word").alias("word"), part.alias("part")).groupBy("id").agg(F.collect_list("word").alias("words"), F.collect_list("part").alias("parts"))
@@ -69,7 +80,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = 1024, chu
     return top_k(scored, ["query_id"], k, F.desc("score"), F.col("id"))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024, chunk: int = 16384) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top k of queries(query_id, v) in corpus(id, v), without the query's own id.
 
     Vectors must have the same length; null vectors take no part. Scores are rounded to 6 digits, equal scores by id.
@@ -77,7 +88,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024, ch
     return nearest_views(queries, corpus, {"all": None}, k, block=block, chunk=chunk).select("query_id", "id", "score", "rank")
 
 
-def nearest_views(queries: DataFrame, corpus: DataFrame, views: dict[str, tuple[int, int] | None], k: int, core: Column | None = None, block: int = 1024, chunk: int = 16384) -> DataFrame:
+def nearest_views(queries: DataFrame, corpus: DataFrame, views: dict[str, tuple[int, int] | None], k: int, core: Column | None = None, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, list, core, id, score, rank): exact cosine top k in each view, and again among core rows if core is given.
 
     A view is a range of dimensions (first, count), None the whole vector. Both sides are cut into blocks; a task holds
@@ -85,7 +96,7 @@ def nearest_views(queries: DataFrame, corpus: DataFrame, views: dict[str, tuple[
     list, so the vectors are read and shuffled once, however many views and subsets are asked for.
     """
     qs, cs = queries.where("v is not null"), corpus.where("v is not null")
-    nq, nc = max(1, -(-qs.count() // block)), max(1, -(-cs.count() // chunk))
+    nq, nc = grid(corpus, qs.count(), cs.count(), block, chunk)
     q = qs.select(F.col("query_id").alias("k"), F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
     c = cs.select(F.col("id").alias("k"), F.col("v").cast("array<double>").alias("v"), F.coalesce(core if core is not None else F.lit(False), F.lit(False)).alias("core"), F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
     kind = dict(queries.dtypes)["query_id"]
@@ -103,13 +114,13 @@ def nearest_views(queries: DataFrame, corpus: DataFrame, views: dict[str, tuple[
             x, y = (whole_x, whole_y) if part is None else (m[:, part[0] - 1 : part[0] - 1 + part[1]] for m in (whole_x, whole_y))
             with np.errstate(invalid="ignore", divide="ignore"):
                 x, y = x / np.sqrt((x * x).sum(axis=1))[:, None], y / np.sqrt((y * y).sum(axis=1))[:, None]
-            s = np.floor(np.nan_to_num(x @ y.T, nan=-2.0) * 1e6 + 0.5) / 1e6
-            for side in sides:
+            for at_query, side in ((j, side) for j in range(0, len(owns), 128) for side in sides):
                 among = np.flatnonzero(is_core) if side else np.arange(len(ids))
                 if not len(among):
                     continue
-                for i, own in enumerate(owns):
-                    row = np.where(ids[among] == own, -3.0, s[i, among])
+                s = np.floor(np.nan_to_num(x[at_query : at_query + 128] @ y[among].T, nan=-2.0) * 1e6 + 0.5) / 1e6
+                for own, sims in zip(owns[at_query : at_query + 128], s):
+                    row = np.where(ids[among] == own, -3.0, sims)
                     cut = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -3.0
                     at = np.nonzero((row >= cut) & (row > -2.0))[0]
                     at = at[np.lexsort((ids[among][at], -row[at]))][:k]
