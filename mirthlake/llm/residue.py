@@ -247,12 +247,18 @@ def template_residue(values: DataFrame) -> DataFrame:
     responses = groups.select("bones").mapInArrow(unusual, "response string, gram bigint").persist(StorageLevel.DISK_ONLY)
     whole = f.join(responses.select(F.col("response").alias("bones")), "bones", "left_semi").select("id", "field_name")
 
+    # a table of CELLS bits tells most texts at once that no response begins in them
+    marked = np.zeros(CELLS, bool)
+    marked[responses.select(F.col("gram").bitwiseAND(CELLS - 1).cast("int").alias("cell")).distinct().toArrow().column("cell").to_numpy()] = True
+    marked = spark.sparkContext.broadcast(np.packbits(marked))
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(marked.value)
         for b in batches:
             of, out = [], []
             for i, t in enumerate(b.column("free").to_pylist()):
                 words = t.split(" ")
-                own = {gram(words[j : j + 3]) for j in range(len(words) - 2)}
+                own = {g for j in range(len(words) - 2) if bits[(g := gram(words[j : j + 3])) & (CELLS - 1)]}
                 of += [i] * len(own)
                 out += own
             of = pa.array(of, pa.int64())
