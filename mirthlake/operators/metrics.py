@@ -82,11 +82,13 @@ def id_hash(df: DataFrame, c: str) -> DataFrame:
         h, n = hashlib.sha256(), 0
         for b in batches:
             for x in b.column(0).to_pylist():
-                h.update((b"\n" if n else b"") + x.encode())
-                n += 1
+                if x is not None:
+                    h.update((b"\n" if n else b"") + x.encode())
+                    n += 1
         yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()]), pa.array([n])], names=["hash", "n"])
 
-    ids = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("id"))
+    # one null row more, so that no ids have a hash too
+    ids = df.select(F.col(c).cast("string").alias("id")).unionAll(df.sparkSession.range(1).select(F.lit(None).cast("string")))
     return ids.orderBy("id").coalesce(1).mapInArrow(chain, "hash string, n bigint")
 
 
@@ -123,3 +125,25 @@ def first_ranks(df: DataFrame, acceptable: DataFrame) -> DataFrame:
     """(query_id, first_rank, missed): the best rank of an acceptable id among ranked rows, null where all were missed, and the ids missed."""
     both = acceptable.join(df.select("query_id", "id", "rank"), ["query_id", "id"], "left")
     return both.groupBy("query_id").agg(F.min("rank").alias("first_rank"), F.array_sort(F.collect_list(F.when(F.col("rank").isNull(), F.col("id")))).alias("missed"))
+
+
+def condition_counts(df: DataFrame, by: str) -> DataFrame:
+    """Eleven counters a condition over arms with status, decision, intent_label, verdict, first_id and verdict_id.
+
+    Arms that failed count as runs only; unreviewed ones (null verdict) as no review; a case without intent_label is
+    neither humour nor without meme.
+    """
+    ok = F.col("status") == "ok"
+    meme, none = ok & (F.col("decision") == "meme"), ok & (F.col("decision") == "none")
+    bare = F.col("intent_label") == "no_meme"
+    seen = ok & F.col("verdict").isNotNull()
+    humour = seen & (F.col("intent_label") == "humour")
+    send = humour & (F.col("verdict") == "send")
+    counters = {"runs": F.lit(True), "ok": ok, "reviewed": seen, "meme_decisions": meme, "none_decisions": none, "humour_reviewed": humour, "top_one_sendable": send & (F.col("first_id") == F.col("verdict_id")), "top_three_sendable": send, "no_meme_cases": ok & bare, "correct_abstentions": none & bare, "inappropriate_joking": meme & bare}
+    return df.groupBy(by).agg(*[F.count_if(c).alias(n) for n, c in counters.items()])
+
+
+def vector_fault(vector: str, size: int) -> Column:
+    """Why a vector can't be searched with: missing, wrong_length, not_finite or zero; null for good ones."""
+    v = F.col(vector)
+    return F.when(v.isNull(), "missing").when(F.size(v) != size, "wrong_length").when(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "not_finite").when(~F.exists(v, lambda x: x != 0), "zero")

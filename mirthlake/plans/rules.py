@@ -287,6 +287,47 @@ WITH b AS ({_fuse_sql(_view_sql(k=50), 50)}), c AS ({_fuse_sql(_view_sql("c.labe
 SELECT query_id, id, rank FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INT) AS rank FROM g) WHERE rank <= 50"""
 
 
+def arm_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of conditions over orders taken as arms of experiments."""
+    o = t(spark, d, "orders")
+    pick = lambda n, yes, no: F.when(n, yes).otherwise(no)
+    x = o.select("o_orderpriority", pick(F.col("o_orderstatus") == "P", "error", "ok").alias("status"), pick(F.col("o_totalprice") > 100000, "meme", "none").alias("decision"), pick(F.col("o_custkey") % 4 == 0, "no_meme", "humour").alias("intent_label"), F.when(F.col("o_orderkey") % 5 != 0, pick(F.col("o_orderkey") % 3 == 0, "send", "miss")).alias("verdict"), (F.col("o_custkey") % 7).alias("first_id"), (F.col("o_orderkey") % 7).alias("verdict_id"))
+    return M.condition_counts(x, "o_orderpriority")
+
+
+COUNTERS_SQL = """
+WITH x AS (SELECT o_orderpriority, o_orderstatus <> 'P' AS ok, o_totalprice > 100000 AS meme, o_custkey % 4 = 0 AS bare, o_orderkey % 5 <> 0 AS seen, o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0 AS send, o_custkey % 7 = o_orderkey % 7 AS first FROM orders)
+SELECT o_orderpriority, count(*) AS runs, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE ok AND seen) AS reviewed, count(*) FILTER (WHERE ok AND meme) AS meme_decisions, count(*) FILTER (WHERE ok AND NOT meme) AS none_decisions, count(*) FILTER (WHERE ok AND seen AND NOT bare) AS humour_reviewed,
+  count(*) FILTER (WHERE ok AND send AND NOT bare AND first) AS top_one_sendable, count(*) FILTER (WHERE ok AND send AND NOT bare) AS top_three_sendable, count(*) FILTER (WHERE ok AND bare) AS no_meme_cases, count(*) FILTER (WHERE ok AND bare AND NOT meme) AS correct_abstentions, count(*) FILTER (WHERE ok AND bare AND meme) AS inappropriate_joking FROM x GROUP BY o_orderpriority"""
+
+
+def vector_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that can't be searched with, by reason."""
+    e = once(spark, d, "stage_3000_local_signals", "id", "embedding")
+    return e.groupBy(F.coalesce(M.vector_fault("embedding", 64), F.lit("good")).alias("fault")).agg(F.count("*").alias("n"))
+
+
+VECTOR_SQL = """
+SELECT CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'wrong_length' WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not_finite' WHEN len(list_filter(embedding, lambda x: x <> 0)) = 0 THEN 'zero' ELSE 'good' END AS fault, count(*) AS n
+FROM (SELECT DISTINCT ON (id) id, embedding FROM stage_3000_local_signals) GROUP BY 1"""
+
+
+def review_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Broken rules of reviews (purchases and refunds taken as verdicts): known kind, an arm seen before, a short note."""
+    e = t(spark, d, "events")
+    arms = e.where("event_type = 'view'").select("user_id").distinct()
+    reviews = e.where("event_type <> 'view'")
+    rules = [Q.Rule("verdict_is_known", F.col("event_type").isin("click", "purchase")), Q.Rule("note_is_short", F.length(F.coalesce("props", F.lit(""))) <= 8), Q.Rule("value_is_given", F.col("value").isNotNull())]
+    return Q.violations(reviews, "event_id", rules).unionByName(Q.known(reviews, "event_id", "user_id", arms, "user_id", "arm_is_known")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+REVIEW_SQL = """
+WITH r AS (SELECT * FROM events WHERE event_type <> 'view'),
+  v AS (SELECT 'verdict_is_known' AS rule FROM r WHERE event_type NOT IN ('click', 'purchase') UNION ALL SELECT 'note_is_short' FROM r WHERE length(coalesce(props, '')) > 8 UNION ALL SELECT 'value_is_given' FROM r WHERE value IS NULL
+    UNION ALL SELECT 'arm_is_known' FROM r WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'view' AND user_id IS NOT NULL))
+SELECT rule, count(*) AS n FROM v GROUP BY rule"""
+
+
 def _folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
@@ -310,7 +351,7 @@ FILES_SQL = """
 SELECT 'orders' AS what, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders UNION ALL SELECT 'nation', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation
 UNION ALL SELECT 'signals', count(*), CAST(sum(width) AS BIGINT) FROM (SELECT DISTINCT id, width FROM stage_3000_local_signals)"""
 
-QUERIES = {f.__name__: f for f in (candidate_rules, answer_rules, answer_normalised, safety_rates, top_places, arms_ranked, descending_selection, first_acceptable, seed_rules, case_set_rules, competitive_scores, next_unreviewed, presented, arm_expansion, arm_controlled, files_round_trip)}
+QUERIES = {f.__name__: f for f in (candidate_rules, answer_rules, answer_normalised, safety_rates, top_places, arms_ranked, descending_selection, first_acceptable, seed_rules, case_set_rules, competitive_scores, next_unreviewed, presented, arm_expansion, arm_controlled, arm_counters, vector_faults, review_rules, files_round_trip)}
 SQL = {
     "candidate_rules": CANDIDATE_SQL,
     "answer_rules": FAULT_SQL,
@@ -327,5 +368,8 @@ SQL = {
     "presented": PRESENTED_SQL,
     "arm_expansion": ARM_SQL,
     "arm_controlled": CONTROLLED_SQL,
+    "arm_counters": COUNTERS_SQL,
+    "vector_faults": VECTOR_SQL,
+    "review_rules": REVIEW_SQL,
     "files_round_trip": FILES_SQL,
 }

@@ -161,3 +161,52 @@ def test_metrics(spark):
     assert n[1] == pytest.approx((1 + 15 / np.log2(3)) / (15 + 1 / np.log2(3)), abs=1e-6) and n[2] == 0
     p = {r["q"]: (r["accuracy"], r["n_pairs"]) for r in M.pairwise_accuracy(df, "q", "s", F.col("r") >= 3).collect()}
     assert p == {1: (0.25, 2), 2: (None, 0)}
+
+
+def test_answers(spark):
+    from mirthlake.operators import answers
+
+    good = '{"decision":"meme","confidence":"high","none_reason":"","candidates":[{"id":"a","score":80,"reason":"fits"},{"id":"b","score":80,"reason":"too"}]}'
+    rows = {"fenced": "```json\n" + good + "\n```", "bare": good, "broken": good[:-3], "null": None, "strange": good.replace('"b"', '"z"'), "high": good.replace('"b","score":80', '"b","score":101'), "twice": good.replace('"b"', '"a"'), "unsure": good.replace("high", "sure"), "empty": '{"decision":"none","confidence":"low","none_reason":"nothing","candidates":[]}', "odd": '{"decision":"none","confidence":"high","none_reason":"nothing","candidates":[]}', "many": good.replace('{"id":"a"', '{"id":"a","score":1,"reason":"x"},' * 5 + '{"id":"a"')}
+    df = spark.createDataFrame(list(rows.items()), "k string, t string")
+    known = spark.createDataFrame([("a",), ("b",)], "id string")
+    got = {r["k"]: r["fault"] for r in answers.judged(df, "k", "t", known).collect()}
+    assert got == {"fenced": None, "bare": None, "broken": "not_json", "null": "not_json", "strange": "unknown_candidate", "high": "score", "twice": "duplicate", "unsure": "confidence", "empty": None, "odd": "contradiction", "many": "too_many"}
+    put = {r["k"]: r for r in answers.normalised(df, "k", "t").collect()}
+    assert set(put) == set(rows) - {"broken", "null"}
+    assert [(c["id"], c["score"]) for c in put["bare"]["candidates"]] == [("a", 80), ("b", 79)] and put["odd"]["confidence"] == "low" and put["unsure"]["confidence"] == "low" and put["empty"]["decision"] == "none"
+    assert answers.judged(df.limit(0), "k", "t", known).count() == 0 and answers.normalised(df.limit(0), "k", "t").count() == 0
+
+
+def test_hash_of_ids(spark):
+    import hashlib
+
+    from mirthlake.operators import metrics
+
+    ids = [f"x{i:04}" for i in range(3000)]
+    got = metrics.id_hash(spark.createDataFrame([(i,) for i in reversed(ids)] + [(None,)], "id string").repartition(7), "id").collect()
+    assert [tuple(r) for r in got] == [(hashlib.sha256("\n".join(ids).encode()).hexdigest(), 3000)]
+    assert [tuple(r) for r in metrics.id_hash(spark.createDataFrame([], "id string"), "id").collect()] == [(hashlib.sha256(b"").hexdigest(), 0)]
+
+
+def test_alias_within_words(spark):
+    from mirthlake.operators import similarity
+
+    items = spark.createDataFrame([("i", ["big cat", ""]), ("j", ["owl"]), ("k", ["none such"])], "item_id string, aliases array<string>")
+    records = spark.createDataFrame([("r2", "r2", "the growling big catalogue"), ("r1", "r1", "big ca t"), ("r3", "r3", "a big cat"), ("r4", "r4", None), ("r5", "r5", "ow")], "id string, pos string, text string")
+    assert {tuple(r) for r in similarity.covered_by_alias(items, records).collect()} == {("i", "r2"), ("j", "r2"), ("k", None)}
+    assert {tuple(r) for r in similarity.covered_by_alias(items.withColumn("aliases", F.array(F.lit(""))), records).collect()} == {("i", None), ("j", None), ("k", None)}
+
+
+def test_bit_join_all_bands(spark):
+    import random
+
+    from mirthlake.operators import similarity
+
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    values = base + [b ^ sum(1 << i for i in rng.sample(range(64), n)) for b in base for n in (1, 5, 6)]
+    df = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "pos int, bits bigint")
+    want = {(i, j, (values[i] ^ values[j]).bit_count()) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 5}
+    for together in (1, 2, 3):
+        assert {tuple(r) for r in similarity.bit_join(df, "bits", 5, together=together).collect()} == want

@@ -80,3 +80,20 @@ def test_streams(spark, data, tmp_path):
     assert spark.table("once_rows").count() == spark.read.parquet(str(src)).select("event_id").distinct().count()
     E.run(E.sessions(stream(), "user_id", "40 days", "1 hour"), str(tmp_path / "c3"), mode="complete", name="session_rows")
     assert spark.table("session_rows").agg(F.sum("n")).first()[0] == spark.read.parquet(str(src)).count()
+
+
+def test_manifest_and_new_tables(spark, tmp_path):
+    import hashlib
+
+    from mirthlake.sources import readers
+
+    (tmp_path / "f" / "sub").mkdir(parents=True)
+    for name in ("a.txt", "sub/b.txt"):
+        (tmp_path / "f" / name).write_bytes(name.encode())
+    right = [(n, hashlib.sha256(n.encode()).hexdigest()) for n in ("a.txt", "sub/b.txt")]
+    manifest = spark.createDataFrame([right[0], (right[1][0], "0"), ("c.txt", "1")], "path string, sha256 string")
+    got = {tuple(r) for r in readers.manifest_mismatches(spark, str(tmp_path / "f"), manifest).collect()}
+    assert got == {("sub/b.txt", "changed"), ("c.txt", "missing")}
+    readers.write_new(manifest, str(tmp_path / "t"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        readers.write_new(manifest, str(tmp_path / "t"))
