@@ -150,8 +150,7 @@ def export_events(df: DataFrame) -> DataFrame:
 def manifest_mismatches(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(path, fault) of a manifest (path relative to folder, sha256): files that are missing or have another content. Files are read by the executors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    base = F.regexp_replace(F.lit(folder), "/+$", "")
-    own = files.select(F.substring_index("path", F.concat(base, F.lit("/")), -1).alias("path"), F.sha2("content", 256).alias("found"))
+    own = files.select(F.substring_index("path", folder.rstrip("/") + "/", -1).alias("path"), F.sha2("content", 256).alias("found"))
     both = manifest.join(own, "path", "left")
     return both.where("found is null or found <> sha256").select("path", F.when(F.col("found").isNull(), "missing").otherwise("changed").alias("fault"))
 
