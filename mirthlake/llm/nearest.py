@@ -144,7 +144,8 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, size: int
     units = rows.mapInArrow(valid, f"id {kind}, cid bigint, x binary").persist(StorageLevel.DISK_ONLY)
     classes = units.groupBy("cid").agg(F.min_by("x", "id").alias("x"), F.count("*").alias("copies")).persist(StorageLevel.DISK_ONLY)
     n = classes.count()
-    pieces = max(2, -(-n * trees // piece))
+    # small arrays are cut finer, so that every core has a piece
+    pieces = max(2, -(-n * trees // piece), min(spark.sparkContext.defaultParallelism, n * trees // 25_000))
 
     def unit(column: pa.Array) -> np.ndarray:
         x = _matrix(column, raw, size).astype(np.float64)
