@@ -75,7 +75,8 @@ def perspectives(df: DataFrame, lenses: list[str], limit: int = 3) -> DataFrame:
     kinds = dict(df.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = {lens: [(r["id"], float(r[lens])) for _, r in pdf.sort_values([lens, "retrieval_rank", "id"], ascending=[False, True, True]).iterrows()] for lens in lenses}
+        by = {lens: pdf.sort_values([lens, "retrieval_rank", "id"], ascending=[False, True, True]) for lens in lenses}
+        ordered = {lens: list(zip(x["id"].tolist(), x[lens].astype(float).tolist())) for lens, x in by.items()}
         picked = assign(ordered)
         used = {c for _, c, _ in picked}
         place = dict(zip(pdf["id"], pdf["retrieval_rank"]))

@@ -13,11 +13,12 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import answers as V
 from ..operators import catalogue as C
+from ..operators import graph
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators.retrieval import top_k
-from .catalogue import NAME_SQL
+from .catalogue import HAMMING_SQL, NAME_SQL, hamming_pairs
 from .common import LINES_SQL, lines, once, r6, sql_text, t
 from .retrieval import RECOMMEND_SQL, VIEWS, _fuse_sql, _vectors, _view_sql, recommend_batch
 
@@ -328,6 +329,16 @@ WITH r AS (SELECT * FROM events WHERE event_type <> 'view'),
 SELECT rule, count(*) AS n FROM v GROUP BY rule"""
 
 
+def image_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Images linked by vectors whose signs differ in five places at most, each with the least id of its group."""
+    return graph.groups(hamming_pairs(spark, d), "pos_a", "pos_b")
+
+
+GROUP_SQL = f"""
+WITH RECURSIVE h AS ({HAMMING_SQL}), b AS (SELECT pos_a AS x, pos_b AS y FROM h UNION ALL SELECT pos_b, pos_a FROM h), r AS (SELECT x AS node, y AS root FROM b UNION SELECT r.node, b.y FROM r JOIN b ON r.root = b.x)
+SELECT node, least(node, min(root)) AS root FROM r GROUP BY node"""
+
+
 def _folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
@@ -351,7 +362,7 @@ FILES_SQL = """
 SELECT 'orders' AS what, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders UNION ALL SELECT 'nation', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation
 UNION ALL SELECT 'signals', count(*), CAST(sum(width) AS BIGINT) FROM (SELECT DISTINCT id, width FROM stage_3000_local_signals)"""
 
-QUERIES = {f.__name__: f for f in (candidate_rules, answer_rules, answer_normalised, safety_rates, top_places, arms_ranked, descending_selection, first_acceptable, seed_rules, case_set_rules, competitive_scores, next_unreviewed, presented, arm_expansion, arm_controlled, arm_counters, vector_faults, review_rules, files_round_trip)}
+QUERIES = {f.__name__: f for f in (candidate_rules, answer_rules, answer_normalised, safety_rates, top_places, arms_ranked, descending_selection, first_acceptable, seed_rules, case_set_rules, competitive_scores, next_unreviewed, presented, arm_expansion, arm_controlled, arm_counters, vector_faults, review_rules, image_groups, files_round_trip)}
 SQL = {
     "candidate_rules": CANDIDATE_SQL,
     "answer_rules": FAULT_SQL,
@@ -371,5 +382,6 @@ SQL = {
     "arm_counters": COUNTERS_SQL,
     "vector_faults": VECTOR_SQL,
     "review_rules": REVIEW_SQL,
+    "image_groups": GROUP_SQL,
     "files_round_trip": FILES_SQL,
 }
