@@ -26,7 +26,8 @@ from .graph import components
 from .text import as_word_sets, lists_of
 
 BASE, RATE, BANDS, ROWS = 1.2, 20.0, 90, 5
-REGISTERS = BANDS * ROWS
+#: Registers of a sketch: the first BANDS * ROWS make bands, all serve the estimate.
+REGISTERS = 864
 
 
 def word_registers(h: int) -> np.ndarray:
@@ -98,7 +99,7 @@ def similar_classes(classes: DataFrame, threshold: tuple[int, int]) -> DataFrame
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                r = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS).astype(np.int64)
+                r = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.int64)
                 take = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
                 yield pa.RecordBatch.from_arrays([pa.array(((r * power).sum(axis=2) + tops).ravel()), *[part.column(c).take(take) for c in ("cid", "n", "bits")]], names=["key", "cid", "n", "bits"])
 
