@@ -22,8 +22,9 @@ def checkpoints(spark: SparkSession) -> None:
 def groups(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, root): the least node of each connected group; labels halve their paths each round."""
     checkpoints(edges.sparkSession)
-    e = edges.select(F.col(u).alias("a"), F.col(v).alias("b"))
-    e = e.unionAll(e.select("b", "a")).distinct().checkpoint()
+    # both directions of an edge from one pass over the edges
+    both = F.array(F.struct(F.col(u).alias("a"), F.col(v).alias("b")), F.struct(F.col(v).alias("a"), F.col(u).alias("b")))
+    e = edges.select(F.inline(both)).distinct().checkpoint()
     labels = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node")
     before = None
     while True:

@@ -51,23 +51,35 @@ def set_join(df: DataFrame, tokens: str, threshold: float, least: int = 1) -> Da
     return full.where(F.col("shared") >= threshold * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("pos_a", "pos_b", "shared", "size_a", "size_b")
 
 
-def bit_join(df: DataFrame, bits: str, most: int = 5, width: int = 64, together: int = 2) -> DataFrame:
-    """(pos_a, pos_b, distance): pairs whose 64-bit values differ in at most most bits.
+def bit_values(df: DataFrame, bits: str, most: int = 5, width: int = 64, together: int = 2) -> DataFrame:
+    """(va, vb, distance), va < vb: pairs of different 64-bit values that differ in at most most bits, each pair once.
 
     Of most+together bands of bits, two such values agree in together at least; every combination of that many bands is
     a key, the keys are equi-joined and the distance then counted. One more band a key makes keys rarer by its bits at
-    the price of more keys: 21 of 18 bits for five differing bits in pairs of bands, 56 of 24 bits in threes.
+    the price of more keys: 21 of 18 bits for five differing bits in pairs of bands, 56 of 24 bits in threes. A pair is
+    taken from the first combination in which it agrees, so nothing has to be made distinct, and equal values are one
+    while pairs are sought.
     """
     n = most + together
     cuts = [(i * width // n, (i + 1) * width // n) for i in range(n)]
-    v = F.col(bits)
     masks = [sum(((1 << (b - a)) - 1) << a for a, b in some) for some in combinations(cuts, together)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    v = F.col("v")
     parts = F.array(*[F.struct(F.lit(i).alias("band"), v.bitwiseAND(F.lit(m).cast("bigint")).alias("part")) for i, m in enumerate(signed)])
-    k = df.where(v.isNotNull()).select("pos", v.alias("v"), F.explode(parts).alias("x")).select("pos", "v", "x.band", "x.part")
-    a, b = k.toDF("pos_a", "va", "band", "part"), k.toDF("pos_b", "vb", "band", "part")
-    d = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
-    return a.join(b, ["band", "part"]).where((F.col("pos_a") < F.col("pos_b")) & (d <= most)).select("pos_a", "pos_b", d.alias("distance")).distinct()
+    k = df.where(F.col(bits).isNotNull()).select(F.col(bits).alias("v")).distinct().select("v", F.explode(parts).alias("x")).select("v", "x.band", "x.part")
+    a, b = k.toDF("va", "band", "part"), k.toDF("vb", "band", "part")
+    x = F.col("va").bitwiseXOR(F.col("vb"))
+    first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m).cast("bigint")) == 0, i) for i, m in enumerate(signed)])
+    return a.join(b, ["band", "part"]).where((F.col("va") < F.col("vb")) & (F.bit_count(x) <= most)).where(first == F.col("band")).select("va", "vb", F.bit_count(x).alias("distance"))
+
+
+def bit_join(df: DataFrame, bits: str, most: int = 5, width: int = 64, together: int = 2) -> DataFrame:
+    """(pos_a, pos_b, distance): pairs of rows whose 64-bit values differ in at most most bits; see bit_values."""
+    rows = df.where(F.col(bits).isNotNull()).select("pos", F.col(bits).alias("v"))
+    a, b = rows.toDF("pa", "va"), rows.toDF("pb", "vb")
+    near = bit_values(df, bits, most, width, together).join(a, "va").join(b, "vb").select("pa", "pb", "distance")
+    same = a.join(b, F.col("va") == F.col("vb")).where("pa < pb").select("pa", "pb", F.lit(0).alias("distance"))
+    return near.where("pa <> pb").unionAll(same).select(F.least("pa", "pb").alias("pos_a"), F.greatest("pa", "pb").alias("pos_b"), "distance")
 
 
 def covered_by_alias(items: DataFrame, records: DataFrame) -> DataFrame:

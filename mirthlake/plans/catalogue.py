@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -71,11 +71,20 @@ WITH c AS (SELECT DISTINCT id, concat_ws(' ', message, relational_pattern) AS x
 SELECT pos_a, pos_b, CAST(shared AS INT) AS shared, CAST(size_a AS INT) AS size_a, CAST(size_b AS INT) AS size_b FROM p WHERE shared >= 0.82::DOUBLE * (size_a + size_b - shared)"""
 
 
+def _signs() -> Column:
+    """The signs of a vector of 64 as a number; null for vectors of another length."""
+    return F.when(F.size("embedding") == 64, F.aggregate("embedding", F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1) + F.when(x > 0, 1).otherwise(0)))
+
+
+def image_signs(spark: SparkSession, d: str) -> DataFrame:
+    """(pos, bits): each image and the signs of its vector. Signs are taken before redelivered rows become one, so vectors aren't shuffled."""
+    s = t(spark, d, "stage_3000_local_signals").select(F.col("id").alias("pos"), _signs().alias("bits"), "ingested_at")
+    return D.latest(s, ["pos"], "ingested_at", "pos").where("bits is not null").select("pos", "bits")
+
+
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Images whose vectors' 64 signs differ in five places at most."""
-    e = once(spark, d, "stage_3000_local_signals", "id", "embedding").where(F.size("embedding") == 64)
-    bits = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1) + F.when(x > 0, 1).otherwise(0))
-    return S.bit_join(e.select(F.col("id").alias("pos"), bits.alias("bits")), "bits", 5)
+    return S.bit_join(image_signs(spark, d), "bits", 5)
 
 
 HAMMING_SQL = """

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import numeric as N
 from ..functions import patterns as P
@@ -17,8 +18,9 @@ from ..operators import graph
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import retrieval as R
+from ..operators import similarity as S
 from ..operators.retrieval import top_k
-from .catalogue import HAMMING_SQL, NAME_SQL, hamming_pairs
+from .catalogue import HAMMING_SQL, NAME_SQL, image_signs
 from .common import LINES_SQL, lines, once, r6, sql_text, t
 from .retrieval import RECOMMEND_SQL, VIEWS, _fuse_sql, _vectors, _view_sql, recommend_batch
 
@@ -331,7 +333,14 @@ SELECT rule, count(*) AS n FROM v GROUP BY rule"""
 
 def image_groups(spark: SparkSession, d: str) -> DataFrame:
     """Images linked by vectors whose signs differ in five places at most, each with the least id of its group."""
-    return graph.groups(hamming_pairs(spark, d), "pos_a", "pos_b")
+    images = image_signs(spark, d).persist(StorageLevel.DISK_ONLY)
+    # images with the same signs are one node, so edges and labels are numbers and copies make no pairs
+    own = images.groupBy("bits").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+    linked = graph.groups(S.bit_values(images, "bits", 5), "va", "vb").withColumnRenamed("node", "bits")
+    own = own.join(linked, "bits", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "bits"))
+    least = own.groupBy("root").agg(F.min("first").alias("least"))
+    named = own.join(least, "root").select("bits", F.col("least").alias("root"))
+    return images.join(named, "bits").select(F.col("pos").alias("node"), "root")
 
 
 GROUP_SQL = f"""

@@ -210,3 +210,19 @@ def test_bit_join_all_bands(spark):
     want = {(i, j, (values[i] ^ values[j]).bit_count()) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 5}
     for together in (1, 2, 3):
         assert {tuple(r) for r in similarity.bit_join(df, "bits", 5, together=together).collect()} == want
+
+
+def test_bit_values_each_pair_once(spark):
+    from mirthlake.operators import similarity
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([0] * 300 + [1, 3, -1, 1 << 40])], "pos int, bits bigint")
+    got = sorted(tuple(r) for r in similarity.bit_values(df, "bits").collect())
+    assert got == [(0, 1, 1), (0, 3, 2), (0, 1 << 40, 1), (1, 3, 1), (1, 1 << 40, 2), (3, 1 << 40, 3)]
+
+
+def test_image_groups_of_copies(spark, tmp_path):
+    from mirthlake.plans import rules
+
+    rows = [(f"i{i}", [1.0] * 64, 0) for i in range(5)] + [("j0", [-1.0] * 6 + [1.0] * 58, 0), ("k1", [-1.0] * 64, 0), ("k0", [-1.0] * 60 + [1.0] * 4, 0), ("k1", [-1.0] * 64, 0), ("l", [1.0], 0), ("m", None, 0), ("n", [-1.0] * 32 + [1.0] * 32, 0)]
+    spark.createDataFrame(rows, "id string, embedding array<float>, ingested_at long").write.parquet(f"{tmp_path}/stage_3000_local_signals.parquet")
+    assert {tuple(r) for r in rules.image_groups(spark, str(tmp_path)).collect()} == {(f"i{i}", "i0") for i in range(5)} | {("k0", "k0"), ("k1", "k0")}
