@@ -1,4 +1,4 @@
-"""Connected groups by repeated minimum labels along edges, checkpointed each round."""
+"""Connected groups by contraction of edges, checkpointed each round."""
 
 from __future__ import annotations
 
@@ -20,19 +20,20 @@ def checkpoints(spark: SparkSession) -> None:
 
 
 def groups(edges: DataFrame, u: str, v: str) -> DataFrame:
-    """(node, root): the least node of each connected group; labels halve their paths each round."""
+    """(node, root): the least node of each connected group.
+
+    Each round maps every node to its least neighbour's least neighbour and the edges with them; edges within a node and
+    repeated ones fall away, so what the next round reads shrinks until no edge is left.
+    """
     checkpoints(edges.sparkSession)
-    # both directions of an edge from one pass over the edges
-    both = F.array(F.struct(F.col(u).alias("a"), F.col(v).alias("b")), F.struct(F.col(v).alias("a"), F.col(u).alias("b")))
-    e = edges.select(F.inline(both)).distinct().checkpoint()
-    labels = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node")
-    before = None
+    e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).checkpoint()
+    labels = None
     while True:
-        step = e.join(labels.toDF("b", "r"), "b").groupBy("a").agg(F.min("r").alias("r"))
-        labels = labels.join(step.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "r").alias("root"))
-        jump = labels.join(labels.toDF("root", "far"), "root").select("node", F.least("root", "far").alias("root")).checkpoint()
-        labels = jump
-        now = labels.agg(F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()[0]
-        if now == before:
+        both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = e.select(F.inline(both)).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"))
+        step = near.join(near.toDF("p", "far"), "p").select(F.col("a").alias("node"), F.col("far").alias("root")).checkpoint()
+        labels = step if labels is None else labels.join(step.toDF("root", "far"), "root", "left").select("node", F.coalesce("far", "root").alias("root")).checkpoint()
+        moved = e.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
+        e = moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint()
+        if e.isEmpty():
             return labels
-        before = now
