@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import numeric as N
 from ..functions import patterns as P
@@ -30,54 +34,133 @@ def grid(df: DataFrame, n_queries: int, n_rows: int, block: int, chunk: int) ->
     return nq, max(1, -(-n_rows // chunk), min(-(-cores // nq), n_rows // 256))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, offsets = np.asarray(column.values), np.asarray(column.offsets)
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+#: Of BM25: queries of a task, documents of a task, and documents that are indexed together.
+QUERIES, DOCUMENTS, PIECE = 65_536, 1_048_576, 65_536
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = QUERIES, chunk: int = DOCUMENTS, piece: int = PIECE) -> DataFrame:
     """(query_id, id, score, rank) from queries(query_id, text) and docs(id, text).
 
-    A query's words count once, a document's as often as they stand; scores above 0 only. A document's words get their
-    weights in the engine (counts are pre-aggregated, only words of queries stay). Both sides are then cut into blocks;
-    a task adds up the postings of one block of queries over one chunk of documents, and passes on k rows a query.
+    A query's words count once, a document's as often as they stand; scores above 0 only. Documents are indexed once, in
+    pieces: for each word the documents that have it, with how often and how long they are. How many documents have a
+    word is added up over the pieces. A task adds up the postings of one block of queries, piece after piece; what can't
+    reach the k best so far is left at once, and k rows a query leave the task. Only where there are several chunks of
+    documents, or queries too few for all cores, are these ranked again.
     """
-    d = docs.select("id", lexical_tokens(F.col("text")).alias("words"))
-    n_docs, mean, n_queries = d.agg(F.count("*"), F.avg(F.size("words"))).first() + (queries.count(),)
-    tf = d.select("id", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("id", "len", "word").agg(F.count("*").alias("tf"))
-    q = queries.select("query_id", F.array_distinct(lexical_tokens(F.col("text"))).alias("words")).where(F.size("words") > 0)
-    tf = tf.join(q.select(F.explode("words").alias("word")).distinct(), "word", "left_semi")
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "word")
+    n_docs, n_queries = docs.count(), queries.count()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    n_pieces = max(1, -(-n_docs // piece), min(cores, n_docs // 8192))
+    nq = max(1, -(-n_queries // block), min(cores, n_queries // 2048))
+    nq = -(-nq // cores) * cores if nq > cores else nq
+    nc = max(-(-n_docs // chunk), min(-(-cores // nq), n_pieces))
+    own, other = queries.schema["query_id"].dataType.simpleString(), docs.schema["id"].dataType.simpleString()
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (batches := [b for b in batches if b.num_rows]):
+            return
+        t = pa.Table.from_batches(batches).combine_chunks()
+        ids = t.column("id").chunk(0).dictionary_encode("encode")
+        lens, words = [np.asarray(x) for x in (t.column("words").chunk(0).value_lengths(), t.column("words").chunk(0).flatten())]
+        rows, no = ids.indices.to_numpy(), t.column("p")[0].as_py()
+        at, long = np.repeat(rows, lens).astype(np.int64), np.repeat(lens, lens)
+        for low in range(0, len(ids.dictionary), 65_536):
+            high = min(low + 65_536, len(ids.dictionary))
+            mine = np.flatnonzero((at >= low) & (at < high))
+            mine = mine[np.lexsort((long[mine], at[mine], words[mine]))]
+            w, d, n = words[mine], at[mine] - low, long[mine]
+            first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (d[1:] != d[:-1]) | (n[1:] != n[:-1])][: len(w)])
+            tf, w, d, n = np.diff(np.r_[first, len(w)]), w[first], d[first], n[first]
+            kinds, code = np.unique(tf << 32 | n, return_inverse=True)
+            starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)])
+            postings = pickle.dumps((d.astype(np.uint16), code.astype(np.min_scalar_type(len(kinds))), kinds >> 32, kinds & 0xFFFFFFFF))
+            total = int(lens[(rows >= low) & (rows < high)].sum())
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([pa.array([no + low // 65_536], pa.int32()), pa.array([total]), one(pa.array(w[starts])), one(pa.array(np.diff(np.r_[starts, len(w)]))), pa.array([postings], pa.binary()), one(ids.dictionary.slice(low, high - low))], names=["no", "total", "words", "counts", "postings", "ids"])
+
+    hashes = lambda c: F.transform(lexical_tokens(c), lambda w: F.xxhash64(w))
+    d = docs.select("id", hashes(F.col("text")).alias("words"), F.pmod(F.xxhash64("id"), F.lit(n_pieces)).cast("int").alias("p"))
+    pieces = d.repartitionById(n_pieces, F.col("p")).mapInArrow(index, f"no int, total bigint, words array<bigint>, counts array<bigint>, postings binary, ids array<{other}>").persist(StorageLevel.DISK_ONLY)
+    mean = (pieces.agg(F.sum("total")).first()[0] or 0) / max(n_docs, 1) or 1.0
+    df = pieces.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("df"))
+    q = queries.select("query_id", F.array_distinct(hashes(F.col("text"))).alias("words"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb")).where(F.size("words") > 0)
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (P.BM25_K1 + 1)) / (F.col("tf") + P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * F.col("len") / F.lit(float(mean or 1))))
-    nq, nc = grid(docs, n_queries, n_docs, block, chunk)
+    weights = q.select("qb", F.explode("words").alias("word")).distinct().join(df, "word")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select("query_id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), spread(nc).alias("cb"))
-    right = weighted.select("id", F.xxhash64("word").alias("word"), part.alias("part")).groupBy("id").agg(F.collect_list("word").alias("words"), F.collect_list("part").alias("parts"))
-    right = right.select("id", "words", "parts", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int").alias("cb"), spread(nq).alias("qb"))
-    kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["id"]
-
-    def add(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": a["query_id"][:0], "id": b["id"][:0], "score": np.empty(0)})
-        b = b.sort_values("id", ignore_index=True)
-        lens = b["words"].map(len).to_numpy()
-        words, parts, at = np.concatenate(b["words"].to_numpy()), np.concatenate(b["parts"].to_numpy()), np.repeat(np.arange(len(b)), lens)
-        order = np.lexsort((at, words))
-        words, parts, at = words[order], parts[order], at[order]
-        first = np.nonzero(np.r_[True, words[1:] != words[:-1]])[0]
-        span = dict(zip(words[first].tolist(), zip(first.tolist(), np.r_[first[1:], len(words)].tolist())))
-        ids, out = b["id"].to_numpy(), []
-        for own, ws in zip(a["query_id"].to_numpy(), a["words"].to_numpy()):
-            hits = [span[w] for w in ws.tolist() if w in span]
-            if not hits:
-                continue
-            s = np.bincount(np.concatenate([at[x:y] for x, y in hits]), np.concatenate([parts[x:y] for x, y in hits]), len(b))
-            s = np.floor(s * 1e6 + 0.5) / 1e6
-            cut = max(np.partition(s, len(s) - k)[len(s) - k], 1e-7) if len(s) > k else 1e-7
-            best = np.nonzero(s >= cut)[0]
-            best = best[np.lexsort((best, -s[best]))][:k]
-            out.append(pd.DataFrame({"query_id": own, "id": ids[best], "score": s[best]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": a["query_id"][:0], "id": b["id"][:0], "score": np.empty(0)})
-
-    scored = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(add, f"query_id {kinds[0]}, id {kinds[1]}, score double")
-    return top_k(scored, ["query_id"], k, F.desc("score"), F.col("id"))
+    cell, none = (F.col("qb") * nc + F.col("cb")).alias("cell"), F.lit(None)
+    asked = q.select("query_id", "words", "qb", spread(nc).alias("cb")).select(cell, "query_id", "words", none.cast("array<bigint>").alias("counts"), none.cast("double").alias("idf"), none.cast("binary").alias("postings"), none.cast(f"array<{other}>").alias("ids"))
+    known = weights.select("qb", "word", idf.alias("idf"), spread(nc).alias("cb")).select(cell, none.cast(own), F.array("word"), none, "idf", none, none)
+    parts = pieces.select("words", "counts", "postings", "ids", F.pmod("no", F.lit(nc)).alias("cb"), spread(nq).alias("qb")).select(cell, none.cast(own), "words", "counts", none, "postings", "ids")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, known, parts = [], [], []
+        for b in batches:
+            is_part, is_known = b.column("postings").is_valid(), b.column("idf").is_valid()
+            asked.append(b.select(["query_id", "words"]).filter(pc.invert(pc.or_(is_part, is_known))))
+            known.append(b.select(["words", "idf"]).filter(is_known))
+            parts += [b.select(["words", "counts", "postings", "ids"]).slice(i, 1) for i in np.flatnonzero(is_part).tolist()]
+        if not parts or not any(x.num_rows for x in asked) or not any(x.num_rows for x in known):
+            return
+        asked, known = pa.Table.from_batches(asked).combine_chunks(), pa.Table.from_batches(known).combine_chunks()
+        vocabulary = np.asarray(known.column("words").chunk(0).flatten())
+        order = np.argsort(vocabulary)
+        vocabulary, idf = vocabulary[order], known.column("idf").to_numpy()[order]
+        place = lambda ws: np.minimum(np.searchsorted(vocabulary, ws), len(vocabulary) - 1)
+        # a query that came in several rows has the words of all
+        owns, sets = asked.column("query_id").chunk(0).dictionary_encode("encode"), _lists(asked.column("words").chunk(0))
+        of, texts = owns.indices.to_numpy(), [[] for _ in range(len(owns.dictionary))]
+        for i, ws in zip(of.tolist(), sets):
+            ws = ws[vocabulary[place(ws)] == ws]
+            texts[i] = place(ws).tolist() if not texts[i] else sorted({*texts[i], *place(ws).tolist()})
+        # documents are numbered in the order of their ids, so equal scores go by number
+        ids = pa.concat_arrays([p.column("ids").flatten() for p in parts])
+        by_id = pc.array_sort_indices(ids, null_placement="at_start").to_numpy().astype(np.int64)
+        number = np.empty(len(ids), np.int64)
+        number[by_id] = np.arange(len(ids))
+        best_at, best = [np.empty(0, np.int64)] * len(texts), [np.empty(0)] * len(texts)
+        begin, nothing = 0, np.empty(0, np.int64)
+        for p in parts:
+            words, counts = [np.asarray(p.column(c).flatten()) for c in ("words", "counts")]
+            at, code, tf, n = pickle.loads(p.column("postings")[0].as_py())
+            size = len(p.column("ids")[0])
+            mine, begin = number[begin : begin + size], begin + size
+            factor = tf * (P.BM25_K1 + 1) / (tf + P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * n / mean))
+            here = place(words)
+            known_here = vocabulary[here] == words
+            at, score = at.astype(np.int64), np.repeat(np.where(known_here, idf[here], 0), counts) * factor[code]
+            ends = np.cumsum(counts)
+            found, weigh = [nothing] * len(vocabulary), [nothing] * len(vocabulary)
+            for i in np.flatnonzero(known_here).tolist():
+                found[here[i]], weigh[here[i]] = at[ends[i] - counts[i] : ends[i]], score[ends[i] - counts[i] : ends[i]]
+            for i, ws in enumerate(texts):
+                if not ws:
+                    continue
+                s = np.bincount(np.concatenate([found[w] for w in ws]), np.concatenate([weigh[w] for w in ws]), size)
+                least = best[i][-1] - 1e-6 if len(best[i]) == k else 1e-7
+                hits = np.flatnonzero(s >= least)
+                if not len(hits):
+                    continue
+                v = s[hits]
+                if len(hits) > 4 * k:  # a bound for the rest: rounding may make two scores one
+                    some = v >= np.partition(v, len(v) - k)[len(v) - k] - 1e-6
+                    hits, v = hits[some], v[some]
+                v = np.floor(v * 1e6 + 0.5) / 1e6
+                v, hits = np.r_[best[i], v[v > 0]], np.r_[best_at[i], mine[hits[v > 0]]]
+                order = np.lexsort((hits, -v))[:k]
+                best[i], best_at[i] = v[order], hits[order]
+        for low in range(0, len(texts), 4096):
+            some = range(low, min(low + 4096, len(texts)))
+            take = np.repeat(np.arange(low, some.stop), [len(best[i]) for i in some])
+            rank = np.concatenate([np.arange(1, len(best[i]) + 1) for i in some])
+            at, score = by_id[np.concatenate([best_at[i] for i in some])], np.concatenate([best[i] for i in some])
+            yield pa.RecordBatch.from_arrays([owns.dictionary.take(pa.array(take)), ids.take(pa.array(at)), pa.array(score), pa.array(rank.astype(np.int32))], names=["query_id", "id", "score", "rank"])
+
+    scored = asked.unionAll(known).unionAll(parts).repartitionById(nq * nc, F.col("cell")).drop("cell").mapInArrow(add, f"query_id {own}, id {other}, score double, rank int")
+    return scored if nc == 1 else top_k(scored.drop("rank"), ["query_id"], k, F.desc("score"), F.col("id"))
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:

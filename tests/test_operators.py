@@ -1,6 +1,7 @@
 """Operators on small tables and against brute force."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -34,6 +35,29 @@ def test_bm25_without_overlap(spark):
     assert [(r["query_id"], r["id"]) for r in R.bm25(q, d).orderBy("rank").collect()] == [(3, "b"), (3, "a")]
 
 
+def test_bm25_pieces(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(f"d{i:02d}", " ".join(rng.choice(words, rng.integers(0, 9)))) for i in range(60)]
+    asked = [(i, " ".join(rng.choice(words, 4))) for i in range(30)] + [(0, "w1 w2"), (40, "nowhere")]
+    own = {}
+    for i, text in asked:
+        own.setdefault(i, set()).update(text.split())
+    split = {i: text.split() for i, text in docs}
+    mean, df = sum(map(len, split.values())) / len(docs), {w: sum(w in x for x in split.values()) for w in words}
+    want = set()
+    for i, ws in own.items():
+        score = {j: sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in ws if w in x) for j, x in split.items()}
+        score = {j: math.floor(s * 1e6 + 0.5) / 1e6 for j, s in score.items()}
+        best = sorted((j for j in score if score[j] > 0), key=lambda j: (-score[j], j))[:5]
+        want |= {(i, j, score[j], r) for r, j in enumerate(best, 1)}
+    q, d = spark.createDataFrame(asked, "query_id int, text string"), spark.createDataFrame(docs, "id string, text string")
+    for got in (R.bm25(q, d, 5), R.bm25(q, d, 5, block=4, chunk=1000, piece=7), R.bm25(q, d, 5, block=4, chunk=20, piece=7)):
+        assert {tuple(r) for r in got.collect()} == want
+    # a task that has all documents ranks them itself: nothing is ranked again
+    assert "Window" not in R.bm25(q, d, 5, block=4, chunk=1000)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nearest_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 5))
