@@ -8,7 +8,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions import numeric as N
 from ..functions import text as T
-from .dedup import blocked
+from .dedup import concerned
 from .similarity import bit_join, set_join, shared_key
 
 BLOCKING = ["provider_source_id", "exact_image_url", "canonical_image_url", "normalized_name", "exact_semantic_metadata", "exact_image_content"]
@@ -25,10 +25,11 @@ def conflicts(records: DataFrame, near: float = 0.82, perceptual: float = 0.08)
     r = records.withColumn("_names", names).withColumn("_row", F.col("pos"))
     flat = r.select("pos", F.explode_outer("_names").alias("n")).withColumn("n", T.full_name(F.col("n"))).groupBy("pos").agg(F.collect_set(F.when(F.col("n") != "", F.col("n"))).alias("strict"))
     flat = flat.withColumn("loose", F.transform("strict", lambda x: T.loose_key(x)))
-    sem = r.select("pos", T.full_name(F.col("message")).alias("m"), T.full_name(F.col("relational_pattern")).alias("p"))
-    sem = sem.select("pos", F.when((F.col("m") != "") | (F.col("p") != ""), F.concat("m", F.lit("|"), "p")).alias("signature"), T.semantic_tokens(F.concat_ws(" ", "m", "p")).alias("tokens"))
-    # names, signatures and tokens are made once and read by every kind
-    r = r.drop("_names", "_row").join(flat, "pos").join(sem, "pos").persist(StorageLevel.DISK_ONLY)
+    whole = ["pos", "id", "scope", "provider", "source_id", "image_url", "sha256", "phash", "dhash"]
+    sem = r.select(*whole, T.full_name(F.col("message")).alias("m"), T.full_name(F.col("relational_pattern")).alias("p"))
+    sem = sem.select(*whole, F.when((F.col("m") != "") | (F.col("p") != ""), F.concat("m", F.lit("|"), "p")).alias("signature"), T.semantic_tokens(F.concat_ws(" ", "m", "p")).alias("tokens"))
+    # names, signatures and tokens are made once and read by every kind; the texts they are made of stay behind
+    r = sem.join(flat, "pos").persist(StorageLevel.DISK_ONLY)
     keyed = [
         ("provider_source_id", F.array(F.when(F.col("source_id") != "", F.concat(F.lower("provider"), F.lit(":"), F.lower("source_id"))))),
         ("exact_image_url", F.array(F.trim("image_url"))),
@@ -60,9 +61,7 @@ def conflicts(records: DataFrame, near: float = 0.82, perceptual: float = 0.08)
 
 
 def audit(records: DataFrame, near: float = 0.82, perceptual: float = 0.08) -> tuple[DataFrame, DataFrame]:
-    """All conflicts, and for each id what follows: blocked, or else to be reviewed."""
-    found = conflicts(records, near, perceptual)
-    places = records.select("id", "pos")
-    stop = blocked(found.where("severity = 'block'"), places)
-    look = blocked(found.where("severity = 'review'"), places).join(stop, "id", "left_anti")
-    return found, stop.withColumn("status", F.lit("blocked")).unionByName(look.withColumn("status", F.lit("review")))
+    """All conflicts, and for each id what follows: blocked, or else to be reviewed. Conflicts are sought once and kept on disk."""
+    found = conflicts(records, near, perceptual).persist(StorageLevel.DISK_ONLY)
+    worst = concerned(found, records.select("id", "pos")).groupBy("id").agg(F.min("severity").alias("s"))
+    return found, worst.select("id", F.when(F.col("s") == "block", "blocked").otherwise("review").alias("status"))

@@ -54,10 +54,15 @@ def suffixed(df: DataFrame, text: str, by: str, pos: str) -> DataFrame:
     return df.withColumn("distinct_text", F.when(n == 1, F.col(text)).otherwise(F.concat(F.regexp_replace(text, "[.!?]+$", ""), F.lit(" ("), F.col(by), F.lit(")."))))
 
 
-def blocked(conflicts: DataFrame, positions: DataFrame) -> DataFrame:
-    """Ids that conflicts block: the target against a reference; of two targets the later."""
+def concerned(conflicts: DataFrame, positions: DataFrame) -> DataFrame:
+    """(id, severity): whom each conflict concerns, the target against a reference; of two targets the later."""
     p = positions.select(F.col("id").alias("left_id"), F.col("pos").alias("lp"))
     q = positions.select(F.col("id").alias("right_id"), F.col("pos").alias("rp"))
     both = conflicts.join(p, "left_id").join(q, "right_id")
     who = F.when(F.col("left_scope") != F.col("right_scope"), F.when(F.col("left_scope") == "target", F.col("left_id")).otherwise(F.col("right_id"))).otherwise(F.when(F.col("lp") > F.col("rp"), F.col("left_id")).otherwise(F.col("right_id")))
-    return both.select(who.alias("id")).distinct()
+    return both.select(who.alias("id"), "severity")
+
+
+def blocked(conflicts: DataFrame, positions: DataFrame) -> DataFrame:
+    """Ids that conflicts block."""
+    return concerned(conflicts.withColumn("severity", F.lit("block")), positions).select("id").distinct()

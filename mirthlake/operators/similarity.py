@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Characters by which aliases are looked up.
 LONGEST_GRAM = 8
+#: Cells in which the tokens of sets are counted.
+CELLS = 1 << 16
 
 
 def shared_key(df: DataFrame, keys: str, kind: str) -> DataFrame:
@@ -31,15 +33,18 @@ def set_join(df: DataFrame, tokens: str, threshold: float, least: int = 1) -> Da
     """(pos_a, pos_b, shared, size_a, size_b): pairs of distinct token sets with Jaccard at least threshold.
 
     Prefix filter: in an order by frequency, two such sets share one of their first n - ceil(t n) + 1 tokens; only
-    these are joined, and sizes must agree within t. Each set brings the parities of its tokens in 64 classes: they
+    these are joined, and sizes must agree within t. Frequencies are counted into a table of CELLS cells by hash, a fixed
+    size that is sent to every task, so tokens aren't shuffled for them; any order gives the same result. Each set brings the parities of its tokens in 64 classes: they
     differ in no more places than the sets do in tokens, so most candidates fall before their tokens are fetched.
     """
     s = df.where(F.size(tokens) >= least).select("pos", F.array_distinct(tokens).alias("tokens"))
     one = F.lit(1).cast("bigint")
     bits = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
     t = s.select("pos", F.size("tokens").alias("n"), bits.alias("bits"), F.explode("tokens").alias("token"))
-    freq = t.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = t.join(freq, "token").withColumn("at", F.row_number().over(Window.partitionBy("pos").orderBy("df", "token")))
+    t = t.select("pos", "n", "bits", F.xxhash64("token").alias("token"))
+    cell = F.col("token").bitwiseAND(CELLS - 1).alias("cell")
+    freq = t.groupBy(cell).agg(F.count("*").alias("df"))
+    ranked = t.withColumn("cell", cell).join(F.broadcast(freq), "cell").withColumn("at", F.row_number().over(Window.partitionBy("pos").orderBy("df", "token")))
     head = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
     a, b = head.select(F.col("pos").alias("pos_a"), F.col("n").alias("size_a"), F.col("bits").alias("ba"), "token"), head.select(F.col("pos").alias("pos_b"), F.col("n").alias("size_b"), F.col("bits").alias("bb"), "token")
     both = F.col("size_a") + F.col("size_b")

@@ -103,9 +103,10 @@ def uniqueness_audit(spark: SparkSession, d: str) -> DataFrame:
     c = once(spark, d, "catalogue", "id", "name", "image_url", "message", "relational_pattern").select("id", F.lit("reference").alias("scope"), "name", F.lit(None).cast("array<string>").alias("aliases"), F.lit("catalogue").alias("provider"), F.col("id").alias("source_id"), "image_url", "message", "relational_pattern")
     r = once(spark, d, "stage_3000_reaction_gif_replacements", "proposed_id", "name", "provider", "source_id", "image_url", "assistive_text").select(F.col("proposed_id").alias("id"), F.lit("target").alias("scope"), "name", F.lit(None).cast("array<string>").alias("aliases"), "provider", "source_id", "image_url", F.col("assistive_text").alias("message"), F.lit(None).cast("string").alias("relational_pattern"))
     # what is known of an image's content: the signs of its vector as a perceptual hash, the vector itself as exact content
-    e = once(spark, d, "stage_3000_local_signals", "id", "embedding").where(F.size("embedding") == 64)
-    bits = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1) + F.when(x > 0, 1).otherwise(0))
-    e = e.select("id", F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256).alias("sha256"), F.lower(F.lpad(F.hex(bits), 16, "0")).alias("phash"))
+    # both are taken before redelivered rows become one, so vectors aren't shuffled; null for vectors of another length
+    whole = F.when(F.size("embedding") == 64, F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256))
+    e = t(spark, d, "stage_3000_local_signals").select("id", whole.alias("sha256"), F.lower(F.lpad(F.hex(_signs()), 16, "0")).alias("phash"), "ingested_at")
+    e = D.latest(e, ["id"], "ingested_at", "id").drop("ingested_at")
     all_ = c.unionByName(r).join(e, "id", "left").withColumn("pos", F.xxhash64("id")).withColumn("dhash", F.lit(None).cast("string"))
     found, status = A.audit(all_)
     pairs = found.groupBy("kind", "severity").agg(F.count("*").alias("n"), F.count_distinct("left_id").alias("n_left"), F.count_distinct("right_id").alias("n_right"))

@@ -58,6 +58,17 @@ def test_bm25_pieces(spark):
     assert "Window" not in R.bm25(q, d, 5, block=4, chunk=1000)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_audit_seeks_conflicts_once(spark):
+    kinds = "pos bigint, id string, scope string, name string, aliases array<string>, provider string, source_id string, image_url string, message string, relational_pattern string, sha256 string, phash string, dhash string"
+    rows = [(1, "r1", "reference", "One Cat", None, "p", "1", "u1", None, None, None, None, None), (2, "t1", "target", "one cat", None, "p", "2", "u2", None, None, None, "00000000000000ff", None), (3, "t2", "target", "Other", None, "p", "3", "u3", None, None, None, "00000000000000fe", None), (4, "t3", "target", "Third", None, "p", "4", "u4", None, None, None, None, None), (5, "t4", "target", "one cat", None, "p", "5", "u5", None, None, None, "00000000000000fc", None)]
+    found, status = A.audit(spark.createDataFrame(rows, kinds))
+    assert {tuple(r) for r in status.collect()} == {("t1", "blocked"), ("t4", "blocked"), ("t2", "review")}
+    assert found.where("kind = 'perceptual_image'").count() == 3
+    # what follows from the conflicts is read from the ones found, not sought again
+    plan = status._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan and "Generate" not in plan.split("InMemoryRelation")[0]
+
+
 def test_nearest_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 5))
