@@ -22,47 +22,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from .graph import components
+from .graph import components, settled
 from .text import as_word_sets, lists_of
 
 BASE, RATE, BANDS, ROWS = 1.2, 20.0, 144, 6
 REGISTERS = BANDS * ROWS
+#: Rounds of bands, at most.
+ROUNDS = 8
+
+
+def registers(ws: np.ndarray, low: int = 0, high: int = REGISTERS) -> np.ndarray:
+    """Registers low to high of sets of one word: a row a word."""
+    out = np.empty((len(ws), high - low), np.uint8)
+    for at in range(0, len(ws), 8192):
+        with np.errstate(over="ignore"):
+            x = ws[at : at + 8192].view(np.uint64)[:, None] + np.arange(low + 1, high + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        u = ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+        out[at : at + 8192] = np.clip(np.floor(1 - np.log(-np.log(u) / RATE) / np.log(BASE)), 0, 255)
+    return out
 
 
 def word_registers(h: int) -> np.ndarray:
     """The registers of a set of one word."""
-    with np.errstate(over="ignore"):
-        x = np.uint64(h & 0xFFFFFFFFFFFFFFFF) + np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    u = ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-    return np.clip(np.floor(1 - np.log(-np.log(u) / RATE) / np.log(BASE)), 0, 255).astype(np.uint8)
+    return registers(np.array([h & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]
 
 
-class Sketcher:
-    """Registers of word sets; those of single words are kept up to a bound."""
+def sketches(sets: list[np.ndarray], low: int = 0, high: int = REGISTERS, most: int = 1 << 16) -> np.ndarray:
+    """Registers low to high of word sets, none empty: a row a set. Words are taken most at a time, however long a set is."""
+    out = np.zeros((len(sets), high - low), np.uint8)
+    starts = np.r_[0, np.cumsum([len(w) for w in sets])]
+    values = np.concatenate(sets) if len(sets) else np.empty(0, np.int64)
+    for at in range(0, len(values), most):
+        known, place = np.unique(values[at : at + most], return_inverse=True)
+        first, last = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, min(at + most, len(values)), "left")
+        top = np.maximum.reduceat(registers(known, low, high)[place], np.maximum(starts[first:last] - at, 0), axis=0)
+        out[first:last] = np.maximum(out[first:last], top)
+    return out
 
-    def __init__(self, most: int = 20_000) -> None:
-        self.most, self.at, self.rows = most, {}, np.empty((256, REGISTERS), np.uint8)
+
+class Sketcher:
+    """All registers of a word set."""
 
     def __call__(self, ws: np.ndarray) -> np.ndarray:
-        out = None
-        for at in range(0, len(ws), self.most):
-            part = self._some(ws[at : at + self.most])
-            out = part if out is None else np.maximum(out, part)
-        return out
-
-    def _some(self, ws: np.ndarray) -> np.ndarray:
-        new = [h for h in ws.tolist() if h not in self.at]
-        if len(self.at) + len(new) > self.most:
-            self.at, new = {}, ws.tolist()
-        while len(self.at) + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        for h in new:
-            self.rows[len(self.at)] = word_registers(h)
-            self.at[h] = len(self.at)
-        return self.rows[[self.at[h] for h in ws.tolist()]].max(axis=0)
+        return sketches([ws])[0]
 
 
 def estimate(more: np.ndarray, less: np.ndarray, m: np.ndarray, n: np.ndarray, total: int = REGISTERS) -> np.ndarray:
@@ -79,49 +84,83 @@ def estimate(more: np.ndarray, less: np.ndarray, m: np.ndarray, n: np.ndarray, t
     return grid[np.arange(len(m)), score.argmax(axis=1)]
 
 
-def similar_classes(classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(a, b), a < b: ids of classes (cid, ws) whose likeness is the threshold or more."""
+def pairs_of_keys(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(a, b), a < b, of rows (key, cid, n, bits, more) sorted by key: those of one key whose sizes and parities allow the likeness."""
+    names = ["key", "cid", "n", "bits", "more"]
+
+    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, cid, n = columns[:3]
+        bits, more = [x.view(np.uint64) for x in columns[3:]]
+        for low in range(0, len(key), most):
+            at, step = np.arange(low, min(low + most, len(key))), 0
+            while len(at):
+                step += 1
+                at = at[at + step < len(key)]
+                at = at[key[at] == key[at + step]]
+                to = at + step
+                m = n[at].astype(np.int64) + n[to]
+                apart = m - 2 * -(-num * m // (num + den))
+                good = (np.abs(n[at] - n[to]) <= apart) & (cid[at] != cid[to])
+                good &= (np.bitwise_count(bits[at] ^ bits[to]) <= apart) & (np.bitwise_count(more[at] ^ more[to]) <= apart)
+                if good.any():
+                    x, y = cid[at[good]], cid[to[good]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([b.column(c).to_numpy() for c in names])
+        # whole keys go on; the last one may continue in the next batch
+        if sum(len(h[0]) for h in held) >= 100_000 and held[-1][0][0] != held[-1][0][-1]:
+            own = [np.concatenate(x) for x in zip(*held)]
+            end = int(np.searchsorted(own[0], own[0][-1]))
+            yield from found([x[:end] for x in own])
+            held = [[x[end:] for x in own]]
+    if held:
+        yield from found([np.concatenate(x) for x in zip(*held)])
+
+
+def similar_classes(classes: DataFrame, threshold: tuple[int, int], rounds: int | None = None) -> DataFrame:
+    """(a, b), a < b: ids of classes (cid, ws) whose likeness is the threshold or more.
+
+    Bands are taken in rounds, each with its registers only, so that no more than a part of the keys is on disk at once.
+    Nothing here may be broadcast: what Spark knows of the sizes of word sets is the size of compressed files.
+    """
     num, den = threshold
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, one = Sketcher(), np.uint64(1)
-        for b in batches:
-            ws = lists_of(b.column("ws"))
-            bits = np.array([np.bitwise_xor.reduce(one << (w.view(np.uint64) >> np.uint64(58))) for w in ws], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(np.array([len(w) for w in ws], np.int32)), pa.array(bits, pa.int64()), pa.array([make(w).tobytes() for w in ws], pa.binary())], names=["cid", "n", "bits", "registers"])
-
-    sketches = classes.select("cid", "ws").mapInArrow(sketch, "cid bigint, n int, bits bigint, registers binary").persist(StorageLevel.DISK_ONLY)
-
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power = np.int64(256) ** np.arange(ROWS, dtype=np.int64)
-        tops = np.arange(BANDS, dtype=np.int64) << np.int64(8 * ROWS)
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                r = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS).astype(np.int64)
-                take = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(((r * power).sum(axis=2) + tops).ravel()), *[part.column(c).take(take) for c in ("cid", "n", "bits")]], names=["key", "cid", "n", "bits"])
-
-    keys = sketches.select("cid", "n", "bits", "registers").mapInArrow(bands, "key bigint, cid bigint, n int, bits bigint")
-    l, r = keys.toDF("key", "a", "m", "ab"), keys.toDF("key", "b", "n", "bb")
-    most = F.col("m") + F.col("n") - 2 * F.ceil(F.lit(num) * (F.col("m") + F.col("n")) / F.lit(num + den))
-    cand = l.join(r.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ab").bitwiseXOR(F.col("bb"))) <= most)).select("a", "b").distinct()
-    s = sketches.select("cid", "n", "registers")
-    cand = cand.join(s.toDF("a", "m", "ra"), "a").join(s.toDF("b", "n", "rb"), "b")
-    least = num / den - 5 * (num / den * (1 - num / den) / REGISTERS) ** 0.5
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                x, y = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("ra", "rb")]
-                m, n = [part.column(c).to_numpy().astype(float) for c in ("m", "n")]
-                mask = pa.array(estimate((x > y).sum(axis=1), (x < y).sum(axis=1), m, n) >= least)
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], names=["a", "b"])
-
-    pairs = cand.mapInArrow(likely, "a bigint, b bigint")
+    if rounds is None:
+        rounds = min(ROUNDS, 1 + classes.count() // 25_000)
+    bounds = [BANDS * i // rounds for i in range(rounds + 1)]
+
+    def bands(first: int, last: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            power = np.int64(256) ** np.arange(ROWS, dtype=np.int64)
+            tops = np.arange(first, last, dtype=np.int64) << np.int64(8 * ROWS)
+            one = np.uint64(1)
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    ws = lists_of(part.column("ws"))
+                    r = sketches(ws, first * ROWS, last * ROWS).reshape(-1, last - first, ROWS).astype(np.int64)
+                    starts = np.r_[0, np.cumsum([len(w) for w in ws])[:-1]]
+                    words = np.concatenate(ws).view(np.uint64)
+                    bits, more = [np.bitwise_xor.reduceat(one << (words >> np.uint64(s) & np.uint64(63)), starts).view(np.int64) for s in (58, 52)]
+                    take = np.repeat(np.arange(len(ws)), last - first)
+                    n = np.array([len(w) for w in ws], np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(((r * power).sum(axis=2) + tops).ravel()), part.column("cid").take(pa.array(take)), pa.array(n[take]), pa.array(bits[take]), pa.array(more[take])], names=["key", "cid", "n", "bits", "more"])
+
+        return run
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pairs_of_keys(batches, num, den)
+
+    cand = None
+    for first, last in zip(bounds, bounds[1:]):
+        keys = classes.select("cid", "ws").mapInArrow(bands(first, last), "key bigint, cid bigint, n int, bits bigint, more bigint")
+        some = settled(keys.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a bigint, b bigint").distinct())
+        cand = some if cand is None else cand.unionAll(some)
     w = classes.select("cid", "ws")
-    both = pairs.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b")
+    both = cand.distinct().join(w.toDF("a", "wa").hint("merge"), "a").join(w.toDF("b", "wb").hint("merge"), "b")
     same = F.size(F.array_intersect("wa", "wb"))
     return both.where(den * same >= num * (F.size("wa") + F.size("wb") - same)).select("a", "b")
 
@@ -142,7 +181,7 @@ def near_duplicate_pairs(df: DataFrame, key: str, texts: list[str], threshold: t
     found = similar_classes(classes, threshold)
     links = found.unionAll(classes.select(F.col("cid"), F.col("cid")))
     members = sets.select("cid", "id").distinct()
-    pairs = links.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").where("x <> y")
+    pairs = links.join(members.toDF("a", "x").hint("merge"), "a").join(members.toDF("b", "y").hint("merge"), "b").where("x <> y")
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
@@ -158,9 +197,9 @@ def near_duplicate_groups(df: DataFrame, key: str, texts: list[str], threshold:
     links = found.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
     members = sets.select("cid", "id").distinct()
     per = members.groupBy("cid").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"))
-    per = per.join(roots.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    per = per.join(roots.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").join(links.hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = per.groupBy("root").agg(F.min("first").alias("group_id"))
-    per = per.join(names, "root").select("cid", "group_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = members.join(per, "cid").select("id", "group_id", "n_copies", "n_links")
+    per = per.join(names.hint("merge"), "root").select("cid", "group_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = members.join(per.hint("merge"), "cid").select("id", "group_id", "n_copies", "n_links")
     alone = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct().join(members.select("id"), "id", "left_anti")
     return out.unionByName(alone.select("id", F.col("id").alias("group_id"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links")))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from mirthlake.llm import near_duplicates as D
 from mirthlake.llm.graph import components
@@ -75,3 +76,36 @@ def test_groups_hold_the_pairs(spark, tmp_path):
     spark.createDataFrame([(i, x, None, None, None) for i, x in texts], spec).write.parquet(f"{tmp_path}/catalogue.parquet")
     assert [tuple(r) for r in Q.p2_found(spark, str(tmp_path)).collect()] == [("a", "b")]
     assert {(r["id"], r["group_id"], r["n_links"]) for r in Q.p2_groups(spark, str(tmp_path)).collect()} == {("a", "a", 1), ("b", "a", 1), ("c", "c", 0)}
+
+
+def test_word_sets_are_never_broadcast(spark, tmp_path):
+    """Sizes known from compressed files say nothing of the word sets; with a threshold of 1 GB, all would go to the driver."""
+    rows = [(f"r{i}", " ".join(f"w{i % 40 * 50 + j}" for j in range(30)), f"x{i}") for i in range(120)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/t.parquet")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1g")
+    try:
+        df = D.near_duplicate_pairs(spark.read.parquet(f"{tmp_path}/t.parquet"), "id", ["a", "b"])
+        assert df.count() == 120 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_rounds_find_the_same(spark):
+    rng = random.Random(4)
+    rows = [(f"r{i}-{c}", " ".join(f"w{i * 40 + j}" if rng.random() > 0.1 else f"n{rng.randrange(9999)}" for j in range(40)), None) for i in range(30) for c in range(3)]
+    _, classes = D._sets(frame(spark, rows), "id", ["a", "b"])
+    pairs = [{tuple(r) for r in D.similar_classes(classes, (3, 5), rounds=n).collect()} for n in (1, 5)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 60
+
+
+def test_long_sets_and_long_runs_of_one_key():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(-(2**62), 2**62, n)) for n in (5, 300, 1, 120)]
+    whole = np.array([np.max([D.word_registers(int(w)) for w in ws], axis=0) for ws in sets])
+    assert (D.sketches(sets, most=64) == whole).all() and (D.sketches(sets, 12, 30) == whole[:, 12:30]).all()
+    n = 70
+    batch = pa.RecordBatch.from_arrays([pa.array([1] + [7] * n + [9, 9]), pa.array(range(n + 3)), pa.array([10] * (n + 3), pa.int32()), pa.array([0] * (n + 2) + [-1]), pa.array([0] * (n + 3))], names=["key", "cid", "n", "bits", "more"])
+    got = {p for b in D.pairs_of_keys(iter([batch.slice(0, 30), batch.slice(30)]), 3, 5, most=16) for p in zip(*(b.column(c).to_pylist() for c in "ab"))}
+    assert got == {(i, j) for i in range(1, n + 1) for j in range(i + 1, n + 1)}
