@@ -4,12 +4,13 @@ Register i of a set of words is the greatest of floor(1 - log_b(h)) over its wor
 exponential hash value: a minimum on an exponential scale, truncated to one byte. Registers of a union are the
 greater of each pair, and two sets agree in a register with a chance close to their likeness. ROWS registers make a
 band; sets that agree in a whole band are candidates. With 144 bands of 6, a pair of likeness 0.6 is missed with a
-chance of 0.1 %, one of 0.7 with 1 in 10^8. A candidate's likeness is then estimated by maximum likelihood from how
-many registers are equal, greater and smaller (with the known set sizes), and what may reach the threshold is
-verified on the words.
+chance of 0.1 %, one of 0.7 with 1 in 10^8. Bands are taken in
+rounds; each makes the registers it needs from the words, so that sketches are never kept, and leaves its candidates.
 
-Equal word sets are one class while candidates are sought. A candidate must also pass a filter that loses nothing: of
-64 classes of words the parities may differ in at most as many places as the sets differ in words.
+Equal word sets are one class while candidates are sought. A candidate must also pass filters that lose nothing: the
+sizes, and of two divisions of words into 64 classes the parities, which may differ in at most as many places as the
+sets differ in words. What is left is verified on the words. estimate() gives the likeness by maximum likelihood from
+how many registers are equal, greater and smaller, where sketches are all there is.
 """
 
 from __future__ import annotations
