@@ -39,11 +39,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from .graph import settled
 from .text import lists_of
 
 TREES, CANDIDATES, SAMPLE, PIECE = 20, 6000, 8192, 250_000
 #: Bits of a hash string; with a tree's number before them they fill a signed long.
 BITS = 56
+#: Trees that are searched together, and rounds in which pairs get their vectors: what either brings to disk is removed before the next.
+TOGETHER, ROUNDS = 5, 8
+#: Vectors below which all trees are searched at once; of as many, pairs get their vectors in one more round.
+FEWEST = 25_000
 #: Sampled vectors at which the fitted part of a tree ends.
 FEW = 8
 
@@ -141,8 +146,8 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, size: int
             x = [v.tobytes() for v in x[good]]
             yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(good)), pa.array([xxhash.xxh3_64_intdigest(v) - (1 << 63) for v in x], pa.int64()), pa.array(x, pa.binary())], names=["id", "cid", "x"])
 
-    units = rows.mapInArrow(valid, f"id {kind}, cid bigint, x binary").persist(StorageLevel.DISK_ONLY)
-    classes = units.groupBy("cid").agg(F.min_by("x", "id").alias("x"), F.count("*").alias("copies")).persist(StorageLevel.DISK_ONLY)
+    units = settled(rows.mapInArrow(valid, f"id {kind}, cid bigint, x binary"))
+    classes = settled(units.groupBy("cid").agg(F.min_by("x", "id").alias("x"), F.count("*").alias("copies")))
     n = classes.count()
     # small arrays are cut finer, so that every core has a piece
     pieces = max(2, -(-n * trees // piece), min(spark.sparkContext.defaultParallelism, n * trees // 25_000))
@@ -204,7 +209,7 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, size: int
     block = F.pmod("cid", F.lit(blocks)).alias("block")
     indexed = classes.select("cid", "x").mapInArrow(index, "cid bigint, code binary, keys array<bigint>").persist(StorageLevel.DISK_ONLY)
     array = indexed.select(F.explode("keys").alias("key"), "cid").repartitionByRange(pieces, "key", "cid").sortWithinPartitions("key", "cid")
-    lengths = array.mapInArrow(descend, "cid bigint, profile binary").groupBy(block).applyInArrow(ascend, "cid bigint, length int")
+    lengths = settled(array.mapInArrow(descend, "cid bigint, profile binary").groupBy(block).applyInArrow(ascend, "cid bigint, length int"))
 
     few = k + 2  # two to spare for what half precision may confuse
 
@@ -236,9 +241,6 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, size: int
             offsets = pa.array(np.r_[0, np.cumsum(real.sum(axis=1))].astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(cid[at:end]), pa.ListArray.from_arrays(offsets, pa.array(cid[lo + best][real])), pa.ListArray.from_arrays(offsets, pa.array(s[real]))], names=["cid", "others", "sims"])
 
-    array = indexed.join(lengths, "cid").select(F.explode("keys").alias("key"), "cid", "length", "code").repartitionByRange(pieces, "key", "cid").sortWithinPartitions("key", "cid")
-    found = array.mapInArrow(search, "cid bigint, others array<bigint>, sims array<float>")
-
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cid, other, sim = [], [], []
         for b in batches:
@@ -256,16 +258,28 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, size: int
         cid, other = cid[order], other[order]
         start = np.maximum.accumulate(np.where(np.r_[True, cid[1:] != cid[:-1]][: len(cid)], np.arange(len(cid)), 0))
         keep = np.arange(len(cid)) - start < few
-        a, b = np.minimum(cid[keep], other[keep]), np.maximum(cid[keep], other[keep])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    near = found.where(F.size("others") > 0).groupBy(block).applyInArrow(merge, "a bigint, b bigint").distinct()
+        cid, other, sim = cid[keep], other[keep], sim[order][keep]
+        first = np.flatnonzero(np.r_[True, cid[1:] != cid[:-1]][: len(cid)])
+        offsets = pa.array(np.r_[first, len(cid)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(cid[first]), pa.ListArray.from_arrays(offsets, pa.array(other)), pa.ListArray.from_arrays(offsets, pa.array(sim))], names=["cid", "others", "sims"])
+
+    # a few trees at a time; each time the best of each vector so far are merged with those of the new trees
+    spec = "cid bigint, others array<bigint>, sims array<float>"
+    best = None
+    together = trees if n < FEWEST else TOGETHER
+    for t in range(0, trees, together):
+        some = min(together, trees - t)
+        own = pieces if some == trees else max(2, -(-n * some // piece), min(spark.sparkContext.defaultParallelism, some))
+        keyed = indexed.select("cid", "code", F.slice("keys", t + 1, some).alias("keys")).join(lengths.hint("merge"), "cid")
+        array = keyed.select(F.explode("keys").alias("key"), "cid", "length", "code").repartitionByRange(own, "key", "cid").sortWithinPartitions("key", "cid")
+        found = array.mapInArrow(search, spec).where(F.size("others") > 0)
+        best = settled((found if best is None else best.unionAll(found)).groupBy(block).applyInArrow(merge, spec))
+    other = F.explode("others").alias("other")
+    near = settled(best.select("cid", other).select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct())
     # each class brings its k+1 least ids: no more can be among anyone's k nearest
     ranked = units.select("cid", "id").withColumn("at", F.row_number().over(_window("cid", "id"))).where(F.col("at") <= k + 1)
     heads = ranked.groupBy("cid").agg(F.collect_list("id").alias("ids"))
     vectors = classes.select("cid", "x")
-    linked = near.join(vectors.toDF("a", "x"), "a").join(vectors.toDF("b", "y"), "b")
-
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = [_matrix(b.column(c), raw, size).astype(np.float64) for c in ("x", "y")]
@@ -273,13 +287,19 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, size: int
             s = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(np.round(s, 9))], names=["a", "b", "cosine"])
 
-    links = linked.select("a", "b", "x", "y").mapInArrow(cosines, "a bigint, b bigint, cosine double")
+    links = None
+    rounds = min(ROUNDS, 1 + n // FEWEST)
+    for turn in range(rounds):
+        some = near.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == turn)
+        linked = some.join(vectors.toDF("a", "x").hint("merge"), "a").join(vectors.toDF("b", "y").hint("merge"), "b")
+        some = settled(linked.select("a", "b", "x", "y").mapInArrow(cosines, "a bigint, b bigint, cosine double"))
+        links = some if links is None else links.unionAll(some)
     links = links.select("cosine", F.inline(F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("other")), F.struct(F.col("b").alias("cid"), F.col("a").alias("other"))))).select("cid", "other", "cosine")
     own = classes.where("copies > 1").select("cid", F.col("cid").alias("other"), F.lit(1.0).alias("cosine"))
     spread = links.unionAll(own).join(heads.toDF("other", "ids"), "other").select("cid", "cosine", F.explode("ids").alias("other"))
     # the k+1 best of a class serve all of its members: each leaves itself out
-    best = spread.withColumn("at", F.row_number().over(_window("cid", F.desc("cosine"), "other"))).where(F.col("at") <= k + 1).select("cid", "other", "cosine")
-    pairs = units.select("cid", "id").join(best, "cid").where("id <> other")
+    top = settled(spread.withColumn("at", F.row_number().over(_window("cid", F.desc("cosine"), "other"))).where(F.col("at") <= k + 1).select("cid", "other", "cosine"))
+    pairs = units.select("cid", "id").join(top, "cid").where("id <> other")
     return pairs.withColumn("rank", F.row_number().over(_window("id", F.desc("cosine"), "other"))).where(F.col("rank") <= k).select("id", "other", "rank", "cosine")
 
 

@@ -68,3 +68,18 @@ def test_strings_and_runs():
         a, b = N.runs(keys, length)
         same = keys >> np.int64(N.BITS - length)
         assert all((same[a[i] : b[i]] == same[i]).all() and (same == same[i]).sum() == b[i] - a[i] for i in range(0, 500, 37))
+
+
+def test_trees_are_searched_a_few_at_a_time(spark, monkeypatch):
+    """Each group of trees is a checkpoint of its own and brings no vector to the driver; the merged best are as good as those of all trees."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 8)).astype(np.float32)
+    ids = [f"v{i:05}" for i in range(len(x))]
+    seen = []
+    real = N.settled
+    monkeypatch.setattr(N, "settled", lambda df: seen.append((df.columns, df)) or real(df))
+    monkeypatch.setattr(N, "FEWEST", 100)
+    got = {(r["id"], r["other"]) for r in N.nearest_vectors(frame(spark, zip(ids, x)), "id", "v", size=8, trees=12, candidates=500).collect()}
+    want = N.brute_force(x.astype(float), ids, 10)
+    assert len(got) == len(want) and len(got & want) >= 0.93 * len(want)
+    assert sum("sims" in columns for columns, _ in seen) == 3
