@@ -16,6 +16,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions import numeric as N
 from ..functions import patterns as P
 from ..functions.text import lexical_tokens
+from .postings import Postings
 
 
 def top_k(df: DataFrame, by: list[str], k: int, *order: Column, rank: str = "rank") -> DataFrame:
@@ -48,11 +49,13 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = QUERIES,
 
     A query's words count once, a document's as often as they stand; scores above 0 only. Documents are indexed once, in
     pieces: for each word the documents that have it, with how often and how long they are. How many documents have a
-    word is added up over the pieces. A task adds up the postings of one block of queries, piece after piece; what can't
-    reach the k best so far is left at once, and k rows a query leave the task. Only where there are several chunks of
+    word is added up over the pieces. A task searches all its pieces together for one block of queries (postings.py), and
+    k rows a query leave the task. Only where there are several chunks of
     documents, or queries too few for all cores, are these ranked again.
     """
-    n_docs, n_queries = docs.count(), queries.count()
+    hashes = lambda c: F.transform(lexical_tokens(c), lambda w: F.xxhash64(w))
+    asking = queries.select("query_id", F.array_distinct(hashes(F.col("text"))).alias("words")).persist(StorageLevel.DISK_ONLY)
+    n_docs, n_queries = docs.count(), asking.count()
     cores = docs.sparkSession.sparkContext.defaultParallelism
     n_pieces = max(1, -(-n_docs // piece), min(cores, n_docs // 8192))
     nq = max(1, -(-n_queries // block), min(cores, n_queries // 2048))
@@ -82,12 +85,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = QUERIES,
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             yield pa.RecordBatch.from_arrays([pa.array([no + low // 65_536], pa.int32()), pa.array([total]), one(pa.array(w[starts])), one(pa.array(np.diff(np.r_[starts, len(w)]))), pa.array([postings], pa.binary()), one(ids.dictionary.slice(low, high - low))], names=["no", "total", "words", "counts", "postings", "ids"])
 
-    hashes = lambda c: F.transform(lexical_tokens(c), lambda w: F.xxhash64(w))
     d = docs.select("id", hashes(F.col("text")).alias("words"), F.pmod(F.xxhash64("id"), F.lit(n_pieces)).cast("int").alias("p"))
     pieces = d.repartitionById(n_pieces, F.col("p")).mapInArrow(index, f"no int, total bigint, words array<bigint>, counts array<bigint>, postings binary, ids array<{other}>").persist(StorageLevel.DISK_ONLY)
     mean = (pieces.agg(F.sum("total")).first()[0] or 0) / max(n_docs, 1) or 1.0
     df = pieces.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("df"))
-    q = queries.select("query_id", F.array_distinct(hashes(F.col("text"))).alias("words"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb")).where(F.size("words") > 0)
+    q = asking.select("query_id", "words", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb")).where(F.size("words") > 0)
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = q.select("qb", F.explode("words").alias("word")).distinct().join(df, "word")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -118,45 +120,22 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = QUERIES,
             texts[i] = place(ws).tolist() if not texts[i] else sorted({*texts[i], *place(ws).tolist()})
         # documents are numbered in the order of their ids, so equal scores go by number
         ids = pa.concat_arrays([p.column("ids").flatten() for p in parts])
-        by_id = pc.array_sort_indices(ids, null_placement="at_start").to_numpy().astype(np.int64)
         number = np.empty(len(ids), np.int64)
-        number[by_id] = np.arange(len(ids))
-        best_at, best = [np.empty(0, np.int64)] * len(texts), [np.empty(0)] * len(texts)
-        begin, nothing = 0, np.empty(0, np.int64)
+        number[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        pieces = []
         for p in parts:
             words, counts = [np.asarray(p.column(c).flatten()) for c in ("words", "counts")]
-            at, code, tf, n = pickle.loads(p.column("postings")[0].as_py())
-            size = len(p.column("ids")[0])
-            mine, begin = number[begin : begin + size], begin + size
-            factor = tf * (P.BM25_K1 + 1) / (tf + P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * n / mean))
             here = place(words)
-            known_here = vocabulary[here] == words
-            at, score = at.astype(np.int64), np.repeat(np.where(known_here, idf[here], 0), counts) * factor[code]
-            ends = np.cumsum(counts)
-            found, weigh = [nothing] * len(vocabulary), [nothing] * len(vocabulary)
-            for i in np.flatnonzero(known_here).tolist():
-                found[here[i]], weigh[here[i]] = at[ends[i] - counts[i] : ends[i]], score[ends[i] - counts[i] : ends[i]]
-            for i, ws in enumerate(texts):
-                if not ws:
-                    continue
-                s = np.bincount(np.concatenate([found[w] for w in ws]), np.concatenate([weigh[w] for w in ws]), size)
-                least = best[i][-1] - 1e-6 if len(best[i]) == k else 1e-7
-                hits = np.flatnonzero(s >= least)
-                if not len(hits):
-                    continue
-                v = s[hits]
-                if len(hits) > 4 * k:  # a bound for the rest: rounding may make two scores one
-                    some = v >= np.partition(v, len(v) - k)[len(v) - k] - 1e-6
-                    hits, v = hits[some], v[some]
-                v = np.floor(v * 1e6 + 0.5) / 1e6
-                v, hits = np.r_[best[i], v[v > 0]], np.r_[best_at[i], mine[hits[v > 0]]]
-                order = np.lexsort((hits, -v))[:k]
-                best[i], best_at[i] = v[order], hits[order]
+            pieces.append((np.where(vocabulary[here] == words, here, -1), counts, *pickle.loads(p.column("postings")[0].as_py()), len(p.column("ids")[0])))
+        parts.clear()
+        found = Postings(pieces, len(vocabulary), mean)
+        pieces.clear()
+        best_at, best = zip(*found.search(texts, idf, number, k))
         for low in range(0, len(texts), 4096):
             some = range(low, min(low + 4096, len(texts)))
             take = np.repeat(np.arange(low, some.stop), [len(best[i]) for i in some])
             rank = np.concatenate([np.arange(1, len(best[i]) + 1) for i in some])
-            at, score = by_id[np.concatenate([best_at[i] for i in some])], np.concatenate([best[i] for i in some])
+            at, score = np.concatenate([best_at[i] for i in some]), np.concatenate([best[i] for i in some])
             yield pa.RecordBatch.from_arrays([owns.dictionary.take(pa.array(take)), ids.take(pa.array(at)), pa.array(score), pa.array(rank.astype(np.int32))], names=["query_id", "id", "score", "rank"])
 
     scored = asked.unionAll(known).unionAll(parts).repartitionById(nq * nc, F.col("cell")).drop("cell").mapInArrow(add, f"query_id {own}, id {other}, score double, rank int")
@@ -216,7 +195,8 @@ def nearest_views(queries: DataFrame, corpus: DataFrame, views: dict[str, tuple[
 
 def fuse(lists: DataFrame, k: int = 30, constant: int = P.RRF_CONSTANT) -> DataFrame:
     """(query_id, id, rrf, best_rank, best_score, rank) from ranked lists (query_id, list, id, rank, score)."""
-    g = lists.groupBy("query_id", "id").agg(N.rounded(F.sum(1 / (F.lit(float(constant)) + F.col("rank"))), 9).alias("rrf"), F.min("rank").alias("best_rank"), F.max("score").alias("best_score"))
+    # all rows of a query come together once, for its sums and for its ranks
+    g = lists.repartition("query_id").groupBy("query_id", "id").agg(N.rounded(F.sum(1 / (F.lit(float(constant)) + F.col("rank"))), 9).alias("rrf"), F.min("rank").alias("best_rank"), F.max("score").alias("best_score"))
     return top_k(g, ["query_id"], k, F.desc("rrf"), F.col("best_rank"), F.desc("best_score"), F.col("id"))
 
 

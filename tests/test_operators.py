@@ -13,6 +13,7 @@ from mirthlake.operators import catalogue as C
 from mirthlake.operators import dedup as D
 from mirthlake.operators import graph, quality, similarity
 from mirthlake.operators import metrics as M
+from mirthlake.operators import postings as X
 from mirthlake.operators import ranking as K
 from mirthlake.operators import retrieval as R
 
@@ -58,6 +59,47 @@ def test_bm25_pieces(spark):
     assert "Window" not in R.bm25(q, d, 5, block=4, chunk=1000)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_postings_look_few_documents_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    n_docs, n_words, k, looked = 70_000, 700, 10, []
+    chance = np.r_[np.full(50, 8), np.full(350, 3), np.full(300, 0.01)]
+    lens = rng.integers(5, 40, n_docs)
+    doc, word = np.repeat(np.arange(n_docs), lens), rng.choice(n_words, lens.sum(), p=chance / chance.sum())
+    long = lens[doc] + (doc == 7) * (np.arange(len(doc)) % 2)  # a document that came with two texts
+    kinds, tf = np.unique(np.stack([word, doc, long]), axis=1, return_counts=True)
+    word, doc, long = kinds
+    parts = []
+    for low in (0, 40_000):
+        mine = (doc >= low) & (doc < low + 40_000)
+        first = np.flatnonzero(np.r_[True, np.diff(word[mine]) != 0])
+        codes, code = np.unique(tf[mine] << 32 | long[mine], return_inverse=True)
+        words = word[mine][first]
+        parts.append((np.where(words == 60, -1, words), np.diff(np.r_[first, mine.sum()]), (doc[mine] - low).astype(np.uint16), code, codes >> 32, codes & 0xFFFFFFFF, min(40_000, n_docs - low)))
+    df, mean, number = np.bincount(word, minlength=n_words), lens.mean(), rng.permutation(n_docs)
+    idf = np.where(np.arange(n_words) == 60, 0, np.log(1 + (n_docs - df + 0.5) / (df + 0.5)))
+    texts = [rng.choice(np.delete(np.arange(n_words), 60), n, replace=False).tolist() for n in [20] * 25 + [1, 2, 0, 300]] + [[690], [695, 696]]
+    found = X.Postings(parts, n_words, mean)
+    places = X.places
+    monkeypatch.setattr(X, "places", lambda mask: (looked.append(x := places(mask)), x)[1])
+    got = list(found.search(texts, idf, number, k))
+    few = sum(map(len, looked))
+    for ws, (docs, score) in zip(texts, got):
+        mine = np.isin(word, ws)
+        s = np.bincount(doc[mine], idf[word[mine]] * tf[mine] * 2.2 / (tf[mine] + 1.2 * (0.25 + 0.75 * long[mine] / mean)), n_docs)
+        s = np.floor(s * 1e6 + 0.5) / 1e6
+        want = [i for i in np.lexsort((number, -s))[:k] if s[i] > 0]
+        assert docs.tolist() == want and np.allclose(score, s[want], atol=1e-9)
+    # few of the documents that have a word asked for are looked up
+    assert few < 0.1 * len(texts) * n_docs
+
+
+def test_fuse_shuffles_once(spark):
+    lists = spark.createDataFrame([(1, "m", "a", 1, 2.0), (1, "e", "a", 2, 1.0), (1, "e", "b", 1, 3.0)], "query_id int, list string, id string, rank int, score double")
+    got = R.fuse(lists, 2)
+    assert [tuple(r)[:2] for r in got.orderBy("rank").collect()] == [(1, "a"), (1, "b")]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_audit_seeks_conflicts_once(spark):
     kinds = "pos bigint, id string, scope string, name string, aliases array<string>, provider string, source_id string, image_url string, message string, relational_pattern string, sha256 string, phash string, dhash string"
     rows = [(1, "r1", "reference", "One Cat", None, "p", "1", "u1", None, None, None, None, None), (2, "t1", "target", "one cat", None, "p", "2", "u2", None, None, None, "00000000000000ff", None), (3, "t2", "target", "Other", None, "p", "3", "u3", None, None, None, "00000000000000fe", None), (4, "t3", "target", "Third", None, "p", "4", "u4", None, None, None, None, None), (5, "t4", "target", "one cat", None, "p", "5", "u5", None, None, None, "00000000000000fc", None)]
