@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,7 +81,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = QUERIES,
             tf, w, d, n = np.diff(np.r_[first, len(w)]), w[first], d[first], n[first]
             kinds, code = np.unique(tf << 32 | n, return_inverse=True)
             starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)])
-            postings = pickle.dumps((d.astype(np.uint16), code.astype(np.min_scalar_type(len(kinds))), kinds >> 32, kinds & 0xFFFFFFFF))
+            gaps = np.diff(d, prepend=0).astype(np.uint16)  # of 2^16 at most, so sums of gaps that run over come out right
+            postings = zlib.compress(pickle.dumps((gaps, code.astype(np.min_scalar_type(len(kinds))), kinds >> 32, kinds & 0xFFFFFFFF)), 1)
             total = int(lens[(rows >= low) & (rows < high)].sum())
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             yield pa.RecordBatch.from_arrays([pa.array([no + low // 65_536], pa.int32()), pa.array([total]), one(pa.array(w[starts])), one(pa.array(np.diff(np.r_[starts, len(w)]))), pa.array([postings], pa.binary()), one(ids.dictionary.slice(low, high - low))], names=["no", "total", "words", "counts", "postings", "ids"])
@@ -126,7 +128,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = QUERIES,
         for p in parts:
             words, counts = [np.asarray(p.column(c).flatten()) for c in ("words", "counts")]
             here = place(words)
-            pieces.append((np.where(vocabulary[here] == words, here, -1), counts, *pickle.loads(p.column("postings")[0].as_py()), len(p.column("ids")[0])))
+            gaps, *codes = pickle.loads(zlib.decompress(p.column("postings")[0].as_py()))
+            pieces.append((np.where(vocabulary[here] == words, here, -1), counts, np.cumsum(gaps, dtype=np.uint16), *codes, len(p.column("ids")[0])))
         parts.clear()
         found = Postings(pieces, len(vocabulary), mean)
         pieces.clear()
